@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cinesieve.llm import chat, quality, secrets
+from cinesieve.llm import chat, packing, quality, secrets, sharding, token_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -33,11 +33,26 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("path").alias("doc_id"), *counts, F.sha2(secrets.describe(base, rules), 256).alias("base_sha256"), secrets.describe(F.col("spans"), rules).alias("spans"))
 
 
+def op4_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = sharding.shard(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "row_number")
+
+
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = token_files.read(token_files.write(table(spark, sf_dir, "documents")))
+    return rows.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def op9_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = quality.apply_policy(quality.ledger(table(spark, sf_dir, "documents")), quality.POLICIES[2])
     failed = F.col("fail_bits").bitwiseAND(F.lit(quality.BASE).cast("long")) != 0
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & F.col("kept")).alias("kept"), "fail_bits")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_chat_windows, op2_secret_scan, op9_quality_ledger)}
+def op10_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack(table(spark, sf_dir, "documents"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_chat_windows, op2_secret_scan, op4_feistel_shards, op5_token_files, op9_quality_ledger, op10_harmonic_packing)}
 ORACLE_SQL: dict[str, str] = {}
