@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cinesieve.llm import chat, packing, quality, secrets, sharding, token_files
+from cinesieve.llm import chat, packing, quality, secrets, sharding, token_counts, token_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -33,6 +33,10 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("path").alias("doc_id"), *counts, F.sha2(secrets.describe(base, rules), 256).alias("base_sha256"), secrets.describe(F.col("spans"), rules).alias("spans"))
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count(table(spark, sf_dir, "documents")).withColumn("over_limit", F.col("n_tokens") > 512)
+
+
 def op4_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = sharding.shard(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "row_number")
@@ -54,5 +58,5 @@ def op10_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_chat_windows, op2_secret_scan, op4_feistel_shards, op5_token_files, op9_quality_ledger, op10_harmonic_packing)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_chat_windows, op2_secret_scan, op3_token_counts, op4_feistel_shards, op5_token_files, op9_quality_ledger, op10_harmonic_packing)}
 ORACLE_SQL: dict[str, str] = {}
