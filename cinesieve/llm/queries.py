@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cinesieve.llm import chat, packing, quality, secrets, sharding, token_counts, token_files
+from cinesieve.llm import chat, packing, quality, secrets, sharding, simhash, token_counts, token_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -47,6 +47,10 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op6_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op9_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = quality.apply_policy(quality.ledger(table(spark, sf_dir, "documents")), quality.POLICIES[2])
     failed = F.col("fail_bits").bitwiseAND(F.lit(quality.BASE).cast("long")) != 0
@@ -58,5 +62,5 @@ def op10_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_chat_windows, op2_secret_scan, op3_token_counts, op4_feistel_shards, op5_token_files, op9_quality_ledger, op10_harmonic_packing)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_chat_windows, op2_secret_scan, op3_token_counts, op4_feistel_shards, op5_token_files, op6_simhash_components, op9_quality_ledger, op10_harmonic_packing)}
 ORACLE_SQL: dict[str, str] = {}
