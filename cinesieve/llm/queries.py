@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cinesieve.llm import chat, packing, quality, secrets, sharding, simhash, token_counts, token_files
+from cinesieve.llm import chat, language, packing, quality, secrets, sharding, simhash, token_counts, token_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -51,6 +51,16 @@ def op6_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def held_out(doc_id: str = "doc_id") -> Column:
+    return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(False))
+
+
+def op8_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language.fit(docs.where(~held_out()))
+    return language.predict(docs, model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "share", F.to_json("mixture").alias("mixture"))
+
+
 def op9_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = quality.apply_policy(quality.ledger(table(spark, sf_dir, "documents")), quality.POLICIES[2])
     failed = F.col("fail_bits").bitwiseAND(F.lit(quality.BASE).cast("long")) != 0
@@ -62,5 +72,5 @@ def op10_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_chat_windows, op2_secret_scan, op3_token_counts, op4_feistel_shards, op5_token_files, op6_simhash_components, op9_quality_ledger, op10_harmonic_packing)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_chat_windows, op2_secret_scan, op3_token_counts, op4_feistel_shards, op5_token_files, op6_simhash_components, op8_language_mixture, op9_quality_ledger, op10_harmonic_packing)}
 ORACLE_SQL: dict[str, str] = {}
