@@ -165,6 +165,6 @@ def accepted(docs: DataFrame, model: Model, text_col: str = "text", lang_col: st
         found = [sent.value.infer(t) for t in texts]
         return pd.DataFrame({"lang": [f[0] for f in found], "share": [f[2] for f in found]})
 
-    rows = docs.withColumn("_judged", judged.asNondeterministic()(F.col(text_col)))  # else it runs for the filter and again for the columns
-    kept = rows.where((F.col("_judged.lang") != UNKNOWN) & (F.col("_judged.share") >= least_share))
-    return kept.select(*[F.coalesce(F.col(f"`{c}`"), F.col("_judged.lang")).alias(c) if c == lang_col else F.col(f"`{c}`") for c in docs.columns])
+    rows = docs.withColumn("__judged", judged.asNondeterministic()(F.col(text_col)))  # else it runs for the filter and again for the columns
+    kept = rows.where((F.col("__judged.lang") != UNKNOWN) & (F.col("__judged.share") >= least_share))
+    return kept.select(*[F.coalesce(F.col(f"`{c}`"), F.col("__judged.lang")).alias(c) if c == lang_col else F.col(f"`{c}`") for c in docs.columns])

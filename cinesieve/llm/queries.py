@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cinesieve.llm import chat, language, packing, quality, secrets, sharding, simhash, token_counts, token_files
+from cinesieve.llm import chat, decontamination, language, packing, quality, secrets, sharding, simhash, token_counts, token_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -51,6 +51,12 @@ def op6_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_benchmark_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    pairs = found.groupBy(F.col("doc").alias("doc_id"), F.col("item").alias("item_id"))
+    return pairs.agg(F.max("n_shared").alias("n_shared"), F.max("n_item").alias("n_item"), F.max("containment").alias("containment"))
+
+
 def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
@@ -72,5 +78,5 @@ def op10_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_chat_windows, op2_secret_scan, op3_token_counts, op4_feistel_shards, op5_token_files, op6_simhash_components, op8_language_mixture, op9_quality_ledger, op10_harmonic_packing)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_chat_windows, op2_secret_scan, op3_token_counts, op4_feistel_shards, op5_token_files, op6_simhash_components, op7_benchmark_containment, op8_language_mixture, op9_quality_ledger, op10_harmonic_packing)}
 ORACLE_SQL: dict[str, str] = {}

@@ -123,8 +123,8 @@ def redacted(text: Column, found: Column, mask: str = MASK) -> Column:
 
 def redact(docs: DataFrame, text_col: str = "text", path_col: str = "doc_id", rule_version: int = VERSION) -> DataFrame:
     """docs, same rows and columns, with the secrets of every text masked; null texts stay null."""
-    hits = scan(docs, None, path_col, None, text_col, rule_version).where(F.size("spans") > 0).select(F.col("blob_id").alias("_blob"), F.col("spans").alias("_spans"))
+    hits = scan(docs, None, path_col, None, text_col, rule_version).where(F.size("spans") > 0).select(F.col("blob_id").alias("__blob"), F.col("spans").alias("__spans"))
     blob = F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
-    joined = docs.withColumn("_key", blob).join(hits, F.col("_key") == F.col("_blob"), "left")
-    masked = F.when(F.col("_spans").isNull(), F.col(text_col)).otherwise(redacted(F.col(text_col), F.col("_spans")))
+    joined = docs.withColumn("__key", blob).join(hits, F.col("__key") == F.col("__blob"), "left")
+    masked = F.when(F.col("__spans").isNull(), F.col(text_col)).otherwise(redacted(F.col(text_col), F.col("__spans")))
     return joined.select(*[masked.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])

@@ -59,7 +59,7 @@ def _fingerprints(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             prints = pa.array([fingerprint(t.as_py(), shingle) for t in batch.column(1)], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), prints], names=["id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), prints, *batch.columns[2:]], names=["id", "fp", *batch.schema.names[2:]])
 
     return run
 
@@ -136,10 +136,34 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     has no other. Repeated rows stay. An empty table gives no rows. Other columns of docs are not read.
     """
     prints = staged(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
+    joined = prints.join(_named(prints, bits), "fp")
+    return joined.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def _named(prints: DataFrame, bits: int) -> DataFrame:
+    """(fp, component, component_id) of the fingerprints of rows (id, fp)."""
     distinct = staged(prints.groupBy("fp").agg(F.min("id").alias("least")), "distinct-fingerprints")
-    linked = link(distinct, bits)
-    named = distinct.join(linked, "fp")
+    named = distinct.join(link(distinct, bits), "fp")
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    of_print = staged(named.select("fp", "component").join(least, "component").select("fp", "component_id"), "components")
-    joined = prints.join(of_print, "fp")
-    return joined.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return staged(named.select("fp", "component").join(least, "component"), "components")
+
+
+def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, bits: int = BITS) -> DataFrame:
+    """One row of docs for each component of near_duplicates, all columns: that of the smallest id.
+
+    Where several rows have that id, or no row has an id, one of them stays. Texts are joined to the chosen rows once and
+    are neither sorted nor compared.
+    """
+    key = F.xxhash64(F.col(f"`{text_col}`"))
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"), key.alias("row"))
+    prints = staged(rows.mapInArrow(_fingerprints(shingle), "id long, fp long, row long"), "fingerprints")
+    named = prints.join(_named(prints.select("id", "fp"), bits), "fp").where("id <=> component_id")
+    of_row = named.groupBy("component", "id", "row").agg(F.count("*").alias("n"))
+    chosen = of_row.groupBy("component").agg(F.min(F.struct("row", "id", "n")).alias("c"))
+    chosen = staged(chosen.select(F.col("c.id").alias("__id"), F.col("c.row").alias("__row"), F.col("c.n").alias("__n")), "representatives")
+    same = F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__row"))
+    kept = docs.withColumn("__key", key).join(chosen.hint("shuffle_hash"), same)
+    if not chosen.where("__n > 1").isEmpty():  # rows that agree in id and text: one of each stays
+        repeated = kept.where("__n > 1").dropDuplicates(["__id", "__row"])
+        kept = kept.where("__n = 1").unionByName(repeated)
+    return kept.drop("__key", "__id", "__row", "__n")
