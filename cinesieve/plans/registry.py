@@ -2,12 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-Query = Callable[[SparkSession, str], DataFrame]
+from cinesieve.plans import frame_queries, report_queries, timeline_queries
 
 FLAGSHIP = "q20_funnel"
-QUERIES: dict[str, Query] = {}
-ORACLE_SQL: dict[str, str] = {}
+_MODULES = (frame_queries, timeline_queries, report_queries)
+QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
+ORACLE_SQL = {name: sql for module in _MODULES for name, sql in module.ORACLE_SQL.items()}
