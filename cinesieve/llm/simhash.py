@@ -104,8 +104,9 @@ def _first_links(prints: DataFrame, bits: int) -> DataFrame:
     order = W.partitionBy("cell").orderBy("_o")
     members = in_cells(prints.select("fp"), bits).withColumn("_o", turned)
     seen = members.withColumns({"first": F.first("fp").over(order), "before": F.lag("fp").over(order)}).where("before IS NOT NULL")
-    pairs = seen.select("fp", F.explode(F.array("first", "before")).alias("other"))
-    return pairs.where(near(F.col("fp"), F.col("other"), bits)).select(F.col("fp").alias("a"), F.col("other").alias("b")).distinct()
+    close = [F.when(near(F.col("fp"), F.col(other), bits), F.col(other)) for other in ("first", "before")]
+    links = seen.select("fp", F.array_compact(F.array(*close)).alias("others")).where(F.size("others") > 0)
+    return links.select(F.col("fp").alias("a"), F.explode("others").alias("b")).distinct()
 
 
 def _last_links(labelled: DataFrame, bits: int) -> DataFrame:
