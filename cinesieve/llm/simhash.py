@@ -113,8 +113,8 @@ def _last_links(labelled: DataFrame, bits: int) -> DataFrame:
     """Links between components, from labelled (fp, component)."""
     own, cell = W.partitionBy("cell", "component"), W.partitionBy("cell")
     members = in_cells(labelled, bits).withColumn("n", F.count("*").over(own))
-    mixed = members.withColumns({"major": F.max(F.struct("n", "component")).over(cell), "low": F.min("component").over(cell)})
-    mixed = staged(mixed.where("low <> major.component OR component <> low").select("cell", "fp", "component", (F.col("component") != F.col("major.component")).alias("minor")), "cells")
+    mixed = members.withColumns({"major": F.max(F.struct("n", "component")).over(cell), "low": F.min("component").over(cell), "high": F.max("component").over(cell)})
+    mixed = staged(mixed.where("low <> high").select("cell", "fp", "component", (F.col("component") != F.col("major.component")).alias("minor")), "cells")
     a = mixed.where("minor").select("cell", F.col("fp").alias("a"), F.col("component").alias("ca"))
     b = mixed.select("cell", F.col("fp").alias("b"), F.col("component").alias("cb"))
     pairs = a.join(b, (a["cell"] == b["cell"]) & (F.col("ca") != F.col("cb")) & near(F.col("a"), F.col("b"), bits))
