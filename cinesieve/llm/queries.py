@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cinesieve.llm import chat, decontamination, language, packing, quality, secrets, sharding, simhash, token_counts, token_files
+from cinesieve.llm.oracles import ORACLE_SQL
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -79,4 +80,5 @@ def op10_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_chat_windows, op2_secret_scan, op3_token_counts, op4_feistel_shards, op5_token_files, op6_simhash_components, op7_benchmark_containment, op8_language_mixture, op9_quality_ledger, op10_harmonic_packing)}
-ORACLE_SQL: dict[str, str] = {}
+
+__all__ = ["ORACLE_SQL", "QUERIES"]

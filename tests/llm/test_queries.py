@@ -6,8 +6,10 @@ import json
 import numpy as np
 import pytest
 
-from cinesieve.llm.queries import QUERIES
+from cinesieve.llm.queries import ORACLE_SQL, QUERIES
+from tests import oracle
 from tests.llm import brute
+from tests.llm.conftest import SF
 
 
 def query(spark, prefix, folder):
@@ -125,3 +127,9 @@ def test_op10_packing(spark, tables, documents):
 def test_empty_tables(spark, no_tables, name):
     rows = QUERIES[name](spark, no_tables).collect()
     assert len(rows) == (1 if name.startswith("op1_") else 0)
+
+
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
+def test_query_equals_its_sql(spark, name):
+    con = oracle.connect(SF)
+    assert oracle.spark_rows(QUERIES[name](spark, SF)) == oracle.sql_rows(con, ORACLE_SQL[name])
