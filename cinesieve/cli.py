@@ -58,6 +58,9 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     result = work(spark, args.batch or args.input, args.output, config)
     for note in result.notes:
         print(f"note: {note}")
+    if config.scorer.enabled:
+        best = result.curated.where(source.F.col("rank") <= min(10, config.scorer.top_n))
+        best.select("video", "rank", "file", "scores.total", "scores.sharpness", "scores.colorfulness", "scores.brightness", "scores.composition").orderBy("video", "rank").show(truncate=False)
     result.reports.select("video", "total_raw_frames", "removed_blurry", "removed_duplicate", "final_unique_frames", "reduction_rate").show(truncate=False)
     return 0
 

@@ -6,6 +6,7 @@ from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cinesieve.config import Config
@@ -54,8 +55,11 @@ def curate(frames: DataFrame, config: Config) -> DataFrame:
     spark = frames.sparkSession
     path = scratch(spark, "features")
     features(frames, config).write.parquet(path)
+    # numbers in each video's order of files: ties in the names' numbers and names without one are told apart
+    order = W.partitionBy("video").orderBy("frame_order", "file", "origin")
+    rows = spark.read.parquet(path).withColumn("frame_order", F.row_number().over(order).cast("long"))
     size = SIDE if config.filter.dedup_method == "ssim" else config.filter.phash_size**2
-    return curated(spark.read.parquet(path), config.filter.blur_threshold, config.filter.similarity_threshold, config.filter.dedup_method, size)
+    return curated(rows, config.filter.blur_threshold, config.filter.similarity_threshold, config.filter.dedup_method, size)
 
 
 @dataclass
@@ -95,16 +99,8 @@ def process_batch(spark: SparkSession, source_path: str, folder: str, config: Co
         F.lit(0).alias("index"), F.col("video").alias("video_name"), F.when(F.col("total_raw_frames") > 0, "success").otherwise("skipped").alias("status"), "total_raw_frames",
         "removed_blurry", "removed_duplicate", "final_unique_frames", "top_n_selected", "output_folder", F.lit(None).cast("string").alias("error"),
     )
-    numbered = rows.withColumn("index", F.row_number().over(_by_name()))
+    numbered = rows.withColumn("index", F.row_number().over(W.orderBy("video_name")))  # one row a video
     reports.write_summary(spark, reports.summary_row(numbered, source_path, folder), folder)
     if copy and config.output.generate_html_preview:
         reports.write_gallery(spark, source.outputs(spark, folder), folder)
     return result
-
-
-def _by_name():
-    from pyspark.sql import Window as W
-
-    return W.orderBy("video_name")
-
-

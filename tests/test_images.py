@@ -84,6 +84,22 @@ def test_batch_outputs_and_readers(spark, folder, tmp_path, capsys):
     assert (tmp_path / "out/other/notes.txt").exists()
 
 
+def test_names_without_numbers_stay_apart(spark, tmp_path):
+    (tmp_path / "v").mkdir()
+    for i, name in enumerate(("b.png", "a.png", "a.jpg")):
+        (tmp_path / "v" / name).write_bytes(png(noise(i)))
+    rows = run.curate(source.read_frames(spark, str(tmp_path)), config.Config()).orderBy("frame_order").collect()
+    assert [(r.frame_order, r.file) for r in rows] == [(1, "a.jpg"), (2, "a.png"), (3, "b.png")]
+
+
+def test_video_source_says_what_is_missing(spark):
+    from cinesieve.sources.video import VideoFrames
+
+    spark.dataSource.register(VideoFrames)
+    with pytest.raises(Exception, match="ffmpeg"):
+        spark.read.format("video_frames").option("path", "/none.mp4").load().collect()
+
+
 def test_video_listing(spark, tmp_path):
     for name in ("b.MP4", "a.mov", "notes.txt", ".mp4"):
         (tmp_path / name).write_bytes(b"x")
