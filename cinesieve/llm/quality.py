@@ -105,14 +105,13 @@ def ablation(ledger_rows: DataFrame, mask: int, rules: tuple[Rule, ...] = RULES)
 
     Documents are first counted by their bits, so that at most 2**rules rows reach the second step.
     """
-    spark = ledger_rows.sparkSession
     by_bits = ledger_rows.groupBy(F.col("fail_bits").bitwiseAND(F.lit(mask).cast("long")).alias("bits")).agg(F.count("*").alias("n"))
-    table = spark.createDataFrame([(r.bit, r.name, 1 << r.bit) for r in rules if mask >> r.bit & 1], "bit int, rule string, flag long")
+    table = F.array(*[F.struct(F.lit(r.bit).alias("bit"), F.lit(r.name).alias("rule"), F.lit(1 << r.bit).cast("long").alias("flag")) for r in rules if mask >> r.bit & 1])
+    by_rule = by_bits.select("bits", "n", F.explode(table).alias("r")).select("bits", "n", "r.*")
     hit = F.col("bits").bitwiseAND(F.col("flag")) != 0
     alone = F.col("bits") == F.col("flag")
     return (
-        by_bits.join(F.broadcast(table), F.lit(True), "inner")
-        .groupBy("bit", "rule")
+        by_rule.groupBy("bit", "rule")
         .agg(
             F.coalesce(F.sum(F.when(hit, F.col("n"))), F.lit(0)).alias("n_failed"),
             F.coalesce(F.sum(F.when(alone, F.col("n"))), F.lit(0)).alias("n_failed_alone"),
