@@ -6,8 +6,8 @@ the ledger lacks at this rule version, runs the rules over these texts alone, an
 back to all paths and versions.
 
 Only (blob id, path, version) take part in the choice of rows; texts are shuffled once, by path, and are not sorted.
-Findings are joined back by blob, from the few blobs that have any; copies of one blob fall to one key there, which
-Spark splits at run time as it carries no texts.
+Findings are joined back by blob, from the few blobs that have any; they are repeated for each of a few salts, so that the
+copies of one blob fall to many keys.
 """
 
 from __future__ import annotations
@@ -46,6 +46,7 @@ RULE_SETS = {1: BASE_RULES, 2: BASE_RULES + MORE_RULES}
 VERSION = 2
 SPAN = "array<struct<start:int,kind:int,stop:int>>"
 MASK = "[SECRET]"
+SALTS = 32
 
 
 def _spans_of(text: Column, rule: Rule, number: int) -> Column:
@@ -98,9 +99,11 @@ def scan(versions: DataFrame, ledger: DataFrame | None = None, path_col: str = "
 
 def locate(versions: DataFrame, ledger: DataFrame, path_col: str = "doc_id", version_col: str | None = None, text_col: str = "text", rule_version: int = VERSION) -> DataFrame:
     """All rows of versions as path, version, blob_id with their blob's spans (none: an empty list)."""
-    rows = with_blobs(versions, path_col, version_col, text_col).drop("text")
+    salt = F.pmod(F.xxhash64("path", "version", F.monotonically_increasing_id()), F.lit(SALTS))
+    rows = with_blobs(versions, path_col, version_col, text_col).drop("text").withColumn("salt", salt)
     hits = ledger.where((F.col("rule_version") == rule_version) & (F.size("spans") > 0)).select("blob_id", "spans")
-    return rows.join(hits, "blob_id", "left").select("path", "version", "blob_id", F.coalesce("spans", F.array().cast(SPAN)).alias("spans"))
+    hits = hits.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))).hint("merge")  # repeated rows look smaller than their broadcast would be
+    return rows.join(hits, ["blob_id", "salt"], "left").select("path", "version", "blob_id", F.coalesce("spans", F.array().cast(SPAN)).alias("spans"))
 
 
 def describe(found: Column, rules: tuple[Rule, ...]) -> Column:
