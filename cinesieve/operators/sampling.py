@@ -35,31 +35,37 @@ def cuts(timeline: DataFrame, threshold: float = 27.0) -> DataFrame:
     return around.withColumn("ratio", ratio).withColumn("cut", cut).drop("near_sum", "near_n")
 
 
+def _spanned(timeline: DataFrame, threshold: float) -> DataFrame:
+    """The frames of videos with a cut, with scene (from 0), start_us and end_us: windows over one shuffle by key."""
+    w = W.partitionBy("key").orderBy("t", "order")
+    numbered = cuts(timeline, threshold).withColumn("scene", F.sum(F.col("cut").cast("long")).over(w.rowsBetween(W.unboundedPreceding, 0)))
+    own, by_scene = W.partitionBy("key", "scene"), W.partitionBy("key").orderBy("scene")
+    spans = numbered.withColumns({
+        "start_us": F.min("t").over(own),
+        "last_us": F.max("t").over(own),
+        "next_us": F.min("t").over(by_scene.rangeBetween(1, 1)),
+        "last_scene": F.max("scene").over(W.partitionBy("key")),
+    })
+    return spans.where("last_scene > 0").withColumn("end_us", F.coalesce("next_us", "last_us")).drop("next_us", "last_us", "last_scene")
+
+
 def scenes(timeline: DataFrame, threshold: float = 27.0) -> DataFrame:
     """key, scene (from 0), start_us, end_us of videos with a cut; videos without one have no scenes.
 
     A scene ends where the next begins, the last one at the last frame.
     """
-    w = W.partitionBy("key").orderBy("t", "order")
-    numbered = cuts(timeline, threshold).withColumn("scene", F.sum(F.col("cut").cast("long")).over(w.rowsBetween(W.unboundedPreceding, 0)))
-    ends = numbered.groupBy("key", "scene").agg(F.min("t").alias("start_us"), F.max("t").alias("last_us"))
-    by_scene = W.partitionBy("key").orderBy("scene")
-    spans = ends.withColumns({"end_us": F.coalesce(F.lead("start_us").over(by_scene), F.col("last_us")), "n_scenes": F.count("*").over(W.partitionBy("key"))})
-    return spans.where("n_scenes > 1").select("key", "scene", "start_us", "end_us")
+    return _spanned(timeline, threshold).select("key", "scene", "start_us", "end_us").distinct()
 
 
 def scene_frames(timeline: DataFrame, threshold: float = 27.0) -> DataFrame:
     """The frame nearest to each scene's midpoint (ties: the earlier): key, scene, start_us, end_us, t, order, value.
 
-    Frames know their scene from the same window, so that nearest frames are an aggregate and no range join is needed.
+    Frames know their scene and its span from the windows, so the nearest one is an aggregate and no join is needed.
     """
-    w = W.partitionBy("key").orderBy("t", "order")
-    numbered = cuts(timeline, threshold).withColumn("scene", F.sum(F.col("cut").cast("long")).over(w.rowsBetween(W.unboundedPreceding, 0)))
-    spans = scenes(timeline, threshold)
-    middle = F.expr("(start_us + end_us) div 2")
-    joined = numbered.join(spans, ["key", "scene"]).withColumn("away", F.abs(F.col("t") - middle))
+    away = F.abs(F.col("t") - F.expr("(start_us + end_us) div 2"))
     best = F.min_by(F.struct("t", "order", "value"), F.struct("away", "t", "order"))
-    return joined.groupBy("key", "scene", "start_us", "end_us").agg(best.alias("f")).select("key", "scene", "start_us", "end_us", "f.*")
+    rows = _spanned(timeline, threshold).withColumn("away", away)
+    return rows.groupBy("key", "scene", "start_us", "end_us").agg(best.alias("f")).select("key", "scene", "start_us", "end_us", "f.*")
 
 
 def by_scene_or_rate(timeline: DataFrame, threshold: float = 27.0, period_us: int = 1_000_000) -> DataFrame:
