@@ -9,12 +9,16 @@ not the other go to the library whole, as do all texts of other tokenizers.
 from __future__ import annotations
 
 import re
+import string
 import struct
 
-CACHE_ENTRIES = 250_000
+#: A worker's table has at most twice this many chunks, each of at most so many characters: some 100 MB.
+CACHE_ENTRIES, LONGEST = 250_000, 48
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
 _NOT_PLAIN = re.compile("[^a-zA-ZÀ-ÖØ-öø-įı-ſ \\n.,;:!?]")
 _TWO_MARKS = re.compile("[.,;:!?][.,;:!?]")
+#: ASCII marks: a run of them after letters is a piece of its own.
+MARKS = string.punctuation
 _LATIN = re.compile("[a-zA-ZÀ-ÖØ-öø-įı-ſ]+")
 _ENCODERS: dict[tuple[str, bool], Encoder] = {}
 
@@ -27,12 +31,14 @@ class _Chunks(dict):
         self.encode, self.encode_word, self.older = encode, encode_word, {}
 
     def __missing__(self, chunk: str) -> bytes:
+        if len(chunk) > LONGEST:
+            return self.encode(chunk)
         if len(self) >= CACHE_ENTRIES:
             self.older = dict(self)
             self.clear()
         ids = self.older.get(chunk)
         if ids is None:
-            core = chunk.rstrip(".,;:!?")
+            core = chunk.rstrip(MARKS)
             if not _LATIN.fullmatch(core):
                 ids = self.encode(chunk)
             elif core != chunk:  # letters and punctuation are pieces of their own
@@ -54,15 +60,18 @@ class Encoder:
         library.no_padding()
         library.no_truncation()
         self.library = lambda text: np.asarray(library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        self.count = lambda texts: [len(e.ids) for e in library.encode_batch(texts, add_special_tokens=False)]
         self.chunks = None
         if by_chunk:
             from tokenizers.pre_tokenizers import ByteLevel
 
             as_bytes = ByteLevel(add_prefix_space=False, use_regex=False)
             table = {ord(c): as_bytes.pre_tokenize_str(c)[0][0] for c in map(chr, range(0x41, 0x180)) if _LATIN.fullmatch(c)}
-            model, pack = library.model, struct.Struct
-            word = lambda w: pack(f"<{len(t)}I").pack(*[x.id for x in t]) if (t := model.tokenize(w.translate(table))) else b""
+            tokenize, formats = library.model.tokenize, [f"<{n}I" for n in range(64)]
+
+            def word(w: str) -> bytes:
+                ids = [t.id for t in tokenize(w if w.isascii() else w.translate(table))]
+                return struct.pack(formats[len(ids)] if len(ids) < 64 else f"<{len(ids)}I", *ids)
+
             self.chunks = _Chunks(self.library, word)
 
     def __call__(self, text: str | None) -> bytes:

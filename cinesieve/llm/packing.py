@@ -25,7 +25,7 @@ from cinesieve.llm.shared import staged
 CAPACITY, WASTE, LEAST, FAN_IN = 2048, 0.01, 16, 32
 #: Sequence numbers: the worker or group above these bits, the sequence in it below; groups count from REST on.
 BITS, REST = 40, 1 << 22
-ROWS = 20_000
+ROWS = 5_000
 SCHEMA = "id long, start long, length long, doc_tokens long, ids binary, sequence_id long, offset long"
 _ARROW = pa.schema([("id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("doc_tokens", pa.int64()), ("ids", pa.binary()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
 
