@@ -26,7 +26,9 @@ from pyspark.sql import functions as F
 
 from cinesieve.llm.shared import staged
 
-HEAD, FLUSH, ROWS, CACHE = 1 << 18, 400_000, 50_000, 1 << 16
+HEAD, FLUSH, ROWS = 1 << 18, 400_000, 50_000
+#: Characters of texts after which a task hands on what it has counted, however few entries that is.
+CHARS = 1 << 25
 _ODD = re.compile(r"[^\S \n]|\s\s(?:\s|\Z)")
 _VOCAB = pa.schema([("token", pa.string()), ("n", pa.int64())])
 _COUNTS = pa.schema([("row", pa.int64()), ("id", pa.int64()), ("n_bytes", pa.int64()), ("token", pa.string()), ("salt", pa.int64()), ("n", pa.int64())])
@@ -77,14 +79,17 @@ def cutter(name: str) -> Cutter:
 
 def _vocabulary(tokenizer: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cut, total = cutter(tokenizer), Counter()
+        cut, total, read = cutter(tokenizer), Counter(), 0
+        table = lambda: pa.RecordBatch.from_arrays([pa.array(list(total.keys()), pa.string()), pa.array(list(total.values()), pa.int64())], schema=_VOCAB)
         for batch in batches:
             for text in batch.column(0):
-                total.update(cut.count(text.as_py() or "")[0])
-                if len(total) > FLUSH:
-                    yield pa.RecordBatch.from_arrays([pa.array(total.keys(), pa.string()), pa.array(total.values(), pa.int64())], schema=_VOCAB)
-                    total = Counter()
-        yield pa.RecordBatch.from_arrays([pa.array(list(total.keys()), pa.string()), pa.array(list(total.values()), pa.int64())], schema=_VOCAB)
+                text = text.as_py() or ""
+                total.update(cut.count(text)[0])
+                read += len(text)
+                if len(total) > FLUSH or read > CHARS:
+                    yield table()
+                    total, read = Counter(), 0
+        yield table()
 
     return run
 
@@ -102,6 +107,7 @@ def _by_document(tokenizer: str, head):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut, known = cutter(tokenizer), head.value
         rows: list[tuple] = []
+        read = 0
         for batch in batches:
             for row, doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 text = text.as_py() or ""
@@ -113,9 +119,10 @@ def _by_document(tokenizer: str, head):
                     else:
                         total += n * pieces
                 rows.append((row, doc, len(text.encode("utf-8", "surrogatepass")), "", row + 1, total))
-                if len(rows) >= ROWS:
+                read += len(text)
+                if len(rows) >= ROWS or read > CHARS:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _COUNTS, strict=True)], schema=_COUNTS)
-                    rows = []
+                    rows, read = [], 0
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _COUNTS, strict=True)], schema=_COUNTS)
 
