@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cinesieve.functions.columns import let
+
 #: The white space that separates words (space and 0x09-0x0D).
 SPACES = "\t\n\x0b\f\r "
+#: Where a session without spark.checkpoint.dir puts its tables, as in local runs.
 DEFAULT_SHARED = "file:///tmp/checkpoints"
 
+__all__ = ["DEFAULT_SHARED", "SPACES", "let", "shared_dir", "staged", "words"]
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; a local one is set only where the session names none."""
@@ -34,16 +38,6 @@ def staged(df: DataFrame, label: str, codec: str = "zstd", partition_by: list[st
     return spark.read.schema(df.schema).parquet(path)
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body(value) with value evaluated once, however often the body names it (inside lambdas too)."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def words(text: Column) -> Column:
     """The maximal runs of characters other than SPACES; no words for null."""
     return F.array_remove(F.split(F.translate(F.coalesce(text, F.lit("")), SPACES, " " * len(SPACES)), " ", -1), "")
-
-
-def ascii_lower(text: Column) -> Column:
-    """A-Z in lower case, everything else as it is."""
-    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
