@@ -45,33 +45,35 @@ def strings(text: Column, width: int = WORDS) -> Column:
 
 
 def item_shingles(items: DataFrame, id_col: str = "item_id", text_col: str = "text", width: int = WORDS, threshold: float = THRESHOLD) -> DataFrame:
-    """item, shingle, h, n (distinct shingles of the item), in_sketch."""
-    text = items.select(F.col(id_col).alias("item"), F.explode(strings(F.col(text_col), width)).alias("shingle")).distinct()
+    """item, item_key (the text's hash), shingle, h, n (distinct shingles of the item), in_sketch."""
+    text = items.select(F.col(id_col).alias("item"), F.xxhash64(text_col).alias("item_key"), F.explode(strings(F.col(text_col), width)).alias("shingle")).distinct()
     hashed = text.withColumn("h", F.xxhash64("shingle"))
-    counted = hashed.withColumn("n", F.count("*").over(W.partitionBy("item"))).withColumn("rank", F.row_number().over(W.partitionBy("item").orderBy("h", "shingle")))
+    own = W.partitionBy("item", "item_key")
+    counted = hashed.withColumn("n", F.count("*").over(own)).withColumn("rank", F.row_number().over(own.orderBy("h", "shingle")))
     largest = F.least(F.pow(F.lit(2), F.ceil(F.log2("n"))), F.lit(float(1 << 30)))  # of the item's size partition
     may_lack = F.floor(largest * (1 - threshold) + 1e-9)
-    return counted.select("item", "shingle", "h", "n", (F.col("rank") <= may_lack + 1).alias("in_sketch"))
+    return counted.select("item", "item_key", "shingle", "h", "n", (F.col("rank") <= may_lack + 1).alias("in_sketch"))
 
 
 def contained(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", width: int = WORDS, threshold: float = THRESHOLD) -> DataFrame:
-    """One row for each text that contains an item: doc, key, item, n_shared, n_item, containment.
+    """One row for each text that contains an item: doc, key, item, item_key, n_shared, n_item, containment.
 
-    key is the text's hash: rows with one id are judged each by its own text, repeated rows once. Null and empty texts and
-    items without words have no shingles and never match; an item of fewer than 5 words is one shingle of its own length
-    and so only matches a text that is as short. Null ids are kept. Empty tables give no rows. Other columns are not read.
+    key and item_key are the texts' hashes: documents with one id, and items with one id or with none, are judged each by
+    its own text, repeated rows once. Null and empty texts and items without words have no shingles and never match; an item
+    of fewer than 5 words is one shingle of its own length and so only matches a text that is as short. Null ids are kept.
+    Empty tables give no rows. Other columns are not read.
     """
     of_items = staged(item_shingles(items, item_id, item_text, width, threshold), "item-shingles")
-    sketch = of_items.where("in_sketch").select("h", "item").distinct()
+    sketch = of_items.where("in_sketch").select("h", "item", "item_key").distinct()
     if of_items.where("in_sketch").count() <= BROADCAST_ROWS:  # else both sides are shuffled by hash
         sketch = F.broadcast(sketch)
     texts = docs.select(F.col(id_col).alias("doc"), F.xxhash64(text_col).alias("key"), F.col(text_col).alias("text"))
     shingles = texts.select("doc", "key", F.explode(hashes(F.col("text"), width)).alias("h"))
-    candidates = staged(shingles.join(sketch, "h").select("doc", "key", "item").distinct(), "candidates")
+    candidates = staged(shingles.join(sketch, "h").select("doc", "key", "item", "item_key").distinct(), "candidates")
     chosen = candidates.select("doc", "key").distinct().withColumnsRenamed({"doc": "_d", "key": "_k"})
     same = F.col("doc").eqNullSafe(F.col("_d")) & (F.col("key") == F.col("_k"))
     held = texts.join(chosen, same, "left_semi").select("doc", "key", F.explode(F.array_distinct(strings(F.col("text"), width))).alias("shingle"))
-    shared = held.join(of_items.select("shingle", "item", "n"), "shingle").groupBy("doc", "key", "item").agg(F.countDistinct("shingle").alias("n_shared"), F.first("n").alias("n_item"))
+    shared = held.join(of_items.select("shingle", "item", "item_key", "n"), "shingle").groupBy("doc", "key", "item", "item_key").agg(F.countDistinct("shingle").alias("n_shared"), F.first("n").alias("n_item"))
     return shared.withColumn("containment", F.col("n_shared") / F.col("n_item")).where(F.col("n_shared") >= F.col("n_item") * threshold - 1e-9)
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from cinesieve.llm import chat, decontamination, language, packing, quality, secrets, sharding, simhash, token_counts, token_files
 from cinesieve.llm.encoding import Encoder, encoder
 from cinesieve.llm.graph import components
+from cinesieve.llm.queries import QUERIES
 from tests.llm import brute
 from tests.llm.conftest import edge_texts
 
@@ -194,6 +195,20 @@ def test_containment_of_inexact_passages(spark):
     assert sorted(r.doc_id for r in decontamination.clean(docs, items).collect()) == [2, 4]
 
 
+def test_items_of_one_id_are_judged_each_by_its_own_text(spark, tmp_path):
+    texts = {name: " ".join(f"{name}{i}" for i in range(n)) for name, n in (("a", 24), ("b", 104), ("c", 24), ("d", 44))}
+    broken = " ".join("zz" if i in (30, 60) else f"b{i}" for i in range(104))  # 90 of 100 shingles
+    docs = spark.createDataFrame([(1, f"before {texts['a']} after"), (2, broken), (3, texts["c"]), (4, f"{broken} {texts['a']}"), (5, "none of them is in here at all"), (None, texts["d"])], "doc_id long, text string")
+    items = spark.createDataFrame([(None, texts["a"]), (None, texts["b"]), (0, texts["c"]), (0, texts["d"]), (0, texts["d"]), (0, None), (None, "")], "item_id long, text string")
+    found = sorted(((r.doc or 0, -1 if r.item is None else r.item, r.n_shared, r.n_item) for r in decontamination.contained(docs, items).collect()))
+    assert found == [(0, 0, 40, 40), (1, -1, 20, 20), (2, -1, 90, 100), (3, 0, 20, 20), (4, -1, 20, 20), (4, -1, 90, 100)]
+    assert [r.doc_id for r in decontamination.clean(docs, items).collect()] == [5]
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    items.write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [tuple(r) for r in QUERIES["op7_benchmark_containment"](spark, str(tmp_path)).collect()]
+    assert sorted(rows, key=str) == sorted([(None, 0, 40, 40, 1.0), (1, None, 20, 20, 1.0), (2, None, 90, 100, 0.9), (3, 0, 20, 20, 1.0), (4, None, 20, 20, 1.0)], key=str)  # figures of one text, the best contained
+
+
 def test_mixtures_are_found(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     model = language.fit(docs.where("doc_id % 2 = 0"))
