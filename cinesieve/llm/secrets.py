@@ -37,13 +37,18 @@ BASE_RULES = (
     Rule("access", r"AKIA[A-Z0-9]{12,}+"),
     Rule("hex", r"[0-9a-f]{32,}+"),
 )
-MORE_RULES = (
-    Rule("pem", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}"),
-)
-#: Rule sets by version. A new version scans every blob again; an old one's findings stay in the ledger.
-RULE_SETS = {1: BASE_RULES, 2: BASE_RULES + MORE_RULES}
-VERSION = 2
+_HEADER = r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"
+#: What may stand between the lines of a key: white space, also escaped, and marks of quotes, comments and concatenation.
+_BETWEEN = r"""(?:\\{1,4}[nr]|[\x20\x09-\x0D"'>#|*,+])"""
+#: A key up to its END line, if no -- comes first. Else, as in a text that is cut off, fields of encryption and runs of at
+#: least 16 base64 characters, with a shorter run after them; 16 characters are no more than the name of the algorithm.
+_KEY = rf"""{_HEADER}(?:(?:[^-]{{1,}}+|-[^-]){{0,}}+-----END [A-Z ]{{0,40}}PRIVATE KEY-----|(?:{_BETWEEN}{{1,}}+(?:Proc-Type|DEK-Info):\x20?[A-Za-z0-9-]{{1,}}+,[A-Za-z0-9]{{1,}}+){{0,}}+(?:{_BETWEEN}{{0,}}+[A-Za-z0-9+/]{{16,}}+={{0,2}}+){{1,}}+(?:{_BETWEEN}{{1,}}+[A-Za-z0-9+/]{{1,15}}+={{0,2}}+)?)?"""
+_JWT = Rule("jwt", r"eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}")
+MORE_RULES = (Rule("pem", _KEY), _JWT)
+#: Rule sets by version. A new version scans every blob again; an old one's findings stay in the ledger. Version 2 has a
+#: key's BEGIN line alone.
+RULE_SETS = {1: BASE_RULES, 2: (*BASE_RULES, Rule("pem", _HEADER), _JWT), 3: BASE_RULES + MORE_RULES}
+VERSION = 3
 SPAN = "array<struct<start:int,kind:int,stop:int>>"
 MASK = "[SECRET]"
 SALTS = 32
