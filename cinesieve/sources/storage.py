@@ -6,11 +6,30 @@ import uuid
 
 from pyspark.sql import SparkSession
 
+#: Where a local session without spark.checkpoint.dir puts its tables.
+LOCAL = "file:///tmp/checkpoints"
 
-def scratch(spark: SparkSession, label: str) -> str:
-    """A new path in spark.checkpoint.dir; a local folder is set only where the session names none."""
+
+def shared_dir(spark: SparkSession) -> str:
+    """spark.checkpoint.dir. A local folder is set only where the session names none and runs in one process."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = "file:///tmp/checkpoints"
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError(f"set spark.checkpoint.dir to a folder that the driver and all executors of {master} share")
+        root = LOCAL
         spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    return root.rstrip("/")
+
+
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def forget(spark: SparkSession, path: str) -> None:
+    """Deletes a table that scratch named, and nothing outside the shared folder."""
+    if not path.startswith(f"{shared_dir(spark)}/"):
+        raise ValueError(f"{path} is not a scratch table")
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
