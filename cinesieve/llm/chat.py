@@ -1,11 +1,14 @@
 r"""Chat formatting in budgeted windows.
 
-A conversation's turns are numbered and their tokens summed up in one window over the conversation. The prefix sums
-choose the spans: the axis of tokens is cut at multiples of the span budget; turns inside one cell form a span, and a
-turn across a cut is a span of its own. So no span is over budget but a single turn that is so itself, and no step walks
-through the turns one by one. Each span becomes one formatted window: the system turn, up to `history` turns before the
-span as far as they fit the history budget, and the span. Repeated turns are marked [CTX] and are outside the loss mask;
-fresh assistant turns are inside.
+A conversation's turns are numbered and their tokens summed up in one window over the conversation. The prefix sums cut it
+into blocks of BLOCK times the room of a window, turn-aligned; inside a block, whose size is bounded, spans are filled one
+after another: a turn opens a span where the prefix sum at its end is more than the room beyond the span's start. So there
+is at most one short span a block, and no span is over the room but a single turn that is so itself. Each span becomes one
+formatted window: the system turn, up to `history` turns before the span as far as they fit, and the span. Repeated turns
+are marked [CTX] and are outside the loss mask; fresh assistant turns are inside.
+
+A turn costs the tokens that a column states, or else the UTF-8 bytes of its formatted form: a byte-level tokenizer never
+makes more tokens than bytes, so budgets hold for any of them.
 
 Template: <s>[INST]role[/INST]text</s>, with [CTX] for [INST] in repeated turns. Inside roles and texts a backslash is put
 into each control string after its opening, before any backslashes there; undoing it takes one away.
@@ -17,10 +20,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from cinesieve.llm.shared import col
 
 FRESH, REPEAT, MIDDLE, STOP = "<s>[INST]", "<s>[CTX]", "[/INST]", "</s>"
 _CONTROL = r"(</?|\[/?){}(\\*)(s>|INST\]|CTX\])"
-TOKEN = r"\w+|[^\w\s]"
+BUDGET, HISTORY, HISTORY_BUDGET, BLOCK = 4096, 2, 1024, 16
 
 
 def escape(text: Column) -> Column:
@@ -31,54 +35,79 @@ def unescape(text: Column) -> Column:
     return F.regexp_replace(text, _CONTROL.format(r"\\"), "$1$2$3")
 
 
-def windows(turns: DataFrame, budget: int = 1024, history: int = 2, history_budget: int = 256, overhead: int = 4, token_pattern: str = TOKEN) -> DataFrame:
+def formatted_turn(role: Column, body: Column, fresh: bool) -> Column:
+    """A turn of escaped role and text."""
+    return F.concat(F.lit(FRESH if fresh else REPEAT), role, F.lit(MIDDLE), body, F.lit(STOP))
+
+
+def windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY, history_budget: int = HISTORY_BUDGET, tokens_col: str | None = None) -> DataFrame:
     """One row a window: conv_id, window (from 1), formatted, loss_spans (array of start, stop in code points), n_tokens, n_fresh.
 
-    turns: conv_id, turn, role, text. Null roles and texts are empty; turns are ordered by turn, role, text, nulls first,
-    so ties and repeated rows have a fixed order. A leading system turn is repeated in every window. A turn over budget
-    has a window of its own. Null conv_ids form one conversation. No rows give no windows.
+    turns: conv_id, turn, role, text, and tokens_col (long, over 0) if it is named; other columns are not read. Null roles
+    and texts are empty; turns are ordered by turn, role, text, nulls first, so ties and repeated rows have a fixed order.
+    A leading system turn is repeated in every window unless it takes over half of budget - history_budget, when it is a
+    turn like others. A turn that doesn't fit beside the system turn has a window of its own without history, so that no
+    window is over budget unless its one fresh turn and the system turn are; a very long text stays whole. Null conv_ids
+    form one conversation. No rows give no windows.
     """
-    rows = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.withColumn("tok", F.regexp_count("text", F.lit(token_pattern)).cast("long") + overhead)
+    if not 0 <= history_budget < budget:
+        raise ValueError("history_budget is less than budget")
+    most = budget - history_budget
+    role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
+    rows = turns.select("conv_id", "turn", role.alias("role"), text.alias("text"), *([col(tokens_col).cast("long").alias("tok")] if tokens_col else []))
     w = W.partitionBy("conv_id").orderBy("turn", "role", "text")
     so_far = w.rowsBetween(W.unboundedPreceding, 0)
-    rows = rows.withColumn("idx", F.row_number().over(w)).withColumn("is_sys", (F.col("idx") == 1) & (F.col("role") == "system"))
+    if not tokens_col:
+        rows = rows.withColumn("tok", F.octet_length(formatted_turn(escape(F.col("role")), escape(F.col("text")), True)).cast("long"))
+    rows = rows.withColumn("idx", F.row_number().over(w))
+    rows = rows.withColumn("is_sys", (F.col("idx") == 1) & (F.col("role") == "system") & (F.col("tok") <= most // 2))
     rows = rows.withColumns({
-        "sys_tok": F.first(F.when(F.col("is_sys"), F.col("tok")).otherwise(F.lit(0))).over(so_far),
-        "sys_text": F.first(F.when(F.col("is_sys"), F.col("text"))).over(so_far),
-        "end": F.sum(F.when(F.col("is_sys"), F.lit(0)).otherwise(F.col("tok"))).over(so_far),
+        "sys": F.first(F.when(F.col("is_sys"), F.struct("tok", escape(F.col("role")).alias("role"), escape(F.col("text")).alias("body")))).over(so_far),
+        "stop": F.sum(F.when(F.col("is_sys"), F.lit(0)).otherwise(F.col("tok"))).over(so_far),
     })
-    room = F.greatest(F.lit(1), F.lit(budget - history_budget) - F.col("sys_tok"))
-    rows = rows.withColumn("start", F.when(F.col("is_sys"), F.col("end")).otherwise(F.col("end") - F.col("tok")))
-    rows = rows.withColumns({"cell": F.floor(F.col("start") / room), "last_cell": F.floor((F.col("end") - 1) / room)})
-    rows = rows.withColumn("across", F.col("cell") != F.col("last_cell"))
-    opens = F.col("across") | F.lag("across", 1, True).over(w) | (F.lag("cell", 1).over(w) != F.col("cell")) | F.lag("is_sys", 1, False).over(w)
-    rows = rows.withColumn("opens", ~F.col("is_sys") & opens)
-    rows = rows.withColumn("span", F.sum(F.col("opens").cast("int")).over(so_far))
-    ahead = {f"span_{h}": F.when(F.lead("opens", h).over(w) & (F.lead("start", h).over(w) - F.col("start") <= history_budget), F.lead("span", h).over(w)) for h in range(1, history + 1)}
-    rows = rows.withColumns(ahead)
-
-    def piece(span: Column, idx: Column, fresh: bool, role: Column, text: Column, tok: Column, when: Column) -> Column:
-        head = F.concat(F.lit(FRESH if fresh else REPEAT), escape(role), F.lit(MIDDLE))
-        body = escape(text)
-        made = F.struct(
-            span.cast("int").alias("window"), idx.cast("int").alias("idx"), F.lit(fresh).alias("fresh"), ((role == "assistant") & fresh).alias("loss"),
-            F.length(head).alias("head"), F.length(body).alias("body"), F.concat(head, body, F.lit(STOP)).alias("s"), tok.alias("tok"),
-        )
-        return F.when(when, F.array(made)).otherwise(F.array())
-
-    own = (F.col("role"), F.col("text"), F.col("tok"))
-    pieces = [
-        piece(F.greatest("span", F.lit(1)), F.col("idx"), True, *own, F.lit(True)),
-        piece(F.col("span"), F.lit(1), False, F.lit("system"), F.col("sys_text"), F.col("sys_tok"), F.col("opens") & (F.col("span") > 1) & F.col("sys_text").isNotNull()),
-        *[piece(F.col(f"span_{h}"), F.col("idx"), False, *own, F.coalesce(F.col(f"span_{h}") > 0, F.lit(False)) & ~F.col("is_sys")) for h in range(1, history + 1)],
-    ]
-    flat = rows.select("conv_id", F.explode(F.concat(*pieces)).alias("p")).select("conv_id", "p.*")
-    grouped = flat.groupBy("conv_id", "window").agg(
-        F.sort_array(F.collect_list(F.struct("idx", "fresh", "loss", "head", "body", "s"))).alias("ps"), F.sum("tok").alias("n_tokens"), F.count_if("fresh").alias("n_fresh")
-    )
-
-    def spans(ps: Column) -> Column:
+    rows = rows.withColumn("start", F.when(F.col("is_sys"), F.col("stop")).otherwise(F.col("stop") - F.col("tok")))
+    rows = rows.withColumn("room", F.lit(most) - F.coalesce("sys.tok", F.lit(0)))
+    rows = rows.withColumn("block", F.floor(F.col("start") / (BLOCK * F.col("room"))))
+    own = [(F.col("role") == "assistant").alias("loss"), escape(F.col("role")).alias("role"), escape(F.col("text")).alias("body")]
+    turn = F.struct("idx", "start", "stop", "tok", "is_sys", *own)
+    blocks = rows.groupBy("conv_id", "block").agg(F.sort_array(F.collect_list(turn)).alias("turns"), F.any_value("room").alias("room"), F.any_value("sys").alias("sys"))
+
+    def last_of(a: Column, n: int) -> Column:
+        return F.slice(a, F.greatest(F.lit(1), F.size(a) - n + 1), F.lit(n))
+
+    by_block = W.partitionBy("conv_id").orderBy("block")
+    blocks = blocks.withColumn("tail", last_of(F.col("turns"), history))
+    nothing = F.slice(F.col("tail"), 1, 0)
+    blocks = blocks.withColumn("before", F.concat(nothing, *[F.coalesce(F.lag("tail", h).over(by_block), nothing) for h in range(history, 0, -1)]))
+
+    def opened(all_turns: Column) -> Column:
+        """idx of the turns that open a span."""
+        first = all_turns[0]
+
+        def step(acc: Column, t: Column) -> Column:
+            new = (t["stop"] - acc["at"] > F.col("room")) & (t["idx"] > first["idx"])
+            return F.struct(F.when(new, t["start"]).otherwise(acc["at"]).alias("at"), F.when(new, F.concat(acc["opens"], F.array(t["idx"]))).otherwise(acc["opens"]).alias("opens"))
+
+        return F.aggregate(all_turns, F.struct(first["start"].alias("at"), F.array(first["idx"]).alias("opens")), step, lambda acc: acc["opens"])
+
+    blocks = blocks.withColumn("opens", opened(F.col("turns")))
+    place = F.col("open") - F.col("turns")[0]["idx"] + 1
+    spans_ = blocks.select("*", F.posexplode("opens").alias("nth", "open"))
+    spans_ = spans_.withColumn("span", F.slice("turns", place, F.coalesce(F.get("opens", F.col("nth") + 1), F.col("turns")[0]["idx"] + F.size("turns")) - F.col("open")))
+    spans_ = spans_.withColumn("past", last_of(F.concat("before", F.slice("turns", F.greatest(F.lit(1), place - history), F.least(F.lit(history), place - 1))), history))
+    spans_ = spans_.withColumns({"at": F.col("span")[0]["start"], "span_tok": F.element_at("span", -1)["stop"] - F.col("span")[0]["start"]})
+    repeats = F.col("sys").isNotNull() & (F.col("open") > 1)
+    left = F.least(F.lit(history_budget), F.lit(budget) - F.col("span_tok") - F.coalesce("sys.tok", F.lit(0)))
+    spans_ = spans_.withColumn("past", F.filter("past", lambda t: ~t["is_sys"] & (F.col("at") - t["start"] <= left)))
+
+    def part(t: Column, fresh: bool) -> Column:
+        s = formatted_turn(t["role"], t["body"], fresh)
+        head = F.length(t["role"]) + len(FRESH if fresh else REPEAT) + len(MIDDLE)
+        return F.struct(s.alias("s"), head.alias("head"), F.length(t["body"]).alias("body"), (t["loss"] if fresh else F.lit(False)).alias("loss"))
+
+    parts = F.concat(F.when(repeats, F.array(part(F.col("sys").withField("loss", F.lit(False)), False))).otherwise(F.slice(F.transform("span", lambda t: part(t, False)), 1, 0)), F.transform("past", lambda t: part(t, False)), F.transform("span", lambda t: part(t, True)))
+
+    def masked(ps: Column) -> Column:
         def step(acc: Column, p: Column) -> Column:
             start = acc["at"] + p["head"]
             span = F.array(F.struct(start.alias("start"), (start + p["body"]).alias("stop")))
@@ -86,7 +115,12 @@ def windows(turns: DataFrame, budget: int = 1024, history: int = 2, history_budg
 
         return F.aggregate(ps, F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,stop:int>>").alias("out")), step, lambda a: a["out"])
 
-    return grouped.select("conv_id", "window", F.array_join(F.transform("ps", lambda p: p["s"]), "").alias("formatted"), spans(F.col("ps")).alias("loss_spans"), "n_tokens", "n_fresh")
+    total = lambda ts: F.aggregate(ts, F.lit(0).cast("long"), lambda a, t: a + t["tok"])
+    made = spans_.select(
+        "conv_id", "open", parts.alias("ps"), (total(F.col("past")) + total(F.col("span")) + F.when(repeats, F.col("sys.tok")).otherwise(0)).alias("n_tokens"), F.size("span").alias("n_fresh")
+    )
+    numbered = made.withColumn("window", F.row_number().over(W.partitionBy("conv_id").orderBy("open")))
+    return numbered.select("conv_id", "window", F.array_join(F.transform("ps", lambda p: p["s"]), "").alias("formatted"), masked(F.col("ps")).alias("loss_spans"), "n_tokens", "n_fresh")
 
 
 def read_back(formatted_windows: DataFrame) -> DataFrame:

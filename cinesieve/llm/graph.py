@@ -5,9 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cinesieve.llm.shared import staged
-
-SALTS = 16
+from cinesieve.llm.shared import salted, staged
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -16,12 +14,8 @@ def _state(edges: DataFrame) -> tuple:
 
 
 def _with_least(rows: DataFrame) -> DataFrame:
-    """rows (u, v) with m, the least v of their u. Least ones are partial aggregates; a hub's rows are joined in SALTS shares.
-
-    The repeated rows compress so well that Spark would take their broadcast for small: the hint keeps them out of one.
-    """
-    least = rows.groupBy("u").agg(F.min("v").alias("m")).withColumn("s", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))).hint("merge")
-    return rows.withColumn("s", F.pmod(F.xxhash64("v"), F.lit(SALTS))).join(least, ["u", "s"])
+    """rows (u, v) with m, the least v of their u. Least ones are partial aggregates; a hub's rows are joined in shares."""
+    return salted(rows, rows.groupBy("u").agg(F.min("v").alias("m")), "u", F.col("v"))
 
 
 def components(edges: DataFrame) -> DataFrame:

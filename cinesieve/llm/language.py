@@ -18,9 +18,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BUCKETS, SMOOTHING, PENALTY, STEPS, CHUNK = 1 << 16, 0.5, 12.0, 12, 1 << 20
-#: A model of more megabytes than this is refused: there would be thousands of languages.
-MODEL_MB = 512
+from cinesieve.llm.shared import col, new_names
+
+BUCKETS, SMOOTHING, PENALTY, STEPS, TOLERANCE, CHUNK = 1 << 16, 0.5, 12.0, 500, 1e-3, 1 << 20
+#: Texts of fewer n-grams than this are counted by sorting, longer ones in a table of all buckets.
+SORTED = 1 << 13
+#: A model of more megabytes than this is refused before it is gathered: there would be hundreds of languages.
+MODEL_MB = 64
 UNKNOWN = "und"
 _PREDICTED = "id long, lang_pred string, score double, share double, mixture map<string,double>"
 _ARROW = pa.schema([("id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64()), ("share", pa.float64()), ("mixture", pa.map_(pa.string(), pa.float64()))])
@@ -32,17 +36,16 @@ def _letters() -> np.ndarray:
     return np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
 
 
-def ngrams(text: str | None) -> np.ndarray | None:
-    """Counts by bucket of the text's n-grams; None where it has no letter."""
+def _hashes(text: str | None) -> Iterator[np.ndarray]:
+    """Buckets of the text's n-grams, some at a time; nothing where it has no letter."""
     if not text:
-        return None
+        return
     codes = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), "<u4")
     letters = _letters()[codes]
     if not letters.any():
-        return None
+        return
     codes = np.concatenate([[32], np.where(letters, codes, 32), [32]]).astype(np.uint32)
     letters = codes != 32
-    counts = np.zeros(BUCKETS, np.int64)
     for at in range(0, len(codes), CHUNK):
         c, is_letter = codes[at : at + CHUNK + 2], letters[at : at + CHUNK + 2]
         n = min(CHUNK, len(codes) - at)
@@ -50,19 +53,31 @@ def ngrams(text: str | None) -> np.ndarray | None:
         two = one[:-1] * np.uint32(0x85EBCA6B) + c[1:]
         three = two[:-1] * np.uint32(0xC2B2AE35) + c[2:]
         # an n-gram starts in this chunk, and holds a letter first (order 1), on either side (2) or in the middle (3)
-        for order, (h, held) in enumerate(((one, is_letter), (two, is_letter[:-1] | is_letter[1:]), (three, is_letter[1:-1]))):
-            h = (h[:n][held[:n]] + np.uint32(order * 0x27D4EB2F)) * np.uint32(0x9E3779B1)
-            counts += np.bincount(h >> np.uint32(16), minlength=BUCKETS)
-    return counts
+        orders = enumerate(((one, is_letter), (two, is_letter[:-1] | is_letter[1:]), (three, is_letter[1:-1])))
+        yield np.concatenate([(h[:n][held[:n]] + np.uint32(order * 0x27D4EB2F)) * np.uint32(0x9E3779B1) >> np.uint32(16) for order, (h, held) in orders])
+
+
+def ngrams(text: str | None) -> tuple[np.ndarray, np.ndarray] | None:
+    """The buckets of the text's n-grams, rising, and their counts; None where it has no letter."""
+    parts = list(_hashes(text)) if not text or len(text) <= CHUNK else None
+    if parts is not None and sum(map(len, parts)) <= SORTED:
+        return np.unique(parts[0], return_counts=True) if parts else None
+    counts = np.zeros(BUCKETS, np.int64)
+    for part in parts if parts is not None else _hashes(text):
+        counts += np.bincount(part, minlength=BUCKETS)
+    held = np.flatnonzero(counts)
+    return (held, counts[held]) if len(held) else None
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total: dict[str, np.ndarray] = {}
     for batch in batches:
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            counts = ngrams(text.as_py())
-            if counts is not None:
-                total[lang] = total.get(lang, 0) + counts
+            found = ngrams(text.as_py())
+            if found is not None:
+                if lang not in total:
+                    total[lang] = np.zeros(BUCKETS, np.int64)
+                total[lang][found[0]] += found[1]
     for lang, counts in total.items():
         held = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array([lang] * len(held), pa.string()), pa.array(held, pa.int64()), pa.array(counts[held], pa.int64())], names=["lang", "bucket", "n"])
@@ -77,25 +92,13 @@ class Model:
 
     def infer(self, text: str | None) -> tuple[str, float, float, list[tuple[str, float]]]:
         """Predicted language, score (its share times the chance that no language outside the set fits better), share, mixture."""
-        counts = ngrams(text)
-        if counts is None or not self.langs:
+        found = ngrams(text)
+        if found is None or not self.langs:
             return UNKNOWN, 0.0, 0.0, []
-        held = np.flatnonzero(counts)
-        c, p = counts[held].astype(np.float64), self.p[held].astype(np.float64)
+        c, p = found[1].astype(np.float64), self.p[found[0]].astype(np.float64)
         alone = c @ np.log(p)
         best = int(alone.argmax())
-        chosen, shares, value = [best], np.ones(1), alone[best] - PENALTY
-        if len(self.langs) > 1:
-            start = np.full(len(self.langs), 1 / len(self.langs))
-            order = [int(i) for i in np.argsort(-_shares(c, p, start)) if i != best]
-            for more in order:
-                trial = [*chosen, more]
-                q = p[:, trial]
-                pi = _shares(c, q, np.append(shares * (1 - 1 / len(trial)), 1 / len(trial)))
-                gained = c @ np.log(q @ pi) - PENALTY * len(trial)
-                if gained <= value:
-                    break
-                chosen, shares, value = trial, pi, gained
+        chosen, shares = select(c, p, best)
         out = np.delete(alone, chosen)
         sure = 1 / (1 + np.exp(np.minimum(out - alone[chosen].max(), 0)).sum()) if len(out) else 1.0
         top = int(shares.argmax())
@@ -103,33 +106,66 @@ class Model:
         return self.langs[chosen[top]], float(min(1.0, shares[top] * sure)), float(shares[top]), mixture
 
 
-def _shares(c: np.ndarray, p: np.ndarray, pi: np.ndarray) -> np.ndarray:
-    """Expectation-maximisation of the proportions from a start."""
+def select(c: np.ndarray, p: np.ndarray, best: int, penalty: float = PENALTY) -> tuple[list[int], np.ndarray]:
+    """The languages of a text and their shares, from counts c and probabilities p (n-gram x language).
+
+    From the best single language on, a language is added while that raises the likelihood by more than the penalty. The
+    likelihood is concave in the shares, so no set can gain more than its steepest slope, the sum of c * p / mixture less the
+    number of n-grams: languages whose slope is no more than the penalty need no trial. Others are tried from the
+    steepest on, and the search ends when none of them gains enough.
+    """
+    chosen, shares, total = [best], np.ones(1), c.sum()
+    mixed = p[:, best]
+    value = c @ np.log(mixed)
+    while len(chosen) < p.shape[1]:
+        slope = (c / mixed) @ p - total
+        slope[chosen] = -np.inf
+        added = False
+        for more in np.argsort(-slope, kind="stable"):
+            if slope[more] <= penalty:
+                break
+            trial = [*chosen, int(more)]
+            q = p[:, trial]
+            pi = proportions(c, q, np.append(shares * (1 - 1 / len(trial)), 1 / len(trial)))
+            together = q @ pi
+            if (gained := c @ np.log(together)) - value > penalty:
+                chosen, shares, value, mixed, added = trial, pi, gained, together, True
+                break
+        if not added:
+            break
+    return chosen, shares
+
+
+def proportions(c: np.ndarray, p: np.ndarray, pi: np.ndarray) -> np.ndarray:
+    """Expectation-maximisation of the shares from a start, until no share moves by TOLERANCE."""
     total = c.sum()
     for _ in range(STEPS):
         weighted = p * pi
         now = (c / weighted.sum(axis=1)) @ weighted / total
-        if np.abs(now - pi).max() < 1e-3:
+        if np.abs(now - pi).max() < TOLERANCE:
             return now
         pi = now
     return pi
 
 
 def fit(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text") -> Model:
-    """The model of all rows whose language and text are not null; no rows give a model that knows no language."""
-    rows = labelled.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")).where("lang IS NOT NULL AND text IS NOT NULL")
-    # the tasks' sums meet by bucket, then a bucket's languages by one row: at most BUCKETS rows reach the driver
-    summed = rows.mapInArrow(_count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    by_bucket = summed.groupBy("bucket").agg(F.collect_list(F.struct("lang", "n")).alias("of")).toArrow()
-    langs = sorted({x["lang"] for of in by_bucket.column("of").to_pylist() for x in of})
-    if len(langs) * BUCKETS * 4 > MODEL_MB << 20:
-        raise ValueError(f"{len(langs)} languages need a model of over {MODEL_MB} MB")
-    place = {lang: i for i, lang in enumerate(langs)}
-    counts = np.zeros((BUCKETS, len(langs)), np.int64)
-    for bucket, of in zip(by_bucket.column("bucket").to_pylist(), by_bucket.column("of").to_pylist(), strict=True):
-        for x in of:
-            counts[bucket, place[x["lang"]]] = x["n"]
-    return Model(langs, counts)
+    """The model of all rows whose language and text are not null; no rows give a model that knows no language.
+
+    Whole texts count, of any length, and repeated rows as often as they are there; other columns are not read. More
+    languages than MODEL_MB has room for are an error, which comes before anything is gathered.
+    """
+    rows = labelled.select(col(lang_col).cast("string").alias("lang"), col(text_col).alias("text")).where("lang IS NOT NULL AND text IS NOT NULL")
+    known = rows.agg(F.approx_count_distinct("lang")).first()[0]  # exact for so few as there may be
+    if 0.8 * known * BUCKETS * 4 > MODEL_MB << 20:
+        raise ValueError(f"{known} languages need a model of over {MODEL_MB} MB")
+    summed = rows.mapInArrow(_count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()  # languages x BUCKETS rows at most
+    codes = summed.column("lang").combine_chunks().dictionary_encode()
+    names = codes.dictionary.to_pylist() if len(summed) else []
+    order = np.argsort(np.array(names, dtype=object))
+    counts = np.zeros((BUCKETS, len(names)), np.int64)
+    if names:
+        counts[summed.column("bucket").to_numpy(), np.argsort(order)[codes.indices.to_numpy()]] = summed.column("n").to_numpy()
+    return Model([names[i] for i in order], counts)
 
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -147,14 +183,16 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
             columns = zip(*found, strict=True) if found else ([],) * 4
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(list(c), f.type) for c, f in zip(columns, list(_ARROW)[1:], strict=True)]], schema=_ARROW)
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    rows = docs.select(col(id_col).cast("long").alias("id"), col(text_col).alias("text"))
     return rows.mapInArrow(run, _PREDICTED).withColumnRenamed("id", id_col)
 
 
 def accepted(docs: DataFrame, model: Model, text_col: str = "text", lang_col: str | None = "lang", least_share: float = 0.5) -> DataFrame:
     """docs without the rows whose language is unknown or has under `least_share` of the text; a null language is filled in.
 
-    Same columns, whole rows; the texts are not shuffled.
+    Same columns whatever their names, whole rows; the texts are not shuffled. Null and empty texts, and those without a
+    letter, are of unknown language and go; a share that equals the least one stays; repeated rows are judged alike. With a
+    model that knows no language, texts with a letter stay and a null language stays null. An empty table gives no rows.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -162,9 +200,10 @@ def accepted(docs: DataFrame, model: Model, text_col: str = "text", lang_col: st
     def judged(texts):
         import pandas as pd
 
-        found = [sent.value.infer(t) for t in texts]
+        found = [sent.value.infer(t) if sent.value.langs else (None if ngrams(t) is not None else UNKNOWN, 0, 1.0) for t in texts]
         return pd.DataFrame({"lang": [f[0] for f in found], "share": [f[2] for f in found]})
 
-    rows = docs.withColumn("__judged", judged.asNondeterministic()(F.col(text_col)))  # else it runs for the filter and again for the columns
-    kept = rows.where((F.col("__judged.lang") != UNKNOWN) & (F.col("__judged.share") >= least_share))
-    return kept.select(*[F.coalesce(F.col(f"`{c}`"), F.col("__judged.lang")).alias(c) if c == lang_col else F.col(f"`{c}`") for c in docs.columns])
+    (own,) = new_names(docs, "judged")
+    rows = docs.withColumn(own, judged.asNondeterministic()(col(text_col)))  # else it runs for the filter and again for the columns
+    kept = rows.where(~F.col(own)["lang"].eqNullSafe(F.lit(UNKNOWN)) & (F.col(own)["share"] >= least_share))
+    return kept.select(*[F.coalesce(col(c), F.col(own)["lang"]).alias(c) if c == lang_col else col(c) for c in docs.columns])

@@ -2,20 +2,25 @@
 
 from __future__ import annotations
 
-from cinesieve.llm import quality, secrets
+from cinesieve.llm import chat, quality, secrets
 
 _WORD = r"[^\x20\x09-\x0D]+"
 
 _FAILS = " + ".join(f"CASE WHEN {r.fails} THEN {1 << r.bit} ELSE 0 END" for r in quality.RULES)
+_MASK = quality.POLICIES[quality.POLICY]
+_NAMES = ", ".join(f"({1 << r.bit}, '{r.name}')" for r in quality.RULES if _MASK >> r.bit & 1)
 QUALITY = f"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
 w AS (SELECT *, regexp_extract_all(t, '{_WORD}') AS w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '{_WORD}')) AS lines FROM d),
 grams AS (SELECT rid, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT rid, w, unnest(range(1, len(w) - 1)) AS i FROM w)),
 repeats AS (SELECT rid, i FROM grams QUALIFY count(*) OVER (PARTITION BY rid, g) > 1),
 covered AS (SELECT rid, count(DISTINCT i + k) AS n FROM repeats, range(3) r(k) GROUP BY rid),
 m AS (SELECT doc_id, len(w) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
-length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols, len(lines) AS n_lines, len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words
-FROM w LEFT JOIN covered USING (rid)), b AS (SELECT *, CAST({_FAILS} AS BIGINT) AS fail_bits FROM m)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, fail_bits & {quality.BASE} <> 0 AS base_failed, fail_bits & {quality.POLICIES[2]} = 0 AS kept, fail_bits FROM b"""
+length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols, len(lines) AS n_lines, len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words,
+len(list_filter(lines, lambda x: regexp_matches(x, '{quality.BULLET}'))) AS n_bullets, len(list_filter(lines, lambda x: regexp_matches(x, '{quality.ELLIPSIS}'))) AS n_ellipses
+FROM w LEFT JOIN covered USING (rid)), b AS (SELECT *, CAST({_FAILS} AS BIGINT) AS fail_bits FROM m),
+kept AS (SELECT flag, only_rule, (SELECT count(*) FROM b WHERE fail_bits & {_MASK} IN (0, flag)) AS n_kept_without FROM (VALUES {_NAMES}) v(flag, only_rule))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, fail_bits & {quality.BASE} <> 0 AS base_failed, fail_bits & {_MASK} = 0 AS kept, fail_bits, only_rule, n_kept_without
+FROM b LEFT JOIN kept ON fail_bits & {_MASK} = flag"""
 
 
 def _quoted(pattern: str) -> str:
@@ -43,32 +48,36 @@ _BASE = f"kind < {len(secrets.BASE_RULES)}"
 SECRETS = f"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
 s AS ({" UNION ALL ".join(_spans(i, r) for i, r in enumerate(_RULES))}),
 j AS (SELECT rid, {", ".join(f"count(*) FILTER (kind = {i}) AS n_{r.kind}" for i, r in enumerate(secrets.BASE_RULES))}, {_LIST} FILTER ({_BASE}) AS base, {_LIST} AS spans FROM s GROUP BY rid)
-SELECT doc_id, {", ".join(f"coalesce(n_{r.kind}, 0) AS n_{r.kind}" for r in secrets.BASE_RULES)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN j USING (rid)"""
+SELECT doc_id, {", ".join(f"coalesce(n_{r.kind}, 0) AS n_{r.kind}" for r in secrets.BASE_RULES)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, CAST(0 AS BIGINT) AS n_left FROM d LEFT JOIN j USING (rid)"""
 
 
 def _shingles(table: str, key: str) -> str:
-    return f"""SELECT DISTINCT {key}, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s
-FROM (SELECT {key}, regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}\\p{{N}}]+') AS w FROM {table})"""
+    return f"""SELECT DISTINCT {key}, md5(text) AS {table}_text, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s
+FROM (SELECT {key}, text, regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}\\p{{N}}]+') AS w FROM {table})"""
 
 
-CONTAINMENT = f"""WITH items AS (SELECT *, count(*) OVER (PARTITION BY item_id) AS n FROM ({_shingles("benchmark", "item_id")})), texts AS ({_shingles("documents", "doc_id")})
-SELECT doc_id, item_id, count(*) AS n_shared, any_value(n) AS n_item, count(*) / any_value(n) AS containment FROM texts JOIN items USING (s) GROUP BY doc_id, item_id HAVING count(*) >= 0.8 * any_value(n) - 1e-9"""
+CONTAINMENT = f"""WITH items AS (SELECT *, count(*) OVER (PARTITION BY item_id, benchmark_text) AS n FROM ({_shingles("benchmark", "item_id")})), texts AS ({_shingles("documents", "doc_id")}),
+pairs AS (SELECT doc_id, item_id, count(*) AS n_shared, any_value(n) AS n_item, count(*) / any_value(n) AS containment FROM texts JOIN items USING (s) GROUP BY doc_id, documents_text, item_id, benchmark_text HAVING count(*) >= 0.8 * any_value(n) - 1e-9)
+SELECT * FROM pairs QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY containment DESC, n_shared DESC) = 1"""
 
 _SAID = "'</s>[INST] ok [/INST]'"
 _ESCAPED = r"regexp_replace({0}, '(</?|\[/?)(\\*)(s>|INST\]|CTX\])', '\1\\\2\3', 'g')"
 _ORDER = "PARTITION BY conv_id ORDER BY idx"
-_REPEATS = " + ".join(f"CASE WHEN NOT sys AND lead(opens, {h}) OVER w AND lead(s, {h}) OVER w - s <= 256 THEN ctx ELSE 0 END" for h in (1, 2))
-CHAT = rf"""WITH r AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL VALUES (-7, 0, 'user', {_SAID}), (-7, 1, 'assistant', {_SAID})),
-a AS (SELECT *, len(regexp_extract_all(text, '\w+|[^\w\t-\r ]')) + 4 AS tok, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS idx FROM r),
-b AS (SELECT *, idx = 1 AND role = 'system' AS sys, length({_ESCAPED.format("role")}) + length({_ESCAPED.format("text")}) + {len("<s>[CTX][/INST]</s>")} AS ctx FROM a),
+_MOST = chat.BUDGET - chat.HISTORY_BUDGET
+_REPEATS = " + ".join(f"CASE WHEN NOT lag(sys, {h}, true) OVER w AND s - lag(s, {h}) OVER w <= least({chat.HISTORY_BUDGET}, {chat.BUDGET} - sys_tok - span_tok) THEN lag(ctx, {h}) OVER w ELSE 0 END" for h in range(1, chat.HISTORY + 1))
+CHAT = rf"""WITH RECURSIVE r AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL VALUES (-7, 0, 'user', {_SAID}), (-7, 1, 'assistant', {_SAID})),
+a AS (SELECT *, '{chat.FRESH}' || {_ESCAPED.format("role")} || '{chat.MIDDLE}' || {_ESCAPED.format("text")} || '{chat.STOP}' AS said, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS idx FROM r),
+b AS (SELECT *, strlen(said) AS tok, length(said) AS chars, length(said) - 1 AS ctx, idx = 1 AND role = 'system' AND strlen(said) <= {_MOST // 2} AS sys FROM a),
 c AS (SELECT *, max(CASE WHEN sys THEN tok ELSE 0 END) OVER (PARTITION BY conv_id) AS sys_tok, max(CASE WHEN sys THEN ctx ELSE 0 END) OVER (PARTITION BY conv_id) AS sys_ctx,
 sum(CASE WHEN sys THEN 0 ELSE tok END) OVER ({_ORDER}) AS e FROM b),
-d AS (SELECT *, CASE WHEN sys THEN e ELSE e - tok END AS s, greatest(1, 1024 - 256 - sys_tok) AS room FROM c),
-f AS (SELECT *, s // room AS cell, NOT sys AND s // room <> (e - 1) // room AS across FROM d),
-g AS (SELECT *, NOT sys AND (across OR lag(across, 1, true) OVER w OR lag(cell) OVER w <> cell OR lag(sys, 1, false) OVER w) AS opens FROM f WINDOW w AS ({_ORDER})),
-h AS (SELECT *, sum(CAST(opens AS INT)) OVER ({_ORDER}) AS span, {_REPEATS} AS repeated FROM g WINDOW w AS ({_ORDER})),
-loss AS (SELECT *, CASE WHEN role = 'assistant' THEN text ELSE '' END AS loss FROM h)
+d AS (SELECT *, CASE WHEN sys THEN e ELSE e - tok END AS s, {_MOST} - sys_tok AS room FROM c),
+f AS (SELECT *, s // ({chat.BLOCK} * room) AS block FROM d),
+walk AS (SELECT conv_id, idx, block, s AS since, true AS opens FROM f WHERE idx = 1 UNION ALL
+SELECT f.conv_id, f.idx, f.block, CASE WHEN f.block <> walk.block OR e - since > room THEN s ELSE since END, f.block <> walk.block OR e - since > room FROM walk JOIN f ON f.conv_id IS NOT DISTINCT FROM walk.conv_id AND f.idx = walk.idx + 1),
+g AS (SELECT f.*, opens, sum(CAST(opens AS INT)) OVER (PARTITION BY f.conv_id ORDER BY f.idx) AS span FROM f JOIN walk ON f.conv_id IS NOT DISTINCT FROM walk.conv_id AND f.idx = walk.idx),
+h AS (SELECT *, max(e) OVER (PARTITION BY conv_id, span) - min(s) OVER (PARTITION BY conv_id, span) AS span_tok FROM g),
+k AS (SELECT *, {_REPEATS} AS repeated, CASE WHEN role = 'assistant' THEN text ELSE '' END AS loss FROM h WINDOW w AS ({_ORDER}))
 SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY idx)) AS turns_sha256, CAST(sum(length(loss)) AS BIGINT) AS loss_chars, sha256(string_agg(loss, '' ORDER BY idx)) AS loss_sha256,
-CAST(sum(ctx + 1 + repeated + CASE WHEN opens AND span > 1 THEN sys_ctx ELSE 0 END) AS BIGINT) AS formatted_chars, CAST(max(greatest(span, 1)) AS BIGINT) AS n_windows FROM loss GROUP BY conv_id"""
+CAST(sum(chars + CASE WHEN opens AND span > 1 THEN sys_ctx + repeated ELSE 0 END) AS BIGINT) AS formatted_chars, CAST(max(span) AS BIGINT) AS n_windows FROM k GROUP BY conv_id"""
 
 ORACLE_SQL = {"op1_chat_windows": CHAT, "op2_secret_scan": SECRETS, "op7_benchmark_containment": CONTAINMENT, "op9_quality_ledger": QUALITY}

@@ -1,48 +1,56 @@
 """Harmonic packing of token sequences.
 
-Lengths fall into reciprocal-capacity classes: class k holds pieces of (C/(k+1), C/k] tokens, and a bin of class k takes
-exactly k of them, so no bin looks at any other. Documents may be cut: whole capacities first, then, where a class would
-leave more than `waste` of a bin empty, a piece of exactly C/j tokens, j the first class beyond k that leaves a rest of
-`least` tokens or more; rests under twice that stay whole, as their classes waste little. Each worker fills its own classes' bins and hands on what doesn't fill one: at most k - 1 pieces
-a class, a bounded number of tokens however large its share is. These rests meet in groups of `fan_in` workers, where they
-are laid end to end and cut at the capacity, so that each group ends with one short sequence.
+Pieces fall into reciprocal-capacity classes: a bin of class k takes exactly k pieces of at most C/k tokens, so no bin looks
+at any other. Documents may be cut: whole capacities first, then pieces of exactly C/k tokens, k from CLASSES, until what is
+left fills a C/k within `waste`, or is at most C / (the last class): such crumbs form the last class, whose bins take pieces
+until the next one doesn't fit. Each worker fills its own classes' bins. Of a class it hands on at most k - 1 pieces, and it
+closes its one open bin of crumbs as a short sequence.
+
+What workers hand on is filled by class again, k pieces a bin, in groups of `fan_in` workers and one class: at most
+fan_in * (k - 1) pieces each, however large the input is. A group's last bin may be short. No piece is ever placed outside
+its class, and no group or worker leaves more than one short sequence a class.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cinesieve.llm.encoding import encoder
-from cinesieve.llm.shared import staged
+from cinesieve.llm.shared import col, staged
 
 CAPACITY, WASTE, LEAST, FAN_IN = 2048, 0.01, 16, 32
-#: Sequence numbers: the worker or group above these bits, the sequence in it below; groups count from REST on.
-BITS, REST = 40, 1 << 22
+CLASSES = (1, 2, 3, 4, 6, 8, 12, 16, 24, 32)
+#: Sequence numbers: the worker, or REST and more for a group and class, above these bits; the sequence in it below.
+BITS, REST, PLACES = 36, 1 << 26, 64
 ROWS = 5_000
-SCHEMA = "id long, start long, length long, doc_tokens long, ids binary, sequence_id long, offset long"
-_ARROW = pa.schema([("id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("doc_tokens", pa.int64()), ("ids", pa.binary()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
+SCHEMA = "id long, start long, length long, doc_tokens long, ids binary, class int, sequence_id long, offset long"
+_ARROW = pa.schema([("id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("doc_tokens", pa.int64()), ("ids", pa.binary()), ("class", pa.int32()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
 
 
-def cuts(n: int, capacity: int = CAPACITY, waste: float = WASTE, least: int = LEAST) -> list[int]:
+def cuts(n: int, capacity: int = CAPACITY, classes: tuple[int, ...] = CLASSES, waste: float = WASTE, least: int = LEAST) -> list[int]:
     """The lengths of the pieces of a document of n tokens, in order."""
     out = [capacity] * (n // capacity)
     rest = n % capacity
-    while rest:
-        k = capacity // rest
-        if capacity - k * rest <= waste * capacity or rest < 2 * least:
-            out.append(rest)
+    while rest > capacity // classes[-1]:
+        fits = [capacity // k for k in classes if capacity // k >= rest]
+        if fits and rest >= fits[-1] * (1 - waste):
             break
-        k = max(k + 1, -(-capacity // (rest - least)))
-        out.append(capacity // k)
-        rest -= capacity // k
-    return out
+        part = next((p for p in (capacity // k for k in classes) if p <= rest - least or p == rest), (rest + 1) // 2)
+        out.append(part)
+        rest -= part
+    return out + [rest] * (rest > 0)
+
+
+def class_of(length: int, capacity: int = CAPACITY, classes: tuple[int, ...] = CLASSES) -> int:
+    """The largest k whose C/k holds the piece; 0 for crumbs, which are under the last class's C/k."""
+    return 0 if length < capacity // classes[-1] else max(k for k in classes if capacity // k >= length)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -52,74 +60,70 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 class _Bins:
     """A worker's open bins by class; gives the rows of each bin that is full."""
 
-    def __init__(self, number: int, capacity: int):
-        self.next, self.capacity, self.open = number << BITS, capacity, {}
+    def __init__(self, number: int, capacity: int, classes: tuple[int, ...]):
+        self.next, self.capacity, self.classes, self.open, self.crumbs = number << BITS, capacity, classes, {}, 0
 
     def add(self, piece: tuple) -> list[tuple]:
-        k = self.capacity // piece[2]
+        k, out = class_of(piece[2], self.capacity, self.classes), []
+        if not k and self.crumbs + piece[2] > self.capacity:
+            out = self.close(0)
         held = self.open.setdefault(k, [])
         held.append(piece)
-        if len(held) < k:
-            return []
+        self.crumbs += 0 if k else piece[2]
+        return self.close(k) if k and len(held) == k else out
+
+    def close(self, k: int) -> list[tuple]:
         out, offset = [], 0
-        for p in held:
-            out.append((*p, self.next, offset))
+        for p in self.open.pop(k, []):
+            out.append((*p, k, self.next, offset))
             offset += p[2]
         self.next += 1
-        self.open[k] = []
+        self.crumbs = self.crumbs if k else 0
         return out
 
     def rest(self) -> list[tuple]:
-        return [(*p, None, None) for held in self.open.values() for p in held]
+        return self.close(0) + [(*p, k, None, None) for k, held in self.open.items() for p in held]
 
 
-def _fill(tokenizer: str, by_chunk: bool, end_id: int, capacity: int, waste: float, least: int):
+def _fill(tokenizer: str, by_chunk: bool, end_id: int, capacity: int, classes: tuple[int, ...], waste: float, least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, end = encoder(tokenizer, by_chunk), np.array([end_id], "<u4").tobytes()
-        bins, rows = _Bins(TaskContext.get().partitionId(), capacity), []
+        bins, rows = _Bins(TaskContext.get().partitionId(), capacity, classes), []
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 ids = encode(text.as_py()) + end
                 n, at = len(ids) // 4, 0
-                for length in cuts(n, capacity, waste, least):
+                for length in cuts(n, capacity, classes, waste, least):
                     rows += bins.add((doc, at, length, n, ids[4 * at : 4 * (at + length)]))
                     at += length
-                if len(rows) > ROWS:
-                    yield _batch(rows)
-                    rows = []
+                    if len(rows) > ROWS:
+                        yield _batch(rows)
+                        rows = []
         yield _batch(rows + bins.rest())
 
     return run
 
 
-def _join_rests(capacity: int):
-    """Lays a group's rests end to end, longest first, and cuts them at the capacity."""
-
-    def run(key: tuple, table: pa.Table) -> pa.Table:
-        table = table.sort_by([("length", "descending"), ("id", "ascending"), ("start", "ascending")])
-        number, offset, out = (REST + key[0].as_py()) << BITS, 0, []
-        for doc, start, length, n, ids in zip(*[table.column(c).to_pylist() for c in ("id", "start", "length", "doc_tokens", "ids")], strict=True):
-            at = 0
-            while at < length:
-                take = min(length - at, capacity - offset)
-                out.append((doc, start + at, take, n, ids[4 * at : 4 * (at + take)], number, offset))
-                at, offset = at + take, offset + take
-                if offset == capacity:
-                    number, offset = number + 1, 0
-        return pa.Table.from_batches([_batch(out)], _ARROW)
-
-    return run
-
-
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = "word_bpe_49k.json", by_chunk: bool = True, end_id: int = 1, capacity: int = CAPACITY, waste: float = WASTE, least: int = LEAST, fan_in: int = FAN_IN) -> DataFrame:
-    """One row a piece: id_col, start, length, doc_tokens, ids (little-endian unsigned 32-bit), sequence_id, offset.
+def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = "word_bpe_49k.json", by_chunk: bool = True, end_id: int = 1, capacity: int = CAPACITY, classes: tuple[int, ...] = CLASSES, waste: float = WASTE, least: int = LEAST, fan_in: int = FAN_IN) -> DataFrame:
+    """One row a piece: id_col, start, length, doc_tokens, ids (little-endian unsigned 32-bit), class (0: crumbs), sequence_id, offset.
 
     A document's ids are those of its text and end_id; a null or empty text has end_id alone. Ids are integers; repeated
-    rows and null ids are documents of their own. An empty table gives no pieces. Very long texts are cut into many
-    pieces; a task holds one batch of texts and its open bins at a time. Other columns of docs are not read.
+    rows and null ids are documents of their own, and ties stand in any order. An empty table gives no pieces. A very long
+    text is encoded whole and cut into many pieces, which leave the task in batches; besides it a task holds its open bins.
+    Other columns of docs are not read.
     """
-    spark = docs.sparkSession
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    filled = staged(texts.mapInArrow(_fill(tokenizer, by_chunk, end_id, capacity, waste, least), SCHEMA).withColumn("worker", F.spark_partition_id()), "packing")
-    rests = filled.where("sequence_id IS NULL").groupBy(F.floor(F.col("worker") / fan_in).alias("g")).applyInArrow(_join_rests(capacity), SCHEMA)
-    return filled.where("sequence_id IS NOT NULL").drop("worker").unionByName(rests).withColumnRenamed("id", id_col)
+    if len(classes) >= PLACES or classes[0] != 1 or list(classes) != sorted(set(classes)):
+        raise ValueError("classes are under 64 rising numbers from 1 on")
+    texts = docs.select(col(id_col).cast("long").alias("id"), col(text_col).alias("text"))
+    filled = staged(texts.mapInArrow(_fill(tokenizer, by_chunk, end_id, capacity, classes, waste, least), SCHEMA).withColumn("worker", F.spark_partition_id()), "packing")
+    group = F.floor(F.col("worker") / fan_in)
+    rests = filled.where("sequence_id IS NULL").withColumn("group", group)
+    own = W.partitionBy("class", "group")
+    numbered = rests.withColumn("number", F.row_number().over(own.orderBy("id", "start", "worker", "ids")) - 1)
+    of_bin = numbered.withColumn("bin", F.expr("number div class"))
+    before = F.coalesce(F.sum("length").over(W.partitionBy("class", "group", "bin").orderBy("number").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    place = F.array_position(F.array(*[F.lit(k) for k in classes]), F.col("class")) - 1
+    sequence = F.shiftleft(F.lit(REST) + F.col("group") * PLACES + place, BITS) + F.col("bin")
+    joined = of_bin.withColumns({"sequence_id": sequence, "offset": before})
+    columns = [col("id").alias(id_col), "start", "length", "doc_tokens", "ids", "class", "sequence_id", "offset"]
+    return filled.where("sequence_id IS NOT NULL").select(*columns).unionByName(joined.select(*columns))

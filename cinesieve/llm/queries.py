@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from cinesieve.llm import chat, decontamination, language, packing, quality, secrets, sharding, simhash, token_counts, token_files
 from cinesieve.llm.oracles import ORACLE_SQL
+from cinesieve.llm.shared import staged
+from cinesieve.sources.storage import scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -25,13 +27,24 @@ def op1_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The documents as they are, and as a second version those with secrets, masked, against one ledger.
+
+    The second scan adds the blobs of masked texts alone; n_left counts what is still found in a path's second version.
+    """
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     rules = secrets.RULE_SETS[secrets.VERSION]
-    found = secrets.locate(docs, secrets.scan(docs))
+    ledger = secrets.Ledger(spark, scratch(spark, "secret-ledger"))
+    first = ledger.extend(docs)
+    found = staged(secrets.locate(docs, first), "secret-paths")
+    masked = staged(secrets.redact(docs, ledger=first, changed=True), "masked")
+    left = secrets.locate(masked, ledger.extend(masked)).where(F.size("spans") > 0)
+    left = left.groupBy(F.col("path").alias("_path")).agg(F.sum(F.size("spans")).alias("n_left"))
     base = F.filter("spans", lambda s: s["kind"] < len(secrets.BASE_RULES))
     of_kind = lambda number: F.filter("spans", lambda s: s["kind"] == number)
     counts = [F.size(of_kind(i)).cast("long").alias(f"n_{r.kind}") for i, r in enumerate(secrets.BASE_RULES)]
-    return found.select(F.col("path").alias("doc_id"), *counts, F.sha2(secrets.describe(base, rules), 256).alias("base_sha256"), secrets.describe(F.col("spans"), rules).alias("spans"))
+    rows = found.join(left, F.col("path").eqNullSafe(F.col("_path")), "left")
+    digest = F.sha2(secrets.describe(base, rules), 256).alias("base_sha256")
+    return rows.select(F.col("path").alias("doc_id"), *counts, digest, secrets.describe(F.col("spans"), rules).alias("spans"), F.coalesce("n_left", F.lit(0)).cast("long").alias("n_left"))
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,9 +84,12 @@ def op8_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = quality.apply_policy(quality.ledger(table(spark, sf_dir, "documents")), quality.POLICIES[2])
+    """The ledger is written once; the policy and its ablation are read off its bits."""
+    book = staged(quality.ledger(table(spark, sf_dir, "documents")), "quality-ledger")
+    mask = quality.POLICIES[quality.POLICY]
+    rows = quality.explained(quality.apply_policy(book, mask), mask)
     failed = F.col("fail_bits").bitwiseAND(F.lit(quality.BASE).cast("long")) != 0
-    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & F.col("kept")).alias("kept"), "fail_bits")
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & F.col("kept")).alias("kept"), "fail_bits", "only_rule", "n_kept_without")
 
 
 def op10_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

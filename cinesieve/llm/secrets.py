@@ -5,19 +5,20 @@ A version of a file is a row (path, version, text). Its text is addressed by SHA
 the ledger lacks at this rule version, runs the rules over these texts alone, and `locate` joins the ledger's findings
 back to all paths and versions.
 
-Only (blob id, path, version) take part in the choice of rows; texts are shuffled once, by path, and are not sorted.
-Findings are joined back by blob, from the few blobs that have any; they are repeated for each of a few salts, so that the
-copies of one blob fall to many keys.
+One text stands for a blob, by an aggregate whose partial results leave one text a task and blob, so that texts are shuffled
+once and a text of many rows is no hot key. Findings are joined back by blob, from the blobs that have any: broadcast where
+a count shows that they are few, else repeated for each of a few salts, so that the copies of one blob fall to many keys.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cinesieve.llm.shared import let
+from cinesieve.llm.shared import col, let, new_names, salted, staged
 
 
 @dataclass(frozen=True)
@@ -50,8 +51,10 @@ MORE_RULES = (Rule("pem", _KEY), _JWT)
 RULE_SETS = {1: BASE_RULES, 2: (*BASE_RULES, Rule("pem", _HEADER), _JWT), 3: BASE_RULES + MORE_RULES}
 VERSION = 3
 SPAN = "array<struct<start:int,kind:int,stop:int>>"
+LEDGER = f"blob_id binary, rule_version int, spans {SPAN}"
 MASK = "[SECRET]"
-SALTS = 32
+#: Blobs with findings and their spans go to all executors up to this number of both: some 50 bytes each.
+BROADCAST = 200_000
 
 
 def _spans_of(text: Column, rule: Rule, number: int) -> Column:
@@ -80,35 +83,74 @@ def spans(text: Column, rules: tuple[Rule, ...]) -> Column:
 
 
 def with_blobs(versions: DataFrame, path_col: str, version_col: str | None, text_col: str) -> DataFrame:
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    version = F.col(version_col).cast("string") if version_col else F.lit("")
-    return versions.select(F.col(path_col).alias("path"), version.alias("version"), F.unhex(F.sha2(text, 256)).alias("blob_id"), text.alias("text"))
+    text = F.coalesce(col(text_col), F.lit(""))
+    version = col(version_col).cast("string") if version_col else F.lit("")
+    return versions.select(col(path_col).alias("path"), version.alias("version"), F.unhex(F.sha2(text, 256)).alias("blob_id"), text.alias("text"))
 
 
 def scan(versions: DataFrame, ledger: DataFrame | None = None, path_col: str = "doc_id", version_col: str | None = None, text_col: str = "text", rule_version: int = VERSION) -> DataFrame:
     """New ledger rows: blob_id, rule_version, spans; one for each blob that the ledger lacks at this rule version.
 
-    A null text is an empty blob. Null paths, repeated rows and ties are fine: any row of a blob stands for it.
+    A null text is an empty blob. Null paths, repeated rows and ties are fine: any row of a blob stands for it, chosen by
+    an aggregate with partial results, so that a text of many rows is no hot key. A very long text is one value of one row.
+    An empty table gives no rows. Columns other than the three named are not read.
     """
     blobs = with_blobs(versions, path_col, version_col, text_col)
-    unseen = blobs.groupBy("blob_id").agg(F.min(F.struct("path", "version")).alias("at"))
+    unseen = blobs.groupBy("blob_id").agg(F.any_value("text").alias("text"))
     if ledger is not None:
         seen = ledger.where(F.col("rule_version") == rule_version).select("blob_id")
         unseen = unseen.join(seen, "blob_id", "left_anti")
-    chosen = unseen.select(F.col("blob_id").alias("_b"), F.col("at.path").alias("_p"), F.col("at.version").alias("_v")).hint("shuffle_hash")
-    same = (F.col("blob_id") == F.col("_b")) & F.col("path").eqNullSafe(F.col("_p")) & F.col("version").eqNullSafe(F.col("_v"))
-    fresh = blobs.join(chosen, same, "left_semi")
-    found = fresh.select("blob_id", spans(F.col("text"), RULE_SETS[rule_version]).alias("spans"))
-    return found.groupBy("blob_id").agg(F.max("spans").alias("spans")).select("blob_id", F.lit(rule_version).alias("rule_version"), "spans")
+    return unseen.select("blob_id", F.lit(rule_version).alias("rule_version"), spans(F.col("text"), RULE_SETS[rule_version]).alias("spans"))
 
 
-def locate(versions: DataFrame, ledger: DataFrame, path_col: str = "doc_id", version_col: str | None = None, text_col: str = "text", rule_version: int = VERSION) -> DataFrame:
-    """All rows of versions as path, version, blob_id with their blob's spans (none: an empty list)."""
-    salt = F.pmod(F.xxhash64("path", "version", F.monotonically_increasing_id()), F.lit(SALTS))
-    rows = with_blobs(versions, path_col, version_col, text_col).drop("text").withColumn("salt", salt)
+class Ledger:
+    """The ledger as a table that grows: every call of `extend` appends what it found in blobs that no earlier one saw."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+
+    def rows(self) -> DataFrame:
+        return self.spark.read.schema(LEDGER).parquet(self.path)
+
+    def extend(self, versions: DataFrame, path_col: str = "doc_id", version_col: str | None = None, text_col: str = "text", rule_version: int = VERSION) -> DataFrame:
+        """Scans the unseen pairs of blob and rule version among `versions`, appends them, and returns the whole ledger.
+
+        Nulls, repeats and empty tables are as in `scan`; the first call makes the table, also for no rows.
+        """
+        known = None
+        try:
+            known = self.rows() if not self.rows().isEmpty() else None
+        except AnalysisException as error:
+            if "PATH_NOT_FOUND" not in str(error):
+                raise
+        found = scan(versions, known, path_col, version_col, text_col, rule_version)
+        found.write.mode("append").option("compression", "zstd").parquet(self.path)
+        return self.rows()
+
+
+def _hits(ledger: DataFrame, rule_version: int) -> tuple[DataFrame, bool]:
+    """Blobs with findings (blob_id, spans), and whether they may go to all executors: a checked size."""
     hits = ledger.where((F.col("rule_version") == rule_version) & (F.size("spans") > 0)).select("blob_id", "spans")
-    hits = hits.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))).hint("merge")  # repeated rows look smaller than their broadcast would be
-    return rows.join(hits, ["blob_id", "salt"], "left").select("path", "version", "blob_id", F.coalesce("spans", F.array().cast(SPAN)).alias("spans"))
+    n, spans_of_all = hits.agg(F.count("*"), F.coalesce(F.sum(F.size("spans")), F.lit(0))).first()
+    return hits, n + spans_of_all <= BROADCAST
+
+
+def _located(rows: DataFrame, ledger: DataFrame, rule_version: int, by: Column) -> DataFrame:
+    """rows (blob_id, ...) with spans, null where their blob has none."""
+    hits, few = _hits(ledger, rule_version)
+    return rows.join(F.broadcast(hits), "blob_id", "left") if few else salted(rows, hits, "blob_id", by, "left")
+
+
+def locate(versions: DataFrame, ledger: DataFrame, path_col: str = "doc_id", version_col: str | None = None, text_col: str = "text", rule_version: int = VERSION) -> DataFrame:
+    """All rows of versions as path, version, blob_id with their blob's spans (none: an empty list).
+
+    Null paths and texts stay, a null text as the empty blob; repeated rows stay; an empty table gives no rows. Blobs of
+    all findings go to the executors where they are few by count; else both sides are shuffled by blob and salt. Texts are
+    hashed, whatever their length, and not shuffled. Columns other than the three named are not read.
+    """
+    rows = with_blobs(versions, path_col, version_col, text_col).drop("text")
+    by = F.struct("path", "version", F.monotonically_increasing_id())
+    return _located(rows, ledger, rule_version, by).select("path", "version", "blob_id", F.coalesce("spans", F.array().cast(SPAN)).alias("spans"))
 
 
 def describe(found: Column, rules: tuple[Rule, ...]) -> Column:
@@ -129,10 +171,19 @@ def redacted(text: Column, found: Column, mask: str = MASK) -> Column:
     return F.when(F.size(found) == 0, text).otherwise(F.aggregate(found, zero, step, lambda acc: F.concat(acc["out"], F.substr(text, acc["at"] + 1))))
 
 
-def redact(docs: DataFrame, text_col: str = "text", path_col: str = "doc_id", rule_version: int = VERSION) -> DataFrame:
-    """docs, same rows and columns, with the secrets of every text masked; null texts stay null."""
-    hits = scan(docs, None, path_col, None, text_col, rule_version).where(F.size("spans") > 0).select(F.col("blob_id").alias("__blob"), F.col("spans").alias("__spans"))
-    blob = F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
-    joined = docs.withColumn("__key", blob).join(hits, F.col("__key") == F.col("__blob"), "left")
-    masked = F.when(F.col("__spans").isNull(), F.col(text_col)).otherwise(redacted(F.col(text_col), F.col("__spans")))
-    return joined.select(*[masked.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])
+def redact(docs: DataFrame, text_col: str = "text", path_col: str = "doc_id", rule_version: int = VERSION, ledger: DataFrame | None = None, changed: bool = False) -> DataFrame:
+    """docs, same rows and columns whatever their names, with the secrets of every text masked; with `changed`, only rows that have any.
+
+    Null texts stay null, empty ones empty; repeated rows stay, and equal texts are scanned once. A ledger that holds every
+    text saves the scan. Texts move only where the texts with secrets are too many to broadcast, dealt by blob and salt. An
+    empty table gives no rows.
+    """
+    ledger = staged(scan(docs, None, path_col, None, text_col, rule_version), "secret-ledger") if ledger is None else ledger
+    blob = F.unhex(F.sha2(F.coalesce(col(text_col), F.lit("")), 256))
+    (own,) = new_names(docs, "row")
+    rows = docs.select(blob.alias("blob_id"), F.struct(*[col(c).alias(c) for c in docs.columns]).alias(own))
+    text = F.col(own)[text_col]
+    masked = F.when(F.col("spans").isNull(), text).otherwise(redacted(text, F.col("spans")))
+    found = _located(rows, ledger, rule_version, F.monotonically_increasing_id())
+    found = found.where("spans IS NOT NULL") if changed else found
+    return found.select(*[masked.alias(c) if c == text_col else F.col(own)[c].alias(c) for c in docs.columns])

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cinesieve.llm.shared import staged
+from cinesieve.llm.shared import col, partitions, staged
 
 ROUNDS, KEY, SHARDS = 6, 20_240_607, 16
 _PART = 33  # monotonically_increasing_id puts the partition above this many bits
@@ -74,7 +74,7 @@ def numbered(rows: DataFrame, order: list[str], number_col: str = "row_number")
     show in the result where the order holds all columns.
     """
     spark = rows.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = partitions(rows)
     tied = rows.withColumn("_tie", F.monotonically_increasing_id())
     ordered = tied.repartitionByRange(parts, *order, "_tie").sortWithinPartitions(*order, "_tie").drop("_tie")
     kept = staged(ordered.withColumn("_at", F.monotonically_increasing_id()), "row-numbers")
@@ -93,11 +93,11 @@ def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard
     """One row a document: id_col, size (UTF-8 bytes + 1), text_crc32 (unsigned), row_number, shard, slot.
 
     A null text has size 1 and the checksum of an empty one. Rows are numbered by id (nulls first), checksum and size;
-    repeated rows take neighbouring numbers and so fall to different places. An empty table gives no rows. Other columns
-    of docs are not read.
+    repeated rows take neighbouring numbers and so fall to different places. A very long text is read once, for its size and
+    checksum, and does not move. An empty table gives no rows. Other columns of docs are not read.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    slim = docs.select(F.col(id_col), (F.octet_length(text).cast("long") + 1).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
+    text = F.coalesce(col(text_col), F.lit(""))
+    slim = docs.select(col(id_col).alias(id_col), (F.octet_length(text).cast("long") + 1).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
     rows, n = numbered(slim, [id_col, "text_crc32", "size"])
 
     @F.pandas_udf("long")

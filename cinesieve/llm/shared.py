@@ -1,29 +1,23 @@
-"""What the training-data operators share: staging in the cluster's folder, let-bindings, word rules."""
+"""What the training-data operators share: staging in the cluster's folder, names, joins of hot keys, word rules."""
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cinesieve.functions.columns import let
+from cinesieve.sources.storage import forget, scratch
 
 #: The white space that separates words (space and 0x09-0x0D).
 SPACES = "\t\n\x0b\f\r "
-#: Where a session without spark.checkpoint.dir puts its tables, as in local runs.
-DEFAULT_SHARED = "file:///tmp/checkpoints"
+SALTS = 16
+_STAGED: list[str] = []
 
-__all__ = ["DEFAULT_SHARED", "SPACES", "let", "shared_dir", "staged", "words"]
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one is set only where the session names none."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = DEFAULT_SHARED
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
+__all__ = ["SALTS", "SPACES", "col", "let", "new_names", "partitions", "released", "salted", "staged", "words"]
 
 
 def staged(df: DataFrame, label: str, codec: str = "zstd", partition_by: list[str] | None = None) -> DataFrame:
@@ -32,12 +26,55 @@ def staged(df: DataFrame, label: str, codec: str = "zstd", partition_by: list[st
     This cuts the lineage, survives lost executors and makes a result that is used twice be computed once.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = scratch(spark, label)
+    _STAGED.append(path)
     writer = df.write.option("compression", codec)
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def released(spark: SparkSession, keep: int = 0) -> Iterator[None]:
+    """Deletes what was staged inside the block when it ends, but for the `keep` tables that were staged last.
+
+    For callers that have written or read all that they need of these tables by then.
+    """
+    mark = len(_STAGED)
+    yield
+    done = _STAGED[mark : len(_STAGED) - keep]
+    del _STAGED[mark : len(_STAGED) - keep]
+    for path in done:
+        forget(spark, path)
+
+
+def col(name: str) -> Column:
+    """A column by its name, dots and all."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def new_names(df: DataFrame, *labels: str) -> list[str]:
+    """Column names that df can't have."""
+    tail = uuid.uuid4().hex
+    assert not any(c.lower().endswith(tail) for c in df.columns)
+    return [f"{label}_{tail}" for label in labels]
+
+
+def salted(rows: DataFrame, values: DataFrame, key: str, by: Column, how: str = "inner", salts: int = SALTS) -> DataFrame:
+    """rows joined to values, which has one row a key; a hot key's rows are dealt over `salts` tasks by the hash of `by`.
+
+    values is repeated for each salt. Repeated rows compress so well that Spark would take their broadcast for small: the
+    hint keeps them out of one. `key` is not null.
+    """
+    (salt,) = new_names(rows, "salt")
+    each = values.withColumn(salt, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long")))).hint("merge")
+    return rows.withColumn(salt, F.pmod(F.xxhash64(by), F.lit(salts))).join(each, [key, salt], how).drop(salt)
+
+
+def partitions(df: DataFrame) -> int:
+    """How many partitions a shuffle of df's whole rows takes: as many as its scan has, and the session's number at least."""
+    return max(df.rdd.getNumPartitions(), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def words(text: Column) -> Column:
     """The maximal runs of characters other than SPACES; no words for null."""
     return F.array_remove(F.split(F.translate(F.coalesce(text, F.lit("")), SPACES, " " * len(SPACES)), " ", -1), "")

@@ -8,9 +8,9 @@ some four groups: each choice of four groups lays a grid over the vectors, a fin
 distance and then exactly.
 
 A cell of many near copies isn't compared pair by pair. First every member is compared with two others alone, the cell's
-first and the one before it in the cell's own order; the links found so give components. Then only members of different
-components are compared: in each cell, those outside its largest component against all others. A pair left out is linked
-already, so that the components are those of all links.
+first and the one before it in the cell's own order; the links found so give components. Hot cells are dealt in shares,
+whose firsts meet again. Then only members of different components are compared: in each cell, those outside its largest
+component against all others. A pair left out is linked already, so that the components are those of all links.
 """
 
 from __future__ import annotations
@@ -26,11 +26,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cinesieve.llm.graph import components
-from cinesieve.llm.shared import staged
+from cinesieve.llm.shared import col, new_names, salted, staged
 
 SHINGLE, BITS, SEED = 4, 4, 42
 _ODD = 0x5555555555555555
 _CHUNK = 1 << 14
+#: Shares of a hot cell, and how many mixed cells of 8 bytes each go to all executors.
+SHARES, BROADCAST_ROWS = 64, 1 << 20
 
 
 def _signed(x: int) -> int:
@@ -65,7 +67,7 @@ def _fingerprints(shingle: int):
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    rows = docs.select(col(id_col).cast("long").alias("id"), col(text_col).alias("text"))
     return rows.mapInArrow(_fingerprints(shingle), "id long, fp long")
 
 
@@ -99,25 +101,48 @@ def in_cells(prints: DataFrame, bits: int) -> DataFrame:
     return prints.withColumn("_e", embedding(F.col("fp"))).withColumn("_m", F.explode(masks)).withColumn("cell", F.col("_e").bitwiseOR(F.col("_m"))).drop("_e", "_m")
 
 
+def _hot_cells(prints: DataFrame, bits: int) -> DataFrame:
+    """Cells that may be too large for one task: at most 70 * 256, found in a 64th of the fingerprints.
+
+    They only decide where comparisons run: every link between components is found by `_last_links` anyhow.
+    """
+    some = prints.select("fp").where(F.pmod(F.xxhash64("fp"), F.lit(SHARES)) == 0)
+    least = max(32, some.count() // 256)
+    return staged(in_cells(some, bits).groupBy("cell").agg(F.count("*").alias("_n")).where(F.col("_n") > least).select("cell"), "hot-cells")
+
+
 def _first_links(prints: DataFrame, bits: int) -> DataFrame:
     turned = F.expr("shiftleft(fp, cast(pmod(hash(cell), 64) as int)) | shiftrightunsigned(fp, cast(64 - pmod(hash(cell), 64) as int))")
-    order = W.partitionBy("cell").orderBy("_o")
-    members = in_cells(prints.select("fp"), bits).withColumn("_o", turned)
-    seen = members.withColumns({"first": F.first("fp").over(order), "before": F.lag("fp").over(order)}).where("before IS NOT NULL")
-    close = [F.when(near(F.col("fp"), F.col(other), bits), F.col(other)) for other in ("first", "before")]
-    links = seen.select("fp", F.array_compact(F.array(*close)).alias("others")).where(F.size("others") > 0)
-    return links.select(F.col("fp").alias("a"), F.explode("others").alias("b")).distinct()
+    hot = F.broadcast(_hot_cells(prints, bits).select(F.col("cell").alias("_hot")))
+    share = F.when(F.col("_hot").isNotNull(), F.pmod(F.xxhash64("fp"), F.lit(SHARES))).otherwise(0)
+    members = in_cells(prints.select("fp"), bits).join(hot, F.col("cell") == F.col("_hot"), "left").withColumns({"_o": turned, "share": share})
+
+    def neighbours(rows: DataFrame, *group: str) -> DataFrame:
+        order = W.partitionBy(*group).orderBy("_o")
+        seen = rows.withColumns({"first": F.first("fp").over(order), "before": F.lag("fp").over(order)}).where("before IS NOT NULL")
+        close = [F.when(near(F.col("fp"), F.col(other), bits), F.col(other)) for other in ("first", "before")]
+        links = seen.select("fp", F.array_compact(F.array(*close)).alias("others")).where(F.size("others") > 0)
+        return links.select(F.col("fp").alias("a"), F.explode("others").alias("b"))
+
+    leaders = members.where("_hot IS NOT NULL").groupBy("cell", "share").agg(F.min(F.struct("_o", "fp")).alias("m")).select("cell", "m.*")
+    return neighbours(members, "cell", "share").union(neighbours(leaders, "cell")).distinct()
 
 
 def _last_links(labelled: DataFrame, bits: int) -> DataFrame:
-    """Links between components, from labelled (fp, component)."""
-    own, cell = W.partitionBy("cell", "component"), W.partitionBy("cell")
-    members = in_cells(labelled, bits).withColumn("n", F.count("*").over(own))
-    mixed = members.withColumns({"major": F.max(F.struct("n", "component")).over(cell), "low": F.min("component").over(cell), "high": F.max("component").over(cell)})
-    mixed = staged(mixed.where("low <> high").select("cell", "fp", "component", (F.col("component") != F.col("major.component")).alias("minor")), "cells")
-    a = mixed.where("minor").select("cell", F.col("fp").alias("a"), F.col("component").alias("ca"))
-    b = mixed.select("cell", F.col("fp").alias("b"), F.col("component").alias("cb"))
-    pairs = a.join(b, (a["cell"] == b["cell"]) & (F.col("ca") != F.col("cb")) & near(F.col("a"), F.col("b"), bits))
+    """Links between components, from labelled (fp, component).
+
+    Cells with two components or more are found by aggregates with partial sums, so that a cell's size is no matter; only
+    members of such cells become rows.
+    """
+    members = in_cells(labelled, bits)
+    mixed = staged(members.groupBy("cell").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("cell"), "mixed-cells")
+    few = mixed.count() <= BROADCAST_ROWS  # else both sides are shuffled by cell
+    rows = staged(members.join(F.broadcast(mixed) if few else mixed, "cell", "left_semi").select("cell", "fp", "component"), "cells")
+    sizes = rows.groupBy("cell", "component").agg(F.count("*").alias("n"))
+    major = staged(sizes.groupBy("cell").agg(F.max(F.struct("n", "component")).alias("m")).select("cell", F.col("m.component").alias("major")), "cells")
+    a = rows.join(major, "cell").where("component <> major").select("cell", F.col("fp").alias("a"), F.col("component").alias("ca"))
+    b = rows.select("cell", F.col("fp").alias("b"), F.col("component").alias("cb"))
+    pairs = staged(a, "cells").join(b, "cell").where((F.col("ca") != F.col("cb")) & near(F.col("a"), F.col("b"), bits))
     return pairs.select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct()
 
 
@@ -126,14 +151,15 @@ def link(prints: DataFrame, bits: int = BITS) -> DataFrame:
     first = components(_first_links(prints, bits))
     labelled = staged(prints.select("fp").join(first, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("component", "fp").alias("component")), "labels")
     last = components(_last_links(labelled, bits)).select(F.col("node").alias("component"), F.col("component").alias("final"))
-    return labelled.join(last, "component", "left").select("fp", F.coalesce("final", "component").alias("component"))
+    return salted(labelled, last, "component", F.col("fp"), "left").select("fp", F.coalesce("final", "component").alias("component"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, bits: int = BITS) -> DataFrame:
     """One row a document: id_col, fingerprint (16 hex digits), component_id (the smallest id that links reach, its own included).
 
-    Null and empty texts have fingerprint zero and are linked like any other. Equal fingerprints are compared once, however
-    many documents have them. Ids are integers; null ones are passed over in component_id, which is null where a component
+    Null and empty texts have fingerprint zero and are linked like any other. Texts are read whole; shingles of a very long
+    one are hashed in parts, with 64 counters as the only state. Equal fingerprints are compared once, however many
+    documents have them. Ids are integers; null ones are passed over in component_id, which is null where a component
     has no other. Repeated rows stay. An empty table gives no rows. Other columns of docs are not read.
     """
     prints = staged(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
@@ -144,27 +170,29 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def _named(prints: DataFrame, bits: int) -> DataFrame:
     """(fp, component, component_id) of the fingerprints of rows (id, fp)."""
     distinct = staged(prints.groupBy("fp").agg(F.min("id").alias("least")), "distinct-fingerprints")
-    named = distinct.join(link(distinct, bits), "fp")
+    named = staged(distinct.join(link(distinct, bits), "fp"), "named-fingerprints")
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    return staged(named.select("fp", "component").join(least, "component"), "components")
+    return staged(salted(named.select("fp", "component"), least, "component", F.col("fp")), "components")
 
 
 def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, bits: int = BITS) -> DataFrame:
-    """One row of docs for each component of near_duplicates, all columns: that of the smallest id.
+    """One row of docs for each component of near_duplicates, all columns whatever their names: that of the smallest id.
 
-    Where several rows have that id, or no row has an id, one of them stays. Texts are joined to the chosen rows once and
-    are neither sorted nor compared.
+    Where several rows have that id, or no row has an id, one of them stays: of the smallest text hash, and of rows that
+    agree in it any one. Null and empty texts are linked like any other. Texts, of any length, are joined to the chosen rows
+    once and are neither sorted nor compared. An empty table gives no rows.
     """
-    key = F.xxhash64(F.col(f"`{text_col}`"))
-    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"), key.alias("row"))
+    key = F.xxhash64(col(text_col))
+    rows = docs.select(col(id_col).cast("long").alias("id"), col(text_col).alias("text"), key.alias("row"))
     prints = staged(rows.mapInArrow(_fingerprints(shingle), "id long, fp long, row long"), "fingerprints")
     named = prints.join(_named(prints.select("id", "fp"), bits), "fp").where("id <=> component_id")
     of_row = named.groupBy("component", "id", "row").agg(F.count("*").alias("n"))
     chosen = of_row.groupBy("component").agg(F.min(F.struct("row", "id", "n")).alias("c"))
-    chosen = staged(chosen.select(F.col("c.id").alias("__id"), F.col("c.row").alias("__row"), F.col("c.n").alias("__n")), "representatives")
-    same = F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__row"))
-    kept = docs.withColumn("__key", key).join(chosen.hint("shuffle_hash"), same)
-    if not chosen.where("__n > 1").isEmpty():  # rows that agree in id and text: one of each stays
-        repeated = kept.where("__n > 1").dropDuplicates(["__id", "__row"])
-        kept = kept.where("__n = 1").unionByName(repeated)
-    return kept.drop("__key", "__id", "__row", "__n")
+    own, the_id, the_row, n = new_names(docs, "key", "id", "row", "n")
+    chosen = staged(chosen.select(F.col("c.id").alias(the_id), F.col("c.row").alias(the_row), F.col("c.n").alias(n)), "representatives")
+    same = col(id_col).cast("long").eqNullSafe(F.col(the_id)) & (F.col(own) == F.col(the_row))
+    kept = docs.withColumn(own, key).join(chosen.hint("shuffle_hash"), same)
+    if not chosen.where(F.col(n) > 1).isEmpty():  # rows that agree in id and text: one of each stays
+        repeated = kept.where(F.col(n) > 1).dropDuplicates([the_id, the_row])
+        kept = kept.where(F.col(n) == 1).unionByName(repeated)
+    return kept.select(*[col(c) for c in docs.columns])

@@ -5,10 +5,10 @@ steps, none of which holds ids:
 
 1. Every task counts the pre-tokens of its texts; their sums over the corpus are the vocabulary.
 2. Each distinct pre-token's pieces are counted once.
-3. Texts are cut again. The most frequent pre-tokens, `head` of them at most, are looked up in the task; each other one is
-   a row (document, pre-token, frequency) that is joined to the vocabulary, and the products are summed by document.
+3. Texts are cut again. Each pre-token is a row (document, pre-token, frequency) that is joined to the vocabulary, and the
+   products are summed by document. Only the most frequent pre-tokens, `head` of them at most, are priced in the task: they
+   would be the join's hot keys. A pre-token outside them has under 1 / head of all occurrences.
 
-The head keeps frequent pre-tokens, which would be hot keys, out of the join, and rows for the rare ones alone are shuffled.
 Where white space comes as single spaces and line ends, a pre-token is a space-delimited chunk with the white space before
 it (a run of whole library pre-tokens); other texts are cut by the library.
 """
@@ -24,9 +24,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cinesieve.llm.shared import staged
+from cinesieve.llm.shared import col, staged
 
-HEAD, FLUSH, ROWS = 1 << 18, 400_000, 50_000
+#: Pre-tokens that are looked up in the tasks: some 200 KB, whatever the corpus.
+HEAD, FLUSH, ROWS = 1 << 13, 400_000, 50_000
 #: Characters of texts after which a task hands on what it has counted, however few entries that is.
 CHARS = 1 << 25
 _ODD = re.compile(r"[^\S \n]|\s\s(?:\s|\Z)")
@@ -147,7 +148,7 @@ def _lowest(known: DataFrame, head: int) -> int:
 
 def vocabulary(docs: DataFrame, text_col: str = "text", tokenizer: str = "byte_bpe_50k.json") -> DataFrame:
     """One row a distinct pre-token of all texts: token, freq, pieces."""
-    counted = docs.select(F.col(text_col).alias("text")).mapInArrow(_vocabulary(tokenizer), "token string, n long")
+    counted = docs.select(col(text_col).alias("text")).mapInArrow(_vocabulary(tokenizer), "token string, n long")
     distinct = counted.groupBy("token").agg(F.sum("n").alias("freq"))
     return distinct.mapInArrow(_pieces(tokenizer), "token string, freq long, pieces long")
 
@@ -156,16 +157,24 @@ def count(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", token
     """One row a document: id_col, n_bytes (UTF-8), n_tokens, as the tokenizers library counts them without added begin or end.
 
     Added tokens inside texts are one token each, as is the library's default. A null text counts as empty: 0 bytes and
-    tokens. Ids are integers and may be null or repeat: rows are told apart. An empty table gives no rows. Other columns
-    of docs are not read.
+    tokens. Ids are integers and may be null or repeat: rows are told apart. A very long text is cut whole, in one task, and
+    its pre-tokens leave it in batches. A pre-token that the vocabulary lacks, as where texts change under the query, is an
+    error. An empty table gives no rows. Other columns of docs are not read.
     """
     spark = docs.sparkSession
     known = staged(vocabulary(docs, text_col, tokenizer), "pre-tokens")
     top = {r.token: r.pieces for r in known.where(_grade() >= _lowest(known, head)).select("token", "pieces").toLocalIterator()}
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), col(id_col).cast("long").alias("id"), col(text_col).alias("text"))
     counts = rows.mapInArrow(_by_document(tokenizer, spark.sparkContext.broadcast(top)), "row long, id long, n_bytes long, token string, salt long, n long")
-    priced = known.select("token", F.lit(0).cast("long").alias("salt"), "pieces")
-    joined = counts.join(priced, ["token", "salt"], "left")
-    total = F.sum(F.col("n") * F.coalesce("pieces", F.lit(1)))
-    summed = joined.groupBy("row").agg(F.max("id").alias("id"), F.max("n_bytes").alias("n_bytes"), total.alias("n_tokens"))
-    return summed.select(F.col("id").alias(id_col), "n_bytes", "n_tokens")
+    return priced(counts, known).select(F.col("id").alias(id_col), "n_bytes", "n_tokens")
+
+
+def priced(counts: DataFrame, known: DataFrame) -> DataFrame:
+    """Counts of pre-tokens by row times their pieces, summed up by row: row, id, n_bytes, n_tokens.
+
+    A row's own entry, with its id, bytes and what the task has summed up, has an empty pre-token and a salt of its own.
+    """
+    joined = counts.join(known.select("token", F.lit(0).cast("long").alias("salt"), "pieces"), ["token", "salt"], "left")
+    missing = F.raise_error(F.concat(F.lit("a pre-token is not in the vocabulary: "), F.col("token"))).cast("long")
+    total = F.sum(F.col("n") * F.when(F.col("token") == "", F.lit(1)).when(F.col("pieces").isNull(), missing).otherwise(F.col("pieces")))
+    return joined.groupBy("row").agg(F.max("id").alias("id"), F.max("n_bytes").alias("n_bytes"), total.alias("n_tokens"))

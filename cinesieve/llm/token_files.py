@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cinesieve.llm.encoding import encoder
-from cinesieve.llm.shared import staged
+from cinesieve.llm.shared import col, partitions, staged
 
 MAGIC, HEADER, STEP = b"EFTK", struct.Struct("<4sHHQQHH"), 64
 SEGMENT_IDS = 1 << 20
@@ -141,30 +141,33 @@ def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for worker, base, names, image in zip(*[batch.column(c) for c in ("worker", "base", "doc_ids", "image")], strict=True):
             read, names, start = Segment(image.as_py()), names.as_py(), base.as_py()
-            bounds = read.bounds.all()
-            wide = read.ids.astype("<u4")
-            for first in range(0, len(names), 500):
-                part = range(first, min(first + 500, len(names)))
-                columns = [names[first : first + 500], [worker.as_py()] * len(part), start + bounds[part], np.diff(bounds[first : part[-1] + 2]), [wide[bounds[i] : bounds[i + 1]].tobytes() for i in part]]
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _READ, strict=True)], schema=_READ)
+            last, rows = 0, []
+            for i, name in enumerate(names):
+                first, last = last, read.bounds.get(i + 1)  # select: the boundaries are never a table
+                rows.append((name, worker.as_py(), start + first, last - first, read.ids[first:last].astype("<u4").tobytes()))
+                if len(rows) == 500 or i + 1 == len(names):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _READ, strict=True)], schema=_READ)
+                    rows = []
 
 
 def write(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = "word_bpe_49k.json", by_chunk: bool = True, end_id: int = 2, segment_ids: int = SEGMENT_IDS) -> DataFrame:
     """Writes the segments into the shared folder; returns them as rows: worker, segment, base, n_ids, doc_ids, image.
 
     Documents follow each other by id, nulls first, then by text hash; rows that are equal in both may stand either way.
-    A null or empty text has end_id alone. Ids are integers; repeated rows stay. An empty table gives no segment. Other
-    columns of docs are not read.
+    A null or empty text has end_id alone. Ids are integers; repeated rows stay. A very long text is encoded whole; one of
+    more than `segment_ids` ids has a segment of its own. An empty table gives no segment. Whole texts are dealt into as
+    many ranges as the scan has partitions, so a range is no larger for a larger table. Other columns of docs are not read.
     """
-    spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = rows.repartitionByRange(parts, "id", F.xxhash64("text")).sortWithinPartitions("id", F.xxhash64("text"))
+    rows = docs.select(col(id_col).cast("long").alias("id"), col(text_col).alias("text"))
+    ordered = rows.repartitionByRange(partitions(docs), "id", F.xxhash64("text")).sortWithinPartitions("id", F.xxhash64("text"))
     return staged(ordered.mapInArrow(_encode(tokenizer, by_chunk, end_id, segment_ids), WRITTEN), "token-files")
 
 
 def read(segments: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """One row a document from the images: id_col, start (ids of all documents before it), n_tokens, ids (unsigned 32-bit)."""
+    """One row a document from the images: id_col, start (ids of all documents before it), n_tokens, ids (unsigned 32-bit).
+
+    Where a document begins is asked of the image's select structure. No segments give no rows; null ids and repeats stay.
+    """
     spark = segments.sparkSession
     totals = sorted((r.worker, r.n) for r in segments.groupBy("worker").agg(F.sum("n_ids").alias("n")).collect())  # as many as partitions
     starts, at = [], 0

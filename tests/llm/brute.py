@@ -2,6 +2,8 @@
 
 import collections
 import hashlib
+import itertools
+import math
 import re
 import unicodedata
 import zlib
@@ -69,8 +71,8 @@ def fingerprint(text):
     w = WORD.findall(lower(text or ""))
     if not w:
         return 0
-    hashes = [xxhash.xxh64_intdigest(" ".join(w[i : i + 4]).encode(), seed=42) for i in range(max(1, len(w) - 3))]
-    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+    hashes = np.array([xxhash.xxh64_intdigest(" ".join(w[i : i + 4]).encode(), seed=42) for i in range(max(1, len(w) - 3))], np.uint64)
+    return sum(1 << b for b in range(64) if 2 * int((hashes >> np.uint64(b) & np.uint64(1)).sum()) > len(hashes))
 
 
 def components(fingerprints, bits=4):
@@ -102,5 +104,44 @@ def shingles(text):
     return {" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
 
 
+def ngrams(text, buckets):
+    """Counts by bucket of n-grams of orders 1 to 3: the text in lower case, all but letters as spaces, a space on either side."""
+    if not any(c.isalpha() for c in (text or "").lower()):
+        return None
+    c = [32, *(ord(x) if x.isalpha() else 32 for x in text.lower()), 32]
+    found, word = collections.Counter(), 1 << 32
+    for i in range(len(c)):
+        one = c[i] * 0x9E3779B1 % word
+        grams = [(0, one, c[i] != 32)]
+        if i + 1 < len(c):
+            two = (one * 0x85EBCA6B + c[i + 1]) % word
+            grams.append((1, two, c[i] != 32 or c[i + 1] != 32))
+        if i + 2 < len(c):
+            grams.append((2, (two * 0xC2B2AE35 + c[i + 2]) % word, c[i + 1] != 32))
+        for order, h, counts in grams:
+            if counts:
+                found[((h + order * 0x27D4EB2F) * 0x9E3779B1 % word) * buckets >> 32] += 1
+    return found
+
+
+def mixture(counts, models, penalty):
+    """counts by bucket, models: language -> bucket -> probability. The best shares of every set of languages, by long
+    expectation-maximisation; the set with the largest likelihood less penalty."""
+    best = (-math.inf, None)
+    for n in range(1, len(models) + 1):
+        for names in itertools.combinations(sorted(models), n):
+            shares = dict.fromkeys(names, 1 / n)
+            for _ in range(300 if n > 1 else 0):
+                new = dict.fromkeys(names, 0.0)
+                for b, k in counts.items():
+                    whole = sum(shares[x] * models[x][b] for x in names)
+                    for x in names:
+                        new[x] += k * shares[x] * models[x][b] / whole
+                shares = {x: v / sum(counts.values()) for x, v in new.items()}
+            value = sum(k * math.log(sum(shares[x] * models[x][b] for x in names)) for b, k in counts.items()) - penalty * n
+            best = max(best, (value, tuple(shares.items())))
+    return dict(best[1])
+
+
 def crc(array):
     return zlib.crc32(array.astype("<u4").tobytes())

@@ -15,6 +15,13 @@ def edge_texts():
     ]
 
 
+def long_text(leak):
+    """Over a megabyte: numbered words, repeated lines, a secret and a benchmark passage in the middle, and one word of 100,000 letters."""
+    words = [f"river stone {i % 977} willow" for i in range(60_000)]
+    words[30_000:30_000] = ["token=abcdefgh12345", leak, "y" * 100_000]
+    return "\n".join(" ".join(words[i : i + 20]) for i in range(0, len(words), 20)) + "\nthe end" * 40
+
+
 @pytest.fixture(scope="session")
 def tables(spark, tmp_path_factory):
     """The smallest tables with odd rows added: nulls in every column, repeats, clashing extra columns."""
@@ -25,6 +32,7 @@ def tables(spark, tmp_path_factory):
     rows += [(10_000 + i, t, None, None, None, *[None] * len(CLASHING)) for i, t in enumerate(edge_texts())]
     leak = spark.read.parquet(f"{SF}/benchmark.parquet").orderBy("item_id").first().text
     rows += [(20_000, "Before it. " + leak + " After it.", "en", "s", 1, *[None] * len(CLASHING)), (20_001, " ".join(leak.split()[:4]), "en", "s", 1, *[None] * len(CLASHING))]
+    rows += [(20_002, long_text(leak), None, "s", None, *[None] * len(CLASHING))]
     spark.createDataFrame(rows, schema).repartition(3).write.parquet(f"{root}/documents.parquet")
     spark.read.parquet(f"{SF}/benchmark.parquet").unionByName(spark.createDataFrame([(900, None), (901, ""), (902, "two words")], "item_id long, text string")).write.parquet(f"{root}/benchmark.parquet")
     odd = [(500, 0, "system", "[INST]</s><s>[CTX]"), (500, 1, "user", None), (500, 2, "assistant", "[/INST] [\\INST] <\\\\/s> </\\s>"), (500, 3, "assistant", "word " * 5000), (500, 4, "user", ""), (501, 0, "system", "alone"),

@@ -24,8 +24,9 @@ def masked(text):
 def expected(documents, items):
     counts = {}
     for k, d in documents.items():
-        if brute.zlib.crc32(str(k).encode()) % 5 and d.lang and (n := language.ngrams(d.text)) is not None:
-            counts[d.lang] = counts.get(d.lang, 0) + n
+        if brute.zlib.crc32(str(k).encode()) % 5 and d.lang and (n := brute.ngrams(d.text, language.BUCKETS)) is not None:
+            own = counts.setdefault(d.lang, np.zeros(language.BUCKETS, np.int64))
+            own[list(n)] += list(n.values())
     langs = sorted(counts)
     model = language.Model(langs, np.stack([counts[lang] for lang in langs], axis=1))
     kept = [k for k in sorted(documents) if (found := model.infer(documents[k].text))[0] != "und" and found[2] >= 0.5]
