@@ -105,8 +105,9 @@ def test_op9_quality(spark, tables, documents):
 
 def test_op10_packing(spark, tables, documents):
     pieces, sequences = collections.defaultdict(list), collections.defaultdict(list)
+    all_ids = {k: np.append(brute.ids("word_bpe_49k.json", d.text), 1) for k, d in documents.items()}
     for r in query(spark, "op10", tables).collect():
-        ids = np.append(brute.ids("word_bpe_49k.json", documents[r.doc_id].text), 1)
+        ids = all_ids[r.doc_id]
         assert r.doc_tokens == len(ids) and r.ids_crc32 == brute.crc(ids[r.start : r.start + r.length]), documents[r.doc_id].text
         pieces[r.doc_id].append((r.start, r.length))
         sequences[r.sequence_id].append((r.offset, r.length))
@@ -118,7 +119,7 @@ def test_op10_packing(spark, tables, documents):
                 assert start == at and length > 0
                 at += length
             ends[id(own), k] = at
-    assert all(ends[id(pieces), k] == len(brute.ids("word_bpe_49k.json", d.text)) + 1 for k, d in documents.items())
+    assert all(ends[id(pieces), k] == len(ids) for k, ids in all_ids.items())
     used = [ends[id(sequences), k] for k in sequences]
     padded = [min(2048, 1 << (n - 1).bit_length()) for n in used]
     assert max(used) <= 2048 and sum(used) > 0.97 * sum(padded)
