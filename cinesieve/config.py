@@ -46,6 +46,8 @@ class Config:
     scorer: Scorer = field(default_factory=Scorer)
     output: Output = field(default_factory=Output)
     warnings: tuple[str, ...] = ()
+    #: Whether the settings of the extraction were stated, so that a run that can't heed them says so.
+    extraction_given: bool = False
 
 
 def from_dict(given: dict) -> Config:
@@ -64,7 +66,7 @@ def from_dict(given: dict) -> Config:
             continue
         known = {f.name for f in fields(default)}
         config = replace(config, **{part.name: replace(default, **{k: v for k, v in section.items() if k in known and v is not None})})
-    return replace(config, warnings=tuple(notes))
+    return replace(config, warnings=tuple(notes), extraction_given=bool(given.get("extraction")))
 
 
 def load(spark: SparkSession, path: str) -> Config:
@@ -97,4 +99,5 @@ def overridden(config: Config, mode: str | None = None, fps: float | None = None
     if "top_n" in changes["scorer"]:
         changes["scorer"]["enabled"] = True
     changes["output"] |= {k: v for k, v in {"keep_raw": keep_raw or None, "generate_html_preview": False if no_html else None, "report_json": False if no_report else None}.items() if v is not None}
-    return replace(config, warnings=tuple(notes), **{s: replace(getattr(config, s), **c) for s, c in changes.items()})
+    stated = config.extraction_given or bool(changes["extraction"])
+    return replace(config, warnings=tuple(notes), extraction_given=stated, **{s: replace(getattr(config, s), **c) for s, c in changes.items()})

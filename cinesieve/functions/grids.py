@@ -79,11 +79,6 @@ def weighted(**scores: Column) -> Column:
     return out
 
 
-def rounded(x: Column, digits: int = 3) -> Column:
-    """Half up on the double itself, alike on any engine."""
-    return F.floor(x * 10.0**digits + 0.5) / 10.0**digits
-
-
 def hamming_similarity(a: Column, b: Column, bits: int) -> Column:
     """1 - distance / bits of two array<bigint> hashes of equal length."""
     distance = F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, d: s + d)

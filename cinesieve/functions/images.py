@@ -31,13 +31,16 @@ def laplacian_variance(gray: np.ndarray) -> float:
 
 
 def edges(gray: np.ndarray, low: int = EDGE_LOW, high: int = EDGE_HIGH) -> np.ndarray:
-    """Canny edges: Sobel gradients, suppression along the gradient, and weak edges kept where strong ones reach them."""
-    g = np.pad(gray.astype(np.int64), 1, mode="edge")
-    column, row = g[:-2] + 2 * g[1:-1] + g[2:], g[:, :-2] + 2 * g[:, 1:-1] + g[:, 2:]
-    dx, dy = column[:, 2:] - column[:, :-2], row[2:] - row[:-2]
+    """Canny edges of one image or of n (n x height x width): Sobel gradients, suppression along the gradient, and weak edges
+    kept where strong ones reach them."""
+    around = [(0, 0)] * (gray.ndim - 2) + [(1, 1), (1, 1)]
+    g = np.pad(gray.astype(np.int64), around, mode="edge")
+    column, row = g[..., :-2, :] + 2 * g[..., 1:-1, :] + g[..., 2:, :], g[..., :-2] + 2 * g[..., 1:-1] + g[..., 2:]
+    dx, dy = column[..., 2:] - column[..., :-2], row[..., 2:, :] - row[..., :-2, :]
     size = np.abs(dx) + np.abs(dy)
-    m = np.pad(size, 1)
-    at = lambda y, x: m[1 + y : m.shape[0] - 1 + y, 1 + x : m.shape[1] - 1 + x]
+    shifted = lambda p, y, x: p[..., 1 + y : p.shape[-2] - 1 + y, 1 + x : p.shape[-1] - 1 + x]
+    m = np.pad(size, around)
+    at = lambda y, x: shifted(m, y, x)
     steep, flat = np.abs(dy) > np.tan(np.pi * 3 / 8) * np.abs(dx), np.abs(dy) < np.tan(np.pi / 8) * np.abs(dx)
     falling = (dx >= 0) == (dy >= 0)
     before = np.where(flat, at(0, -1), np.where(steep, at(-1, 0), np.where(falling, at(-1, -1), at(-1, 1))))
@@ -45,20 +48,20 @@ def edges(gray: np.ndarray, low: int = EDGE_LOW, high: int = EDGE_HIGH) -> np.nd
     peak = (size > before) & np.where(flat | steep, size >= after, size > after)
     weak, found = peak & (size > low), peak & (size > high)
     while True:
-        p = np.pad(found, 1)
-        grown = weak & np.any([p[1 + y : p.shape[0] - 1 + y, 1 + x : p.shape[1] - 1 + x] for y in (-1, 0, 1) for x in (-1, 0, 1)], axis=0)
+        p = np.pad(found, around)
+        grown = weak & np.any([shifted(p, y, x) for y in (-1, 0, 1) for x in (-1, 0, 1)], axis=0)
         if (grown == found).all():
             return found.astype(np.uint8) * 255
         found = grown
 
 
-def composition(gray: np.ndarray) -> float:
-    """The share of edges in the middle half, half as much again, at most 1."""
+def composition(gray: np.ndarray) -> np.ndarray | float:
+    """The share of edges in the middle half, half as much again, at most 1; of one image or of each of n."""
     e = edges(gray).astype(np.float64)
-    if not (everywhere := e.sum()):
-        return 0.0
-    h, w = gray.shape
-    return float(min(e[h // 4 : 3 * h // 4, w // 4 : 3 * w // 4].sum() / (everywhere + 1e-6) * 1.5, 1.0))
+    h, w = gray.shape[-2:]
+    middle = e[..., h // 4 : 3 * h // 4, w // 4 : 3 * w // 4].sum(axis=(-2, -1))
+    share = np.minimum(middle / (e.sum(axis=(-2, -1)) + 1e-6) * 1.5, 1.0)
+    return float(share) if gray.ndim == 2 else share
 
 
 def scores(bgr: np.ndarray | None) -> dict:
@@ -134,9 +137,9 @@ def _sums(x: np.ndarray, window: int) -> np.ndarray:
 
 
 def ssim(kept: np.ndarray, frame: np.ndarray, window: int = WINDOW) -> np.ndarray:
-    """Structural similarity of one frame to each of n kept ones (n x height x width), over uniform windows inside the image."""
+    """Structural similarity of n images (n x height x width) to one frame or to n others, over uniform windows inside the image."""
     n = window * window
-    a, b = kept.astype(np.int64), frame.astype(np.int64)[None]
+    a, b = kept.astype(np.int64), frame.astype(np.int64).reshape(-1, *kept.shape[1:])
     ma, mb = _sums(a, window) / n, _sums(b, window) / n
     sample = n / (n - 1)
     va, vb = sample * (_sums(a * a, window) / n - ma * ma), sample * (_sums(b * b, window) / n - mb * mb)

@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cinesieve.functions import grids, images
+from cinesieve.functions.columns import exactly_rounded
 from cinesieve.operators import blur, dedup, ranking
 from cinesieve.sources.bindings import grid_frames
 
@@ -65,7 +66,8 @@ def q09_colorfulness(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q10_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
     @F.pandas_udf("double")
     def composed(px: pd.Series) -> pd.Series:
-        return pd.Series([images.composition(np.asarray(p, np.uint8).reshape(8, 8)) for p in px], dtype="float64")
+        grids_ = np.stack(px.to_list()).astype(np.uint8).reshape(-1, 8, 8) if len(px) else np.zeros((0, 8, 8), np.uint8)
+        return pd.Series(images.composition(grids_), dtype="float64")
 
     return grid_frames(spark, sf_dir).select("video", "frame_order", composed("px").alias("composition"))
 
@@ -82,7 +84,7 @@ def totals(spark: SparkSession, sf_dir: str) -> DataFrame:
         grids.contrast(px).alias("contrast"),
     )
     four = {n: F.col(n) for n in ("sharpness", "colorfulness", "brightness", "contrast")}
-    return parts.select("video", "frame_order", grids.rounded(grids.weighted(**four)).alias("total"))
+    return parts.select("video", "frame_order", exactly_rounded(grids.weighted(**four), 3).alias("total"))
 
 
 def q12_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -127,17 +129,17 @@ def q18_structure_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each frame to the one before it in its video."""
     @F.pandas_udf("double")
     def similar(a: pd.Series, b: pd.Series) -> pd.Series:
-        grid = lambda x: np.frombuffer(x, np.uint8).reshape(8, 8)
-        return pd.Series([images.ssim(grid(x)[None], grid(y))[0] for x, y in zip(a, b, strict=True)], dtype="float64")
+        grids_ = lambda s: np.frombuffer(b"".join(s), np.uint8).reshape(-1, 8, 8)
+        return pd.Series(images.ssim(grids_(a), grids_(b)), dtype="float64")
 
     w = W.partitionBy("video").orderBy("frame_order")
     pairs = pixels(spark, sf_dir).withColumns({"before": F.lag("frame_order").over(w), "old": F.lag("item").over(w)}).where("before IS NOT NULL")
-    return pairs.select("video", "frame_order", "before", grids.rounded(similar("old", "item"), 6).alias("similarity"))
+    return pairs.select("video", "frame_order", "before", exactly_rounded(similar("old", "item"), 6).alias("similarity"))
 
 
 def q19_structure_unique(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = dedup.greedy(pixels(spark, sf_dir), STRUCTURE, "ssim", 8)
-    return rows.select("video", "frame_order", "disposition", grids.rounded(F.col("similarity"), 6).alias("similarity"))
+    return rows.select("video", "frame_order", "disposition", exactly_rounded(F.col("similarity"), 6).alias("similarity"))
 
 
 QUERIES = {
@@ -177,7 +179,7 @@ _CONTRAST = f"least(sqrt({_VARIANCE.format('px')}) / 80.0, 1.0)"
 _RG = "list_sum(list_transform(range(16), lambda i: abs(px[4 * i + 3] - px[4 * i + 2]))) / 16.0"
 _YB = "list_sum(list_transform(range(16), lambda i: abs(px[4 * i + 3] + px[4 * i + 2] - 2 * px[4 * i + 1]))) / 32.0"
 _COLOR = f"least(({_RG} + {_YB}) / 80.0, 1.0)"
-TOTALS = f"""{BLURRED}, totals AS (SELECT video, frame_order, floor(({_SHARP} * 0.35 + {_COLOR} * CAST(0.2 AS DOUBLE) + ({_BRIGHT}) * CAST(0.2 AS DOUBLE) + {_CONTRAST} * 0.15) * 1000.0 + 0.5) / 1000.0 AS total FROM blurred)"""
+TOTALS = f"""{BLURRED}, totals AS (SELECT video, frame_order, CAST(printf('%.3f', {_SHARP} * 0.35 + {_COLOR} * CAST(0.2 AS DOUBLE) + ({_BRIGHT}) * CAST(0.2 AS DOUBLE) + {_CONTRAST} * 0.15) AS DOUBLE) AS total FROM blurred)"""
 RANKED = f"{TOTALS}, ranked AS (SELECT *, row_number() OVER (PARTITION BY video ORDER BY total DESC, frame_order) AS rank FROM totals)"
 _COS = "(SELECT list(c) FROM (SELECT u, list(CAST(floor(cos((2 * x + 1) * u * pi() / 16) * 4096 + 0.5) AS BIGINT) ORDER BY x) AS c FROM range(8) a(u), range(8) b(x) GROUP BY u ORDER BY u))"
 HASHED = f"""{FRAMES}, cosines AS (SELECT {_COS} AS c),
@@ -227,7 +229,7 @@ ORACLE_SQL = {
     "q16_unique_frames": f"{DEDUPED} SELECT video, frame_order FROM kept",
     "q17_duplicate_frames": f"{DEDUPED} SELECT video, frame_order, similarity FROM first_hit",
     "q18_structure_similarity": f"""WITH {STRUCTURES}, n AS (SELECT *, dense_rank() OVER (PARTITION BY video ORDER BY frame_order) AS rn FROM moments)
-SELECT b.video, b.frame_order, a.frame_order AS before, floor(sum({_S}) / 4 * 1000000.0 + 0.5) / 1000000.0 AS similarity FROM n a JOIN n b ON a.video = b.video AND b.rn = a.rn + 1 AND a.w = b.w GROUP BY ALL""",
+SELECT b.video, b.frame_order, a.frame_order AS before, CAST(printf('%.6f', sum({_S}) / 4) AS DOUBLE) AS similarity FROM n a JOIN n b ON a.video = b.video AND b.rn = a.rn + 1 AND a.w = b.w GROUP BY ALL""",
     "q19_structure_unique": f"""WITH RECURSIVE {folded(_STRUCTURE_SIMS, "frames")} SELECT video, frame_order, 'unique' AS disposition, CAST(NULL AS DOUBLE) AS similarity FROM kept
-UNION ALL SELECT video, frame_order, 'duplicate', floor(greatest(0, similarity) * 1000000.0 + 0.5) / 1000000.0 FROM first_hit""",
+UNION ALL SELECT video, frame_order, 'duplicate', CAST(printf('%.6f', greatest(0, similarity)) AS DOUBLE) FROM first_hit""",
 }

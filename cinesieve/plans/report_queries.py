@@ -83,10 +83,10 @@ def q33_without_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q34_summary_or_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows of a batch summary where there are any, else of single reports."""
+    """Rows of a batch summary where there are any, else of single reports; each side has videos that the other lacks."""
     funnel = stats.funnel(frames(spark, sf_dir))
-    reports = funnel.select(F.col("video").alias("report_video"), F.col("final_unique_frames").alias("report_frames"))
-    summary = funnel.where("video % 2 = 0").select(F.col("video").alias("summary_video"), F.col("final_unique_frames").alias("summary_frames"))
+    reports = funnel.where("video % 3 < 2").select(F.col("video").alias("report_video"), F.col("final_unique_frames").alias("report_frames"))
+    summary = funnel.where("video % 2 = 0").select(F.col("video").alias("summary_video"), F.col("total_raw_frames").alias("summary_frames"))
     rows = summary.join(reports, F.col("summary_video") == F.col("report_video"), "full_outer")
     return rows.select(
         F.coalesce("summary_video", "report_video").alias("video"),
@@ -121,7 +121,7 @@ def q38_json_field(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q39_streaming_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The unique frames of one trigger over all that the stream holds."""
     schema = read(spark, sf_dir, "embeddings").schema
-    rows = spark.readStream.schema(schema).parquet(f"{sf_dir}/embeddings.parquet*")
+    rows = spark.readStream.schema(schema).parquet(f"{sf_dir}/{{embeddings.parquet}}")  # a stream takes a file by a pattern only: of this name alone
     px = rows.select(F.col("label").cast("long").alias("video"), F.col("vec_id").alias("frame_order"), dedup.grid_hash(grids.gray(F.col("embedding"))).alias("item"))
     out, state = scratch(spark, "stream"), scratch(spark, "stream-state")
     query = streaming.greedy(px, fq.SIMILARITY, 64).writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start()
@@ -166,13 +166,13 @@ ORACLE_SQL = {
     "q21_removed_lists": f"""{_DISPOSED} SELECT video, coalesce(string_agg(printf('frame_%05d.jpg', frame_order), ',' ORDER BY frame_order) FILTER (disposition = 'blurry'), '') AS blurry,
 coalesce(string_agg(printf('frame_%05d.jpg', frame_order), ',' ORDER BY frame_order) FILTER (disposition = 'duplicate'), '') AS duplicates FROM disposed GROUP BY video""",
     "q22_reductions": f"{_FUNNEL} SELECT video, (1 - final_unique_frames / greatest(total_raw_frames, 1)) * 100 AS reduction FROM funnel",
-    "q23_batch": f"{_BATCH} SELECT *, CASE WHEN total_raw_frames = 0 THEN 0.0 ELSE floor(CAST(100.0 AS DOUBLE) * (total_raw_frames - final_unique_frames) / total_raw_frames * 10 + 0.5) / 10 END AS overall_reduction FROM batch",
+    "q23_batch": f"{_BATCH} SELECT *, CASE WHEN total_raw_frames = 0 THEN 0.0 ELSE CAST(printf('%.1f', CAST(100.0 AS DOUBLE) * (total_raw_frames - final_unique_frames) / total_raw_frames) AS DOUBLE) END AS overall_reduction FROM batch",
     "q24_by_status": f"{_FUNNEL} SELECT status, count(*) AS videos, CAST(sum(total_raw_frames) AS BIGINT) AS frames FROM videos GROUP BY ROLLUP (status)",
     "q25_failures": f"{_FUNNEL} SELECT count(*) FILTER (status <> 'success') AS n_failed, coalesce(string_agg('video' || video, ', ' ORDER BY 'video' || video) FILTER (status <> 'success'), '') AS names FROM videos",
     "q31_gallery": f"{_GALLERY} SELECT video, file, number FROM gallery",
     "q32_gallery_cap": f"{_GALLERY} SELECT video, number, file, greatest(0, count(*) OVER (PARTITION BY video) - {GALLERY}) AS left_out FROM gallery QUALIFY number <= {GALLERY}",
     "q33_without_frames": f"WITH {fq.BLURRED} SELECT DISTINCT video FROM blurred WHERE video NOT IN (SELECT video FROM blurred WHERE blur_score >= {EMPTY})",
-    "q34_summary_or_report": f"{_FUNNEL} SELECT video, CASE WHEN video % 2 = 0 THEN 'summary' ELSE 'report' END AS origin, final_unique_frames AS frames FROM funnel",
+    "q34_summary_or_report": f"{_FUNNEL} SELECT video, 'summary' AS origin, total_raw_frames AS frames FROM funnel WHERE video % 2 = 0 UNION ALL SELECT video, 'report', final_unique_frames FROM funnel WHERE video % 3 < 2 AND video % 2 <> 0",
     "q35_progress_lines": r"SELECT doc_id, len(string_split(text, chr(10))) AS lines, len(list_filter(string_split(text, chr(10)), lambda x: NOT regexp_matches(x, '\d+%\|'))) AS kept FROM documents",
     "q36_path_parts": r"""WITH p AS (SELECT page_id, split_part(regexp_replace(url, '[?#].*$', ''), '/', -1) AS name FROM pages)
 SELECT page_id, name, regexp_replace(name, '^(.+)\.[^.]+$', '\1') AS stem, regexp_extract(name, '^.+(\.[^.]+)$', 1) AS suffix, lower(regexp_extract(name, '^.+(\.[^.]+)$', 1)) IN ('.mp4', '.mov', '.avi', '.mkv', '.webm', '.m4v') AS is_video FROM p""",

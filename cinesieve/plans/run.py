@@ -1,8 +1,8 @@
-"""Curation of image folders from end to end."""
+"""Curation of videos, or of folders of their frames, from end to end."""
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -11,47 +11,77 @@ from pyspark.sql import functions as F
 
 from cinesieve.config import Config
 from cinesieve.functions import images
-from cinesieve.plans.curate import curated
+from cinesieve.operators import ranking
+from cinesieve.plans.curate import disposed
+from cinesieve.plans.jobs import Job
 from cinesieve.sinks import files, reports
 from cinesieve.sources import frames as source
-from cinesieve.sources.storage import scratch
+from cinesieve.sources import video as video_source
+from cinesieve.sources.reports import RESULT
+from cinesieve.sources.storage import forget, scratch
 
 SIDE = 256
-FEATURES = "blur_score double, item binary, scores struct<sharpness:double,colorfulness:double,brightness:double,contrast:double,composition:double,total:double,error:string>"
+FEATURES = "blur_score double, item binary"
+SCORES = "sharpness double, colorfulness double, brightness double, contrast double, composition double, total double, error string"
+#: Names of unique frames go to all executors up to this many; beyond it images are shuffled to them by name.
+BROADCAST_NAMES = 500_000
+NO_FRAMES = "No frames extracted (video may be too short or unreadable)"
+
+
+def _pixels(image) -> object:
+    bgr = images.decode(int(image["height"]), int(image["width"]), int(image["nChannels"]), image["data"])
+    if bgr is None:
+        raise ValueError("unreadable")
+    return bgr
 
 
 def features(frames: DataFrame, config: Config) -> DataFrame:
-    """frames (video, frame_order, file, origin, image) -> the same without the image, with blur_score, item and scores.
+    """frames (video, frame_order, file, origin, image) -> the same without the image, with blur_score and item.
 
-    Pixels are decoded once, in Arrow batches, and never shuffled. A frame that can't be read, or whose features fail, has a
-    score of 0, no item, and an error in its scores; it doesn't fail the others.
+    Pixels are decoded in Arrow batches and never shuffled. A frame that can't be read, or whose features fail, has a blur
+    score of 0 and no item; it doesn't fail the others.
     """
     method, size = config.filter.dedup_method, config.filter.phash_size
 
-    def of(image: pd.Series) -> dict:
+    def of(image: dict) -> tuple:
         try:
-            bgr = images.decode(int(image["height"]), int(image["width"]), int(image["nChannels"]), image["data"])
-            if bgr is None:
-                raise ValueError("unreadable")
-            gray = images.to_gray(bgr)
-            item = images.comparable(gray, SIDE) if method == "ssim" else images.phash(gray, size)
-            return {"blur_score": images.laplacian_variance(gray), "item": item, "scores": images.scores(bgr)}
-        except Exception:  # noqa: BLE001  one bad frame is a row with an error
-            return {"blur_score": 0.0, "item": None, "scores": images.scores(None)}
+            gray = images.to_gray(_pixels(image))
+            return images.laplacian_variance(gray), images.comparable(gray, SIDE) if method == "ssim" else images.phash(gray, size)
+        except Exception:  # noqa: BLE001  one bad frame is a row without features
+            return 0.0, None
 
     @F.pandas_udf(FEATURES)
     def extract(image: pd.DataFrame) -> pd.DataFrame:
-        rows = [of(r) for _, r in image.iterrows()]
-        out = pd.DataFrame({"blur_score": [r["blur_score"] for r in rows], "item": [r["item"] for r in rows]})
-        out["scores"] = [r["scores"] for r in rows]
-        return out
+        return pd.DataFrame([of(r) for r in image.to_dict("records")], columns=["blur_score", "item"])
 
     kept = frames.select("video", "frame_order", "file", "origin", extract("image").alias("f"))
     return kept.select("video", "frame_order", "file", "origin", "f.*")
 
 
+def scored(frames: DataFrame, survivors: DataFrame) -> DataFrame:
+    """origin and scores of those frames (origin, image) that survive (origin); an error in the scores of one that can't be read."""
+
+    def of(image: dict) -> dict:
+        try:
+            return images.scores(_pixels(image))
+        except Exception:  # noqa: BLE001  one bad frame is a row with an error
+            return images.scores(None)
+
+    @F.pandas_udf(SCORES)
+    def score(image: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame([of(r) for r in image.to_dict("records")], columns=[c.split()[0] for c in SCORES.split(", ")])
+
+    names = survivors.select("origin")
+    names = F.broadcast(names) if names.count() <= BROADCAST_NAMES else names
+    return frames.select("origin", "image").join(names, "origin", "left_semi").select("origin", score("image").alias("scores"))
+
+
 def curate(frames: DataFrame, config: Config) -> DataFrame:
-    """All frames with blur_score, is_sharp, disposition, similarity, scores, unique_no and rank, from a written table of features."""
+    """All frames with blur_score, is_sharp, disposition, similarity, unique_no, scores and rank.
+
+    Unique frames alone are scored and ranked, in a second pass over the images, and only with the scorer on; the others
+    have null there.
+    """
     spark = frames.sparkSession
     path = scratch(spark, "features")
     features(frames, config).write.parquet(path)
@@ -59,48 +89,106 @@ def curate(frames: DataFrame, config: Config) -> DataFrame:
     order = W.partitionBy("video").orderBy("frame_order", "file", "origin")
     rows = spark.read.parquet(path).withColumn("frame_order", F.row_number().over(order).cast("long"))
     size = SIDE if config.filter.dedup_method == "ssim" else config.filter.phash_size**2
-    return curated(rows, config.filter.blur_threshold, config.filter.similarity_threshold, config.filter.dedup_method, size)
+    done_path = scratch(spark, "disposed")
+    disposed(rows, config.filter.blur_threshold, config.filter.similarity_threshold, config.filter.dedup_method, size).write.parquet(done_path)
+    forget(spark, path)
+    done = spark.read.parquet(done_path)
+    unique = done.where("disposition = 'unique'")
+    numbers = ranking.numbered(unique.select("video", "frame_order", "origin"))
+    if config.scorer.enabled:
+        scores_path = scratch(spark, "scores")
+        scored(frames, unique).write.parquet(scores_path)
+        numbers = numbers.join(spark.read.parquet(scores_path), "origin", "left").withColumn("total", F.col("scores.total"))
+        numbers = ranking.ranked(numbers).select("video", "frame_order", "unique_no", "scores", "rank")
+    else:
+        numbers = numbers.select("video", "frame_order", "unique_no", F.lit(None).cast("struct<" + SCORES.replace(" ", ":").replace(",:", ",") + ">").alias("scores"), F.lit(None).cast("int").alias("rank"))
+    return done.join(numbers, ["video", "frame_order"], "left")
 
 
 @dataclass
 class Result:
     curated: DataFrame
     reports: DataFrame
+    results: DataFrame
     notes: list[str]
 
 
+def _inputs(spark: SparkSession, source_path: str, folder: str, config: Config) -> tuple[DataFrame, str, list[str], str | None]:
+    """The videos (index, video, video_name, error), where their frames are, notes, and a folder of raw frames made here.
+
+    A video file, or a folder with any, is extracted; else each folder with images, or the folder itself, is a video.
+    """
+    found = files.entries(spark, source_path)
+    is_video = lambda name: name[name.rfind(".") :].lower() in source.VIDEO_ENDINGS and name.rfind(".") > 0
+    own = [(name, path) for name, path, is_folder in found if not is_folder and is_video(name)]
+    schema = "index int, video string, video_name string, path string"
+    if own:
+        rows = spark.createDataFrame([(i, name.rsplit(".", 1)[0], name, path) for i, (name, path) in enumerate(own, 1)], schema)
+        raw = f"{folder.rstrip('/')}/_raw"
+        files.remove(spark, raw)
+        done = scratch(spark, "extracted")
+        video_source.extract(spark, rows.select("video", "path"), raw, config.extraction).write.parquet(done)
+        errors = spark.read.parquet(done).select("video", "error")
+        return rows.join(errors, "video", "left").select("index", "video", "video_name", "error"), raw, [], raw
+    images_here = any(not is_folder and name.lower().endswith(source.IMAGE_ENDINGS) for name, _, is_folder in found)
+    names = [source_path.rstrip("/").rsplit("/", 1)[-1]] if images_here else [name for name, _, is_folder in found if is_folder]
+    rows = spark.createDataFrame([(i, name, name, None) for i, name in enumerate(names, 1)], schema)
+    note = "frames are extracted already: mode, fps, scene_threshold and jpeg_quality have no effect on them"
+    return rows.select("index", "video", "video_name", F.lit(None).cast("string").alias("error")), source_path, [note] if config.extraction_given else [], None
+
+
+def results(videos: DataFrame, report: DataFrame) -> DataFrame:
+    """One row a video, those without a frame and those that failed too: the columns of a summary's video_results."""
+    joined = videos.join(report.drop("index", "video_name", "error"), "video", "left")
+    some = F.coalesce(F.col("total_raw_frames") > 0, F.lit(False))
+    status = F.when(F.col("error").isNotNull(), "error").when(some, "success").otherwise("skipped")
+    counters = [F.coalesce(F.when(F.col("error").isNull(), F.col(c)), F.lit(0)).cast("int").alias(c) for c in ("total_raw_frames", "removed_blurry", "removed_duplicate", "final_unique_frames")]
+    of_success = lambda c: F.when(status == "success", F.col(c))
+    rows = joined.select(
+        F.col("index"), "video_name", status.alias("status"), *counters, of_success("top_n_selected").alias("top_n_selected"),
+        F.coalesce(of_success("output_folder"), F.lit("")).alias("output_folder"), F.when(status == "skipped", NO_FRAMES).otherwise(F.col("error")).alias("error"),
+    )
+    return rows.select(*[c.split()[0] for c in RESULT.split(", ")])
+
+
 def process(spark: SparkSession, source_path: str, folder: str, config: Config, copy: bool = True) -> Result:
-    """Curates all videos under source_path and writes what the configuration asks for under folder."""
-    rows = source.read_frames(spark, source_path)
-    path = scratch(spark, "curated")
-    curate(rows, config).write.parquet(path)
-    done = spark.read.parquet(path)
-    report = reports.report_rows(done, folder, config)
-    notes = list(config.warnings)
-    if copy:
-        files.copy(spark, files.unique_manifest(done, folder))
-    if config.scorer.enabled:
+    """Curates the videos or frames under source_path and writes what the configuration asks for under folder."""
+    with Job(spark, folder, source_path) as job:
+        job.step("extract")
+        videos, frames_path, notes, raw = _inputs(spark, source_path, folder, config)
+        failed = [r.error for r in videos.where("error IS NOT NULL").limit(1).collect()]
+        at = scratch(spark, "curated")
+        job.step("curate")
+        rows = source.read_frames(spark, frames_path) if raw is None or files.exists(spark, raw) else source.no_frames(spark)
+        curate(rows, config).write.parquet(at)
+        done = spark.read.parquet(at)
+        report = reports.report_rows(done, folder, config)
+        notes = [*config.warnings, *notes, *(f"a video could not be read: {e}" for e in failed)]
         if copy:
-            files.copy(spark, files.top_manifest(done, folder, config.scorer.top_n))
-        if config.scorer.save_score_report:
-            reports.write_score_reports(spark, done, folder)
-    if config.output.report_json:
-        reports.write_reports(spark, report, folder)
-    if config.output.generate_html_preview:
-        contents = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(source_path).select(source.local_path(F.col("path")).alias("path"), "content")
-        notes += reports.write_previews(spark, report, reports.preview_rows(done, contents), folder, config.output.preview_columns)
-    return Result(done, report, notes)
+            job.step("copy")
+            earlier = F.explode(F.array(*[F.concat_ws("/", F.lit(folder.rstrip("/")), "video", F.lit(n)) for n in ("unique_frames", "top_frames")]))
+            files.clear(report.select(earlier.alias("path")))
+            files.copy(files.unique_manifest(done, folder))
+        if config.scorer.enabled:
+            if copy:
+                files.copy(files.top_manifest(done, folder, config.scorer.top_n))
+            if config.scorer.save_score_report:
+                reports.write_score_reports(done, folder)
+        job.step("report")
+        if config.output.report_json:
+            reports.write_reports(report, folder)
+        if config.output.generate_html_preview:
+            notes += reports.write_previews(report, done, folder, config.output.preview_columns)
+        if raw and not config.output.keep_raw:
+            files.remove(spark, raw)
+        return Result(done, report, results(videos, report), notes)
 
 
 def process_batch(spark: SparkSession, source_path: str, folder: str, config: Config, copy: bool = True) -> Result:
     """process, and a summary of the batch and a page over its galleries."""
     result = process(spark, source_path, folder, config, copy)
-    rows = result.reports.select(
-        F.lit(0).alias("index"), F.col("video").alias("video_name"), F.when(F.col("total_raw_frames") > 0, "success").otherwise("skipped").alias("status"), "total_raw_frames",
-        "removed_blurry", "removed_duplicate", "final_unique_frames", "top_n_selected", "output_folder", F.lit(None).cast("string").alias("error"),
-    )
-    numbered = rows.withColumn("index", F.row_number().over(W.orderBy("video_name")))  # one row a video
-    reports.write_summary(spark, reports.summary_row(numbered, source_path, folder), folder)
+    reports.write_summary(spark, reports.summary_row(result.results, source_path, folder), folder)
+    bad = [r.video_name for r in result.results.where("status <> 'success'").orderBy("index").select("video_name").limit(100).collect()]
     if copy and config.output.generate_html_preview:
         reports.write_gallery(spark, source.outputs(spark, folder), folder)
-    return result
+    return replace(result, notes=[*result.notes, *([f"without success: {', '.join(bad)}"] if bad else [])])

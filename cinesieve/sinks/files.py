@@ -1,22 +1,145 @@
-"""Manifests of output files, and small files written through Spark's file systems."""
+"""Manifests of output files, and files written or copied in the tasks.
+
+Tasks reach local (shared) folders and the stores that pyarrow opens. A file is written beside its place and then moved
+there, so that a repeated task leaves whole files alone.
+"""
 
 from __future__ import annotations
 
+import re
+import uuid
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cinesieve.functions.columns import suffix
+from cinesieve.functions.columns import fixed, suffix
+
+STATUS = "path string, bytes long, error string"
+_ARROW = pa.schema([("path", pa.string()), ("bytes", pa.int64()), ("error", pa.string())])
+
+
+def opened(path: str):
+    """The file system of a path, and the path there."""
+    from pyarrow import fs
+
+    scheme, _, rest = path.partition(":") if re.match(r"[A-Za-z][A-Za-z0-9+.-]*:", path) else ("file", "", path)
+    if scheme == "file":
+        return fs.LocalFileSystem(), "/" + rest.lstrip("/") if rest.startswith("/") else rest
+    authority = rest.removeprefix("//").partition("/")[0]
+    return fs.FileSystem.from_uri(f"{scheme}://{authority}/")[0], rest.removeprefix("//") if scheme != "hdfs" else rest.removeprefix("//")[len(authority) :]
+
+
+def put(path: str, chunks: Iterator[bytes]) -> int:
+    """Writes a file in place of what was there; its bytes."""
+    fs, place = opened(path)
+    fs.create_dir(place.rsplit("/", 1)[0], recursive=True)
+    part, size = f"{place}.{uuid.uuid4().hex}.part", 0
+    with fs.open_output_stream(part) as out:
+        for chunk in chunks:
+            out.write(chunk)
+            size += len(chunk)
+    fs.move(part, place)
+    return size
+
+
+def read_bytes(path: str) -> bytes:
+    fs, place = opened(path)
+    with fs.open_input_stream(place) as file:
+        return file.read()
+
+
+def _copied(row: dict) -> int:
+    fs, place = opened(row["src"])
+    with fs.open_input_stream(place) as file:
+        return put(row["path"], iter(lambda: file.read(1 << 20), b""))
+
+
+def _each(work: Callable[[dict], int]):
+    """A status row for each row: what the work returns, or its error."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for row in batch.to_pylist():
+                try:
+                    out.append({"path": row["path"], "bytes": work(row), "error": None})
+                except Exception as error:  # noqa: BLE001  one file's error is its row's
+                    out.append({"path": row["path"], "bytes": None, "error": f"{type(error).__name__}: {error}"[:500]})
+            yield pa.RecordBatch.from_pylist(out, _ARROW)
+
+    return run
+
+
+def each(rows: DataFrame, work: Callable[[dict], int], large: int | None = None) -> tuple[int, list[str]]:
+    """Runs the work on every row (path, ...) in the tasks; how many files, and notes on those of `large` bytes and more.
+
+    Any error is raised once all other files are done; a count, the first error and a few notes reach the driver.
+    """
+    status = rows.mapInArrow(_each(work), STATUS)
+    is_large = F.when(F.col("bytes") >= large, F.struct("path", "bytes")) if large else F.lit(None).cast("struct<path:string,bytes:long>")
+    done = status.agg(F.count_if(F.col("error").isNull()).alias("n"), F.count("error").alias("failed"), F.min("error").alias("error"), F.slice(F.array_sort(F.collect_set(is_large)), 1, 100).alias("large")).first()
+    if done.failed:
+        raise OSError(f"{done.failed} files could not be written; one of them: {done.error}")
+    return done.n, [f"{x.path} has {x.bytes >> 20} MB" for x in done.large]
 
 
-def _path(spark: SparkSession, path: str):
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
+def write(rows: DataFrame) -> int:
+    """Writes rows (path, text), a file each."""
+    return each(rows.select("path", "text"), lambda row: put(row["path"], iter([row["text"].encode("utf-8")])))[0]
+
+
+def copy(manifest: DataFrame) -> int:
+    """Copies a manifest's files (src, dest)."""
+    return each(manifest.select("src", F.col("dest").alias("path")), _copied)[0]
+
+
+def _cleared(row: dict) -> int:
+    from pyarrow import fs as stores
+
+    fs, place = opened(row["path"])
+    if fs.get_file_info(place).type == stores.FileType.Directory:
+        fs.delete_dir(place)
+    return 0
+
+
+def clear(folders: DataFrame) -> int:
+    """Deletes folders (path) of an earlier run."""
+    return each(folders.select("path"), _cleared)[0]
+
+
+def _hadoop(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
+def entries(spark: SparkSession, path: str) -> list[tuple[str, str, bool]]:
+    """(name, path, is a folder) of what lies directly in a folder, by name; of a file: itself."""
+    p, fs = _hadoop(spark, path)
+    found = [(s.getPath().getName(), s.getPath().toString(), s.isDirectory()) for s in fs.listStatus(p)]
+    return sorted(found)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    p, fs = _hadoop(spark, path)
+    return fs.exists(p)
+
+
+def is_folder(spark: SparkSession, path: str) -> bool:
+    p, fs = _hadoop(spark, path)
+    return fs.exists(p) and fs.getFileStatus(p).isDirectory()
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder that a run has made."""
+    p, fs = _hadoop(spark, path)
+    fs.delete(p, True)
+
+
 def write_text(spark: SparkSession, path: str, text: str) -> str:
     """One small file at any path that Spark can write, in place of what was there."""
-    p, fs = _path(spark, path)
+    p, fs = _hadoop(spark, path)
     out = fs.create(p, True)
     try:
         out.write(bytearray(text.encode("utf-8")))
@@ -33,17 +156,6 @@ def unique_manifest(curated: DataFrame, folder: str) -> DataFrame:
 
 def top_manifest(curated: DataFrame, folder: str, n: int) -> DataFrame:
     """Where the n best frames of each video go: <folder>/<video>/top_frames/top_001_score0.00.ext."""
-    name = F.concat(F.format_string("top_%03d_score%.2f", F.col("rank"), F.col("scores.total")), suffix(F.col("file")))
+    name = F.concat(F.format_string("top_%03d_score", F.col("rank")), fixed(F.col("scores.total"), 2), suffix(F.col("file")))
     rows = curated.where((F.col("disposition") == "unique") & (F.col("rank") <= n))
     return rows.select("video", F.col("origin").alias("src"), F.concat_ws("/", F.lit(folder.rstrip("/")), "video", F.lit("top_frames"), name).alias("dest"))
-
-
-def copy(spark: SparkSession, manifest: DataFrame) -> int:
-    """Copies a manifest's files one after another from the driver, as its rows stream in: for outputs of a single machine's size."""
-    util, conf, n = spark.sparkContext._jvm.org.apache.hadoop.fs.FileUtil, spark.sparkContext._jsc.hadoopConfiguration(), 0
-    for row in manifest.select("src", "dest").toLocalIterator():
-        (src, fs), (dest, to) = _path(spark, row.src), _path(spark, row.dest)
-        to.mkdirs(dest.getParent())
-        util.copy(fs, src, to, dest, False, True, conf)
-        n += 1
-    return n

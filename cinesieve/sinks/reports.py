@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+from base64 import b64encode
 from html import escape
 
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from cinesieve.config import Config
-from cinesieve.functions.columns import data_uri, reduction_of_video, suffix
+from cinesieve.functions.columns import exactly_rounded, percent, reduction_of_video
 from cinesieve.operators import stats
-from cinesieve.sinks.files import write_text
+from cinesieve.sinks import files
 
 PREVIEW, LARGE = 150, 10 << 20
 _STYLE = "body{font-family:sans-serif;margin:2em}.g{display:grid;gap:8px}img{width:100%}figure{margin:0}.n b{display:block;font-size:1.4em}.n{display:flex;gap:2em}"
@@ -28,7 +29,7 @@ def report_rows(curated: DataFrame, folder: str, config: Config) -> DataFrame:
         "video",
         F.date_format(F.current_timestamp(), "yyyy-MM-dd HH:mm:ss").alias("generated_at"),
         *[F.col(c).cast("int").alias(c) for c in ("total_raw_frames", "removed_blurry", "removed_duplicate", "final_unique_frames")],
-        F.concat(F.format_string("%.1f", reduction_of_video(F.col("total_raw_frames"), unique)), F.lit("%")).alias("reduction_rate"),
+        percent(reduction_of_video(F.col("total_raw_frames"), unique)).alias("reduction_rate"),
         F.lit(scored).alias("scorer_enabled"),
         (n if scored else nothing("int")).cast("int").alias("top_n_requested"),
         (F.least(n, unique).cast("int") if scored else nothing("int")).alias("top_n_selected"),
@@ -38,7 +39,7 @@ def report_rows(curated: DataFrame, folder: str, config: Config) -> DataFrame:
         F.lit(float(config.filter.blur_threshold)).alias("blur_threshold_used"),
         F.lit(float(config.filter.similarity_threshold)).alias("similarity_threshold_used"),
         "blurry_files_removed",
-        F.transform("duplicate_files_removed", lambda x: F.struct(x["file"].alias("file"), F.round(x["similarity"], 3).alias("similarity"))).alias("duplicate_files_removed"),
+        F.transform("duplicate_files_removed", lambda x: F.struct(x["file"].alias("file"), exactly_rounded(x["similarity"], 3).alias("similarity"))).alias("duplicate_files_removed"),
     )
 
 
@@ -47,37 +48,28 @@ def as_json(rows: DataFrame, *columns: str) -> Column:
     return F.to_json(F.struct(*(columns or rows.columns)), {"ignoreNullFields": "false", "pretty": "true"})
 
 
-def write_reports(spark: SparkSession, rows: DataFrame, folder: str) -> int:
-    """<folder>/<video>/report.json for each row, as the rows stream in."""
-    n = 0
-    for row in rows.select("video", as_json(rows).alias("json")).toLocalIterator():
-        write_text(spark, f"{folder.rstrip('/')}/{row.video}/report.json", row.json)
-        n += 1
-    return n
+def _at(folder: str, name: str) -> Column:
+    return F.concat_ws("/", F.lit(folder.rstrip("/")), "video", F.lit(name)).alias("path")
+
+
+def write_reports(rows: DataFrame, folder: str) -> int:
+    """<folder>/<video>/report.json for each row, written by the tasks."""
+    return files.write(rows.select(_at(folder, "report.json"), as_json(rows).alias("text")))
 
 
 def score_rows(curated: DataFrame) -> DataFrame:
-    """One row a unique frame, best first inside its video: video, rank and a score report's keys."""
-    rows = curated.where("disposition = 'unique'")
-    return rows.select("video", "rank", "file", F.col("origin").alias("path"), "scores.*").orderBy("video", "rank")
+    """One row a scored frame: video, rank and a score report's keys."""
+    rows = curated.where("disposition = 'unique' AND scores IS NOT NULL")
+    return rows.select("video", "rank", "file", F.col("origin").alias("path"), "scores.*")
 
 
-def write_score_reports(spark: SparkSession, curated: DataFrame, folder: str) -> int:
+def write_score_reports(curated: DataFrame, folder: str) -> int:
     """<folder>/<video>/score_report.json: an array of all scored frames, best first; error only where there is one."""
     keys = ("file", "path", "sharpness", "colorfulness", "brightness", "contrast", "composition", "total", "error")
-    n, video, parts = 0, None, []
-
-    def flush() -> None:
-        if video is not None:
-            write_text(spark, f"{folder.rstrip('/')}/{video}/score_report.json", "[\n" + ",\n".join(parts) + "\n]\n")
-
-    for row in score_rows(curated).select("video", F.to_json(F.struct(*keys)).alias("json")).toLocalIterator():
-        if row.video != video:
-            flush()
-            video, parts, n = row.video, [], n + 1
-        parts.append(row.json)
-    flush()
-    return n
+    rows = score_rows(curated).select("video", "rank", F.to_json(F.struct(*keys)).alias("json"))
+    lists = rows.groupBy("video").agg(F.array_sort(F.collect_list(F.struct("rank", "json"))).alias("all"))
+    text = F.concat(F.lit("[\n"), F.array_join(F.transform("all", lambda x: x["json"]), ",\n"), F.lit("\n]\n"))
+    return files.write(lists.select(_at(folder, "score_report.json"), text.alias("text")))
 
 
 def summary_row(results: DataFrame, source: str, folder: str) -> DataFrame:
@@ -94,54 +86,58 @@ def summary_row(results: DataFrame, source: str, folder: str) -> DataFrame:
 
 
 def write_summary(spark: SparkSession, summary: DataFrame, folder: str) -> str:
-    return write_text(spark, f"{folder.rstrip('/')}/_batch_summary.json", summary.select(as_json(summary).alias("j")).first().j)
+    return files.write_text(spark, f"{folder.rstrip('/')}/_batch_summary.json", summary.select(as_json(summary).alias("j")).first().j)
+
+
+def preview_rows(curated: DataFrame) -> DataFrame:
+    """The first frames of each video in their order: video, frames (unique_no, file, origin)."""
+    shown = curated.where((F.col("disposition") == "unique") & (F.col("unique_no") < PREVIEW))
+    return shown.groupBy("video").agg(F.array_sort(F.collect_list(F.struct("unique_no", "file", "origin"))).alias("frames"))
 
 
-def preview_rows(curated: DataFrame, contents: DataFrame) -> DataFrame:
-    """The first frames of each video with their bytes as data URIs: video, unique_no, file, uri. contents: path, content."""
-    shown = curated.where((F.col("disposition") == "unique") & (F.col("unique_no") < PREVIEW)).select("video", "unique_no", "file", "origin")
-    mime = F.when(F.lower(suffix(F.col("file"))) == ".png", "image/png").otherwise("image/jpeg")
-    joined = shown.join(contents, F.col("origin") == F.col("path"), "left")
-    return joined.select("video", "unique_no", "file", F.coalesce(data_uri(F.col("content"), mime), F.lit("")).alias("uri"))
+def _uri(frame: dict) -> str:
+    """The frame's bytes as a data URI; nothing for a file that can't be read."""
+    try:
+        content = files.read_bytes(frame["origin"])
+    except OSError:
+        return ""
+    mime = "image/png" if frame["file"].lower().endswith(".png") else "image/jpeg"
+    return f"data:{mime};base64,{b64encode(content).decode()}"
 
 
-def preview_html(report: Row, frames: list[Row], columns: int) -> str:
+def preview_html(row: dict, columns: int) -> str:
     """A page for one video: its counters and at most PREVIEW frames."""
-    numbers = [("raw", report.total_raw_frames), ("blurry", report.removed_blurry), ("duplicate", report.removed_duplicate), ("unique", report.final_unique_frames), ("reduced", report.reduction_rate)]
+    numbers = [("raw", row["total_raw_frames"]), ("blurry", row["removed_blurry"]), ("duplicate", row["removed_duplicate"]), ("unique", row["final_unique_frames"]), ("reduced", row["reduction_rate"])]
     counters = "".join(f"<div><b>{escape(str(v))}</b>{k}</div>" for k, v in numbers)
-    figures = "".join(f'<figure><img src="{f.uri}" alt=""><figcaption>{f.unique_no + 1:03d} {escape(f.file)}</figcaption></figure>' for f in sorted(frames, key=lambda f: f.unique_no))
-    left = report.final_unique_frames - len(frames)
-    note = f"<p>The first {len(frames)} of {report.final_unique_frames} frames are shown.</p>" if left > 0 else ""
-    title = escape(report.video)
+    figures = "".join(f'<figure><img src="{_uri(f)}" alt=""><figcaption>{f["unique_no"] + 1:03d} {escape(f["file"])}</figcaption></figure>' for f in row["frames"])
+    left = row["final_unique_frames"] - len(row["frames"])
+    note = f"<p>The first {len(row['frames'])} of {row['final_unique_frames']} frames are shown.</p>" if left > 0 else ""
+    title = escape(row["video"])
     return f'<!doctype html><meta charset="utf-8"><title>{title}</title><style>{_STYLE}.g{{grid-template-columns:repeat({columns},1fr)}}</style><h1>{title}</h1><div class="n">{counters}</div>{note}<div class="g">{figures}</div>\n'
 
 
-def write_previews(spark: SparkSession, reports: DataFrame, previews: DataFrame, folder: str, columns: int) -> list[str]:
-    """preview.html of each video with a unique frame; returns notes on large pages. One video's frames are held at a time."""
-    notes = []
-    for report in reports.where("final_unique_frames > 0").toLocalIterator():
-        page = preview_html(report, previews.where(F.col("video") == report.video).collect(), columns)
-        write_text(spark, f"{folder.rstrip('/')}/{report.video}/preview.html", page)
-        if len(page) > LARGE:
-            notes.append(f"{report.video}/preview.html has {len(page) >> 20} MB")
-    return notes
+def write_previews(reports: DataFrame, curated: DataFrame, folder: str, columns: int) -> list[str]:
+    """preview.html of each video with a unique frame; returns notes on large pages. A task holds one page at a time."""
+    counters = reports.select("video", "total_raw_frames", "removed_blurry", "removed_duplicate", "final_unique_frames", "reduction_rate")
+    pages = counters.join(preview_rows(curated), "video").withColumn("path", _at(folder, "preview.html"))
+    return files.each(pages, lambda row: files.put(row["path"], iter([preview_html(row, columns).encode("utf-8")])), LARGE)[1]
 
 
-def gallery_html(files: list[Row]) -> str:
+def gallery_html(shown: list[Row]) -> str:
     """One section a video, files in their order with links relative to the page, percent-encoded."""
     from urllib.parse import quote
 
     sections: dict[str, list[Row]] = {}
-    for f in files:
+    for f in shown:
         sections.setdefault(f.video, []).append(f)
     body = ""
     for video, own in sections.items():
         figures = "".join(f'<figure><img loading="lazy" src="{quote(f"{video}/unique_frames/{f.file}")}" alt=""><figcaption>{i:03d} {escape(f.file)}</figcaption></figure>' for i, f in enumerate(own, 1))
         body += f'<h2>{escape(video)} ({len(own)})</h2><div class="g">{figures}</div>'
-    return f'<!doctype html><meta charset="utf-8"><title>Batch</title><style>{_STYLE}.g{{grid-template-columns:repeat(5,1fr)}}</style><h1>{len(sections)} videos, {len(files)} frames</h1>{body}\n'
+    return f'<!doctype html><meta charset="utf-8"><title>Batch</title><style>{_STYLE}.g{{grid-template-columns:repeat(5,1fr)}}</style><h1>{len(sections)} videos, {len(shown)} frames</h1>{body}\n'
 
 
-def write_gallery(spark: SparkSession, files: DataFrame, folder: str) -> str | None:
+def write_gallery(spark: SparkSession, shown: DataFrame, folder: str) -> str | None:
     """_batch_preview.html over existing outputs (sources.frames.outputs); None where there are no frames."""
-    rows = files.orderBy("video", "kind", "file").collect()  # names alone; a page of them is what was asked for
-    return write_text(spark, f"{folder.rstrip('/')}/_batch_preview.html", gallery_html(rows)) if rows else None
+    rows = shown.orderBy("video", "kind", "file").collect()  # names alone; a page of them is what was asked for
+    return files.write_text(spark, f"{folder.rstrip('/')}/_batch_preview.html", gallery_html(rows)) if rows else None

@@ -46,6 +46,12 @@ def read_frames(spark: SparkSession, path: str) -> DataFrame:
     return images.select(F.element_at(F.split(origin, "/"), -2).alias("video"), order.alias("frame_order"), basename(origin).alias("file"), origin.alias("origin"), "image")
 
 
+def no_frames(spark: SparkSession) -> DataFrame:
+    """read_frames of nothing."""
+    image = "struct<origin:string,height:int,width:int,nChannels:int,mode:int,data:binary>"
+    return spark.createDataFrame([], f"video string, frame_order long, file string, origin string, image {image}")
+
+
 def outputs(spark: SparkSession, folder: str) -> DataFrame:
     """Image files in <folder>/<video>/unique_frames/: video, file, path, kind (0 for jpg, 1 for png)."""
     files = _listing(spark, f"{folder.rstrip('/')}/*/unique_frames/*")

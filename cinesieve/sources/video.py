@@ -1,10 +1,12 @@
-"""Videos as frames through a Python data source, for clusters whose workers have ffmpeg.
+"""Videos as frames, for clusters whose workers have ffmpeg and ffprobe.
 
     spark.dataSource.register(VideoFrames)
     spark.read.format("video_frames").option("path", "/videos/a.mp4").option("fps", 5).load()
 
-A file is one partition; frames come as raw pixels through a pipe. Where ffmpeg is missing, frames that were extracted
-before are read with sources.frames.read_frames.
+A file is one partition; frames come as raw pixels through a pipe, or where `size` is given as small ones, which is what a
+timeline for scenes needs. `extract` writes frames as images, a video a task, at a rate or at the times that
+operators.sampling has chosen. Where ffmpeg is missing, frames that were extracted before are read with
+sources.frames.read_frames.
 """
 
 from __future__ import annotations
@@ -13,13 +15,48 @@ import json
 import shutil
 import subprocess
 from collections.abc import Iterator
+from fractions import Fraction
 
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-SCHEMA = "video string, frame_order long, height int, width int, nChannels int, data binary"
+from cinesieve.config import Extraction
+from cinesieve.operators import sampling
+from cinesieve.sources.frames import local_path
+
+SCHEMA = "video string, path string, frame_order long, t_us long, height int, width int, nChannels int, data binary, error string"
+EXTRACTED = "video string, path string, frames long, error string"
+#: Timelines for scenes are read at this size.
+SMALL = "32x18"
+
+
+def _needs_tools() -> None:
+    if not shutil.which("ffmpeg") or not shutil.which("ffprobe"):
+        raise RuntimeError("ffmpeg and ffprobe are not on this worker: read extracted frames instead (sources.frames.read_frames)")
+
+
+def local(path: str) -> str:
+    """A path that ffmpeg opens: in a folder that all workers share."""
+    if ":" in path.split("/")[0] and not path.startswith("file:"):
+        raise ValueError(f"{path}: videos are read from and frames extracted to folders that workers mount")
+    return "/" + path.removeprefix("file:").lstrip("/") if path.startswith("file:") else path
+
+
+def _probe(path: str) -> tuple[int, int, float]:
+    found = subprocess.run(["ffprobe", "-v", "error", "-select_streams", "v:0", "-show_entries", "stream=width,height,r_frame_rate", "-of", "json", path], capture_output=True, check=False)
+    streams = json.loads(found.stdout or b"{}").get("streams") or []
+    if found.returncode or not streams:
+        raise RuntimeError(f"ffprobe could not read {path}")
+    return streams[0]["width"], streams[0]["height"], float(Fraction(streams[0].get("r_frame_rate", "25/1")))
 
 
 class VideoFrames(DataSource):
+    """Options: path (comma-separated), fps (absent or 0: every frame), size (WxH), errors ("row": a row with an error for a
+    video that can't be read, instead of a failed job)."""
+
     @classmethod
     def name(cls) -> str:
         return "video_frames"
@@ -33,22 +70,91 @@ class VideoFrames(DataSource):
 
 class _Reader(DataSourceReader):
     def __init__(self, options: dict):
-        self.paths, self.fps = [p for p in options.get("path", "").split(",") if p], float(options.get("fps", 5))
+        self.paths, self.fps = [p for p in options.get("path", "").split(",") if p], float(options.get("fps", 0))
+        self.size, self.as_rows = options.get("size"), options.get("errors") == "row"
 
     def partitions(self) -> list[InputPartition]:
         return [InputPartition(p) for p in self.paths]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
-        if not shutil.which("ffmpeg") or not shutil.which("ffprobe"):
-            raise RuntimeError("ffmpeg and ffprobe are not on this worker: read extracted frames instead (sources.frames.read_frames)")
-        path = partition.value
-        found = subprocess.run(["ffprobe", "-v", "error", "-select_streams", "v:0", "-show_entries", "stream=width,height", "-of", "json", path], capture_output=True, check=True)
-        stream = json.loads(found.stdout)["streams"][0]
-        size = stream["width"] * stream["height"] * 3
-        with subprocess.Popen(["ffmpeg", "-v", "error", "-i", path, "-vf", f"fps={self.fps}", "-f", "rawvideo", "-pix_fmt", "bgr24", "-"], stdout=subprocess.PIPE) as run:
+        _needs_tools()
+        try:
+            yield from self._frames(partition.value)
+        except RuntimeError as error:
+            if not self.as_rows:
+                raise
+            yield partition.value.rsplit("/", 1)[-1].rsplit(".", 1)[0], partition.value, None, None, None, None, None, None, str(error)
+
+    def _frames(self, path: str) -> Iterator[tuple]:
+        file = local(path)
+        width, height, rate = _probe(file)
+        filters = [f"fps={self.fps}"] if self.fps else []
+        if self.size:
+            width, height = map(int, self.size.split("x"))
+            filters.append(f"scale={width}:{height}")
+        size, rate = width * height * 3, self.fps or rate
+        command = ["ffmpeg", "-v", "error", "-i", file, *(["-vf", ",".join(filters)] if filters else []), "-f", "rawvideo", "-pix_fmt", "bgr24", "-"]
+        with subprocess.Popen(command, stdout=subprocess.PIPE) as run:
             number = 0
             while len(data := run.stdout.read(size)) == size:
+                yield path.rsplit("/", 1)[-1].rsplit(".", 1)[0], path, number + 1, round(number * 1e6 / rate), height, width, 3, data, None
                 number += 1
-                yield path.rsplit("/", 1)[-1].rsplit(".", 1)[0], number, stream["height"], stream["width"], 3, data
         if run.returncode:
             raise RuntimeError(f"ffmpeg could not read {path}")
+
+
+def timeline(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """key (the video), path, t, order, value (mean brightness of a small frame): what sampling takes; unreadable videos have no rows."""
+    spark.dataSource.register(VideoFrames)
+    frames = spark.read.format("video_frames").option("path", ",".join(paths)).option("size", SMALL).option("errors", "row").load()
+
+    @F.pandas_udf("double")
+    def brightness(data: pd.Series) -> pd.Series:
+        return pd.Series([np.frombuffer(d, np.uint8).mean() for d in data], dtype="float64")
+
+    return frames.where("error IS NULL").select(F.col("video").alias("key"), "path", F.col("t_us").alias("t"), F.col("frame_order").alias("order"), brightness("data").alias("value"))
+
+
+def extract(spark: SparkSession, videos: DataFrame, raw: str, settings: Extraction) -> DataFrame:
+    """Writes frames of videos (video, path) as <raw>/<video>/frame_00001.jpg; one row a video: video, path, frames, error.
+
+    Mode "scene" takes the frame in the middle of each scene, or one a second where there are no cuts; every other mode
+    takes `fps` frames a second. A video that can't be read is a row with an error and fails no other.
+    """
+    folder, fps, quality = local(raw), settings.fps, settings.jpeg_quality
+    if settings.mode == "scene":
+        paths = [r.path for r in videos.select("path").toLocalIterator()]
+        chosen = sampling.sample(timeline(spark, paths), "scene", threshold=settings.scene_threshold)
+        times = chosen.groupBy(F.col("key").alias("video")).agg(F.array_sort(F.collect_list("t")).alias("times"))
+        videos = videos.join(times, "video", "left").withColumn("times", F.coalesce("times", F.array().cast("array<long>")))
+    else:
+        videos = videos.withColumn("times", F.lit(None).cast("array<long>"))
+
+    def one(video: str, path: str, times) -> int:
+        from pathlib import Path
+
+        _needs_tools()
+        file, out = local(path), Path(folder, video)
+        _probe(file)
+        out.mkdir(parents=True, exist_ok=True)
+        start = ["ffmpeg", "-v", "error", "-y"]
+        if times is None:
+            runs = [[*start, "-i", file, "-vf", f"fps={fps}", "-q:v", str(quality), str(out / "frame_%05d.jpg")]]
+        else:
+            runs = [[*start, "-ss", f"{t / 1e6:.6f}", "-i", file, "-frames:v", "1", "-q:v", str(quality), str(out / f"frame_{i:05d}.jpg")] for i, t in enumerate(times, 1)]
+        failed = [r for r in runs if subprocess.run(r, capture_output=True, check=False).returncode]
+        if failed and len(failed) == len(runs):
+            raise RuntimeError(f"ffmpeg could not read {path}")
+        return sum(1 for _ in out.glob("frame_*.jpg"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for video, path, times in zip(batch["video"], batch["path"], batch["times"], strict=True):
+                try:
+                    row = (video, path, one(video, path, times), None)
+                except Exception as error:  # noqa: BLE001  one video's error is its row's
+                    row = (video, path, 0, str(error)[:500])
+                yield pd.DataFrame([row], columns=["video", "path", "frames", "error"])
+
+    n = max(1, videos.count())
+    return videos.select("video", local_path(F.col("path")).alias("path"), "times").repartition(n, "path").mapInPandas(run, EXTRACTED)

@@ -3,6 +3,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from cinesieve import cli, config
 from cinesieve.functions import images
@@ -36,15 +37,18 @@ def folder(tmp_path_factory):
 
 
 def test_dispositions_scores_and_ranks(spark, folder):
-    done = {(r.video, r.frame_order): r for r in run.curate(source.read_frames(spark, str(folder)), config.Config()).collect()}
+    done = {(r.video, r.frame_order): r for r in run.curate(source.read_frames(spark, str(folder)), config.overridden(config.Config(), top=5)).collect()}
     kinds = {k: r.disposition for k, r in done.items()}
     assert kinds == {
         ("clip a", 1): "unique", ("clip a", 2): "duplicate", ("clip a", 3): "blurry", ("clip a", 4): "unique", ("clip a", 5): "duplicate",
         ("clip a", 6): "blurry", ("clip_b", 1): "unique",
     }
     assert done["clip a", 5].similarity == 1.0
-    assert done["clip a", 6].scores.error == "unreadable" and done["clip a", 6].blur_score == 0
+    assert done["clip a", 6].blur_score == 0
+    assert {k for k, r in done.items() if r.scores} == {k for k, kind in kinds.items() if kind == "unique"}  # survivors alone
     assert sorted(r.rank for k, r in done.items() if k[0] == "clip a" and r.rank) == [1, 2]
+    off = run.curate(source.read_frames(spark, str(folder)), config.Config())
+    assert off.where("scores IS NOT NULL OR rank IS NOT NULL").isEmpty() and off.where("unique_no IS NOT NULL").count() == 3
 
 
 def test_unreadable_frames_at_threshold_zero(spark, folder):
@@ -84,6 +88,55 @@ def test_batch_outputs_and_readers(spark, folder, tmp_path, capsys):
     assert (tmp_path / "out/other/notes.txt").exists()
 
 
+def test_folders_without_frames_are_rows_of_the_summary(spark, folder, tmp_path, capsys):
+    import shutil
+
+    shutil.copytree(folder, tmp_path / "in")
+    (tmp_path / "in/a first").mkdir()
+    out = str(tmp_path / "out")
+    (tmp_path / "out/clip_b/unique_frames").mkdir(parents=True)
+    (tmp_path / "out/clip_b/unique_frames/unique_0007.png").write_bytes(b"of an earlier run")
+    assert cli.main(["--input", str(tmp_path / "in"), "--output", out, "--fps", "2"], spark) == 0  # a folder is a batch
+    summary = json.loads((tmp_path / "out/_batch_summary.json").read_text())
+    assert [(v["index"], v["video_name"], v["status"], v["total_raw_frames"]) for v in summary["video_results"]] == [(1, "a first", "skipped", 0), (2, "clip a", "success", 6), (3, "clip_b", "success", 1)]
+    assert (summary["total_videos"], summary["success"], summary["skipped"], summary["failed"]) == (3, 2, 1, 1) and "No frames" in summary["video_results"][0]["error"]
+    assert [p.name for p in (tmp_path / "out/clip_b/unique_frames").glob("*.png")] == ["unique_0000.png"]
+    said = capsys.readouterr().out
+    assert "extracted already" in said and "without success: a first" in said and not (tmp_path / "out/clip a/score_report.json").exists()
+    assert cli.main(["--input", str(folder / "clip a"), "--output", str(tmp_path / "one")], spark) == 0
+    assert json.loads((tmp_path / "one/clip a/report.json").read_text())["final_unique_frames"] == 2
+    for wrong in (["--input", str(tmp_path / "none")], ["--batch", str(folder / "clip a/frame_00001.png")]):
+        with pytest.raises(SystemExit):
+            cli.main([*wrong, "--output", out], spark)
+
+
+def test_jobs_are_rows(spark, folder, tmp_path):
+    from cinesieve.plans import jobs
+
+    assert jobs.recent(spark, str(tmp_path)).collect() == []
+    with jobs.Job(spark, str(tmp_path), "a") as job:
+        job.step("one")
+        assert [(r.status, r.step) for r in jobs.recent(spark, str(tmp_path)).collect()] == [("running", "one")]
+        job.step("two")
+    with pytest.raises(ValueError), jobs.Job(spark, str(tmp_path), "b"):
+        raise ValueError("no")
+    rows = jobs.recent(spark, str(tmp_path)).collect()
+    assert [(r.source, r.status, r.error) for r in rows] == [("b", "error", "ValueError: no"), ("a", "done", None)]
+    assert [r.line for r in jobs.log(spark, str(tmp_path), rows[1].job_id).collect()] == ["one", "two"] and jobs.recent(spark, str(tmp_path), 1).count() == 1
+
+
+def test_files_are_copied_by_the_tasks(spark, tmp_path):
+    from cinesieve.sinks import files
+
+    (tmp_path / "a b").write_bytes(b"x" * 3_000_000)
+    rows = spark.createDataFrame([(f"file:{tmp_path}/a b", f"{tmp_path}/to/{i}/c d") for i in range(5)], "src string, dest string")
+    assert files.copy(rows) == 5 and all((tmp_path / f"to/{i}/c d").stat().st_size == 3_000_000 for i in range(5))
+    assert not list(tmp_path.rglob("*.part"))
+    with pytest.raises(OSError, match="1 files could not"):
+        files.copy(rows.union(spark.createDataFrame([(f"{tmp_path}/none", f"{tmp_path}/to/e")], rows.schema)))
+    assert files.each(rows.select(F.col("dest").alias("path"), "src"), files._copied, 2 << 20)[1][0].endswith("has 2 MB")
+
+
 def test_names_without_numbers_stay_apart(spark, tmp_path):
     (tmp_path / "v").mkdir()
     for i, name in enumerate(("b.png", "a.png", "a.jpg")):

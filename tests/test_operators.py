@@ -71,5 +71,16 @@ def test_text_helpers(spark):
     assert [spark.range(1).select(columns.is_progress_line(F.lit(x))).first()[0] for x in lines] == [True, False, False, False, True]
 
 
-def test_rounding_is_half_up_on_the_double(spark):
-    assert spark.range(1).select(grids.rounded(F.lit(0.1235)), grids.rounded(F.lit(0.0005))).first() == (0.124, 0.001)
+def test_rounding_is_that_of_the_exact_double(spark):
+    pairs = [(r, f) for r in range(1, 400) for f in range(0, r + 1)]
+    got = spark.createDataFrame(pairs, "raw long, final long").select(
+        "raw", "final", columns.percent(columns.reduction_of_video(F.col("raw"), F.col("final"))).alias("v"), columns.reduction_of_batch(F.col("raw"), F.col("final")).alias("b")
+    ).collect()
+    assert len(got) == len(pairs)
+    for r in got:
+        assert r.v == f"{(1 - r.final / max(r.raw, 1)) * 100:.1f}%" and r.b == round(100.0 * (r.raw - r.final) / r.raw, 1)
+    values = [i / 1000 for i in range(1001)] + [1 - d / 256 for d in range(257)] + [1 - d / 64 for d in range(65)] + [0.1235, 0.0005, -0.0625, 2.5e-7, 5e-324, 1023.9375, 0.0]
+    got = spark.createDataFrame([(v,) for v in values], "v double").select("v", *[columns.exactly_rounded(F.col("v"), d).alias(f"d{d}") for d in range(7)], columns.fixed(F.col("v"), 2).alias("s")).collect()
+    for r in got:
+        assert all(r[f"d{d}"] == round(r.v, d) for d in range(7)) and r.s == f"{r.v:.2f}", r.v
+    assert spark.range(1).select(columns.exactly_rounded(F.lit(None).cast("double"), 1), columns.exactly_rounded(F.lit(float("nan")), 1), columns.exactly_rounded(F.lit(2000.0), 1)).first() == (None, None, None)
