@@ -20,16 +20,17 @@ SUMMARY = "total_videos int, success int, skipped int, error int, failed int, in
 COUNTERS = ("total_raw_frames", "removed_blurry", "removed_duplicate", "final_unique_frames")
 
 
-def _json(spark: SparkSession, path: str, schema: str) -> DataFrame | None:
-    """One document a file; None where no file is there. Malformed files are dropped."""
+def _json(spark: SparkSession, path: str, schema: str, mode: str = "DROPMALFORMED") -> DataFrame | None:
+    """One document a file; None where no file is there. Malformed files are dropped, or fail the read in mode FAILFAST."""
     try:
-        return spark.read.schema(schema).option("multiLine", True).option("mode", "DROPMALFORMED").json(path).withColumn("path", decoded(F.input_file_name()))
+        return spark.read.schema(schema).option("multiLine", True).option("mode", mode).json(path).withColumn("path", decoded(F.input_file_name()))
     except AnalysisException:
         return None
 
 
 def report(spark: SparkSession, folder: str, video: str) -> DataFrame | None:
-    return _json(spark, f"{folder.rstrip('/')}/{video}/report.json", REPORT)
+    """One report; None where there is none. A malformed one fails the read."""
+    return _json(spark, f"{folder.rstrip('/')}/{video}/report.json", REPORT, "FAILFAST")
 
 
 def reports(spark: SparkSession, folder: str) -> DataFrame | None:

@@ -80,6 +80,11 @@ def test_batch_outputs_and_readers(spark, folder, tmp_path, capsys):
     assert reports.batch_stats(reports.batch_results(spark, out)).first().total_raw_frames == 7
     assert reports.report(spark, out, "clip a").first().final_unique_frames == 2
     assert reports.report(spark, out, "nothing") is None and reports.downloaded(spark, out) is None
+    (tmp_path / "out/broken").mkdir()
+    (tmp_path / "out/broken/report.json").write_text("{")
+    with pytest.raises(Exception, match="MALFORMED"):
+        reports.report(spark, out, "broken").collect()
+    assert reports.reports(spark, out).count() == 2
     assert cli.main(["--gen-batch-html", "--output", out], spark) == 0
     (tmp_path / "out/other").mkdir()
     (tmp_path / "out/other/notes.txt").write_text("x")
