@@ -155,7 +155,7 @@ def fit(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text") ->
     languages than MODEL_MB has room for are an error, which comes before anything is gathered.
     """
     rows = labelled.select(col(lang_col).cast("string").alias("lang"), col(text_col).alias("text")).where("lang IS NOT NULL AND text IS NOT NULL")
-    known = rows.agg(F.approx_count_distinct("lang")).first()[0]  # exact for so few as there may be
+    known = labelled.agg(F.approx_count_distinct(col(lang_col))).first()[0]  # exact for so few as there may be; reads no text
     if 0.8 * known * BUCKETS * 4 > MODEL_MB << 20:
         raise ValueError(f"{known} languages need a model of over {MODEL_MB} MB")
     summed = rows.mapInArrow(_count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()  # languages x BUCKETS rows at most
