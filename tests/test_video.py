@@ -2,12 +2,15 @@
 
 import json
 import os
-import subprocess
 import sys
 from pathlib import Path
 
 import pytest
 
+from cinesieve import cli
+from cinesieve.operators import sampling
+from cinesieve.sources import video
+
 ROOT = Path(__file__).resolve().parents[1]
 PROBE = """import sys
 name = sys.argv[-1]
@@ -38,20 +41,20 @@ else:
 """
 
 
-def run(tmp_path, *args):
-    tools = tmp_path / "bin"
-    tools.mkdir(exist_ok=True)
+@pytest.fixture(scope="module")
+def tools(spark, tmp_path_factory):
+    """Workers that start from here on find the stand-ins first."""
+    folder = tmp_path_factory.mktemp("bin")
     for name, code in (("ffprobe", PROBE), ("ffmpeg", CODER.replace("ROOT", repr(str(ROOT))))):
-        (tools / name).write_text(f"#!{sys.executable}\n{code}")
-        (tools / name).chmod(0o755)
-    env = os.environ | {"PATH": f"{tools}:{os.environ['PATH']}", "PYTHONPATH": str(ROOT), "SPARK_CONF_DIR": str(tmp_path / "conf")}
-    (tmp_path / "conf").mkdir(exist_ok=True)
-    (tmp_path / "conf/spark-defaults.conf").write_text(f"spark.master local[2]\nspark.ui.enabled false\nspark.checkpoint.dir file://{tmp_path}/shared\n")
-    return subprocess.run([sys.executable, "-m", "cinesieve.cli", *args], cwd=ROOT, env=env, capture_output=True, text=True, timeout=400)
+        (folder / name).write_text(f"#!{sys.executable}\n{code}")
+        (folder / name).chmod(0o755)
+    spark.sparkContext.environment["PATH"] = f"{folder}:{os.environ['PATH']}"
+    yield
+    del spark.sparkContext.environment["PATH"]
 
 
 @pytest.fixture
-def videos(tmp_path):
+def videos(tmp_path, tools):
     folder = tmp_path / "videos"
     folder.mkdir()
     for name in ("b cut.mp4", "a still.MOV", "bad.mkv", "empty.webm", "notes.txt"):
@@ -59,24 +62,23 @@ def videos(tmp_path):
     return folder
 
 
-def test_a_batch_of_videos_at_a_rate(tmp_path, videos):
-    done = run(tmp_path, "--batch", str(videos), "--output", str(tmp_path / "out"), "--fps", "2", "--blur", "0", "--sim", "0.9", "--keep-raw")
-    assert done.returncode == 0, done.stderr[-2000:]
+def test_a_batch_of_videos_at_a_rate(spark, tmp_path, videos, capsys):
+    assert cli.main(["--batch", str(videos), "--output", str(tmp_path / "out"), "--fps", "2", "--blur", "0", "--sim", "0.9", "--keep-raw"], spark) == 0
     summary = json.loads((tmp_path / "out/_batch_summary.json").read_text())
     assert [(v["index"], v["video_name"], v["status"], v["total_raw_frames"]) for v in summary["video_results"]] == [
         (1, "a still.MOV", "success", 4), (2, "b cut.mp4", "success", 4), (3, "bad.mkv", "error", 0), (4, "empty.webm", "skipped", 0),
     ]
     assert (summary["success"], summary["error"], summary["skipped"], summary["failed"]) == (2, 1, 1, 2)
-    assert "ffprobe could not read" in summary["video_results"][2]["error"] and "without success: bad.mkv, empty.webm" in done.stdout
+    assert "ffprobe could not read" in summary["video_results"][2]["error"] and "without success: bad.mkv, empty.webm" in capsys.readouterr().out
     assert len(list((tmp_path / "out/b cut/unique_frames").glob("*.jpg"))) == 4 and len(list((tmp_path / "out/_raw/b cut").glob("*.jpg"))) == 4
     (job,) = [json.loads(p.read_text()) for p in (tmp_path / "out/_jobs").glob("*.json")]
     assert job["status"] == "done" and [x["line"] for x in job["log"]] == ["extract", "curate", "copy", "report"]
 
 
-def test_one_video_by_scenes(tmp_path, videos):
-    done = run(tmp_path, "--input", str(videos / "b cut.mp4"), "--output", str(tmp_path / "out"), "--mode", "scene", "--blur", "0", "--sim", "0.9")
-    assert done.returncode == 0, done.stderr[-2000:]
+def test_one_video_by_scenes(spark, tmp_path, videos):
+    assert cli.main(["--input", str(videos / "b cut.mp4"), "--output", str(tmp_path / "out"), "--mode", "scene", "--blur", "0", "--sim", "0.9", "--no-html"], spark) == 0
     assert json.loads((tmp_path / "out/b cut/report.json").read_text())["total_raw_frames"] == 2  # the middles of two scenes
     assert not (tmp_path / "out/_raw").exists() and not (tmp_path / "out/_batch_summary.json").exists()
-    done = run(tmp_path, "--input", str(videos / "a still.MOV"), "--output", str(tmp_path / "out"), "--mode", "scene", "--blur", "0", "--sim", "0.9")
-    assert json.loads((tmp_path / "out/a still/report.json").read_text())["total_raw_frames"] == 2, done.stderr[-2000:]  # one a second
+    line = video.timeline(spark, [str(videos / n) for n in ("a still.MOV", "b cut.mp4", "bad.mkv")])
+    got = sorted((r.key, r.mode, r.t) for r in sampling.sample(line, "scene").collect())
+    assert got == [("a still", "fps", 0), ("a still", "fps", 1_000_000), ("b cut", "scene", 500_000), ("b cut", "scene", 1_250_000)]
