@@ -18,7 +18,7 @@ from cinesieve.sinks import files, reports
 from cinesieve.sources import frames as source
 from cinesieve.sources import video as video_source
 from cinesieve.sources.reports import RESULT
-from cinesieve.sources.storage import forget, scratch
+from cinesieve.sources.storage import released, scratch
 
 SIDE = 256
 FEATURES = "blur_score double, item binary"
@@ -91,7 +91,6 @@ def curate(frames: DataFrame, config: Config) -> DataFrame:
     size = SIDE if config.filter.dedup_method == "ssim" else config.filter.phash_size**2
     done_path = scratch(spark, "disposed")
     disposed(rows, config.filter.blur_threshold, config.filter.similarity_threshold, config.filter.dedup_method, size).write.parquet(done_path)
-    forget(spark, path)
     done = spark.read.parquet(done_path)
     unique = done.where("disposition = 'unique'")
     numbers = ranking.numbered(unique.select("video", "frame_order", "origin"))
@@ -160,7 +159,8 @@ def process(spark: SparkSession, source_path: str, folder: str, config: Config,
         at = scratch(spark, "curated")
         job.step("curate")
         rows = source.read_frames(spark, frames_path) if raw is None or files.exists(spark, raw) else source.no_frames(spark)
-        curate(rows, config).write.parquet(at)
+        with released(spark):  # features, dispositions and scores, once they are in one table
+            curate(rows, config).write.parquet(at)
         done = spark.read.parquet(at)
         report = reports.report_rows(done, folder, config)
         notes = [*config.warnings, *notes, *(f"a video could not be read: {e}" for e in failed)]

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
 #: Where a local session without spark.checkpoint.dir puts its tables.
 LOCAL = "file:///tmp/checkpoints"
+_MADE: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -24,7 +27,9 @@ def shared_dir(spark: SparkSession) -> str:
 
 def scratch(spark: SparkSession, label: str) -> str:
     """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    _MADE.append(path)
+    return path
 
 
 def forget(spark: SparkSession, path: str) -> None:
@@ -33,3 +38,17 @@ def forget(spark: SparkSession, path: str) -> None:
         raise ValueError(f"{path} is not a scratch table")
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+@contextmanager
+def released(spark: SparkSession, keep: int = 0) -> Iterator[None]:
+    """Deletes the scratch tables that were named inside the block when it ends, but for the last `keep` of them.
+
+    For callers that have written or read all that they need of these tables by then.
+    """
+    mark = len(_MADE)
+    yield
+    done = _MADE[mark : len(_MADE) - keep]
+    del _MADE[mark : len(_MADE) - keep]
+    for path in done:
+        forget(spark, path)
