@@ -101,6 +101,11 @@ def in_cells(prints: DataFrame, bits: int) -> DataFrame:
     return prints.withColumn("_e", embedding(F.col("fp"))).withColumn("_m", F.explode(masks)).withColumn("cell", F.col("_e").bitwiseOR(F.col("_m"))).drop("_e", "_m")
 
 
+def dealt(prints: DataFrame) -> DataFrame:
+    """Slim rows (fp, ...) over as many tasks as a shuffle has, before each becomes 70: a written table of them has few files."""
+    return prints.repartition(int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
+
+
 def _hot_cells(prints: DataFrame, bits: int) -> DataFrame:
     """Cells that may be too large for one task: at most 70 * 256, found in a 64th of the fingerprints.
 
@@ -115,7 +120,7 @@ def _first_links(prints: DataFrame, bits: int) -> DataFrame:
     turned = F.expr("shiftleft(fp, cast(pmod(hash(cell), 64) as int)) | shiftrightunsigned(fp, cast(64 - pmod(hash(cell), 64) as int))")
     hot = F.broadcast(_hot_cells(prints, bits).select(F.col("cell").alias("_hot")))
     share = F.when(F.col("_hot").isNotNull(), F.pmod(F.xxhash64("fp"), F.lit(SHARES))).otherwise(0)
-    members = in_cells(prints.select("fp"), bits).join(hot, F.col("cell") == F.col("_hot"), "left").withColumns({"_o": turned, "share": share})
+    members = in_cells(dealt(prints.select("fp")), bits).join(hot, F.col("cell") == F.col("_hot"), "left").withColumns({"_o": turned, "share": share})
 
     def neighbours(rows: DataFrame, *group: str) -> DataFrame:
         order = W.partitionBy(*group).orderBy("_o")
@@ -134,7 +139,7 @@ def _last_links(labelled: DataFrame, bits: int) -> DataFrame:
     Cells with two components or more are found by aggregates with partial sums, so that a cell's size is no matter; only
     members of such cells become rows.
     """
-    members = in_cells(labelled, bits)
+    members = in_cells(dealt(labelled), bits)
     mixed = staged(members.groupBy("cell").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("cell"), "mixed-cells")
     few = mixed.count() <= BROADCAST_ROWS  # else both sides are shuffled by cell
     rows = staged(members.join(F.broadcast(mixed) if few else mixed, "cell", "left_semi").select("cell", "fp", "component"), "cells")
