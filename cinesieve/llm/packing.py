@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from cinesieve.llm.encoding import encoder
 from cinesieve.llm.shared import col, staged
 
-CAPACITY, WASTE, LEAST, FAN_IN = 2048, 0.01, 16, 32
+CAPACITY, WASTE, LEAST, FAN_IN = 2048, 0.01, 16, 8
 CLASSES = (1, 2, 3, 4, 6, 8, 12, 16, 24, 32)
 #: Sequence numbers: the worker, or REST and more for a group and class, above these bits; the sequence in it below.
 BITS, REST, PLACES = 36, 1 << 26, 64
