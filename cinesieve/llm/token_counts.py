@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 
 from cinesieve.llm.shared import col, staged
 
-#: Pre-tokens that are looked up in the tasks: some 200 KB, whatever the corpus.
-HEAD, FLUSH, ROWS = 1 << 13, 400_000, 50_000
+#: Pre-tokens that are looked up in the tasks: some 5 MB, whatever the corpus.
+HEAD, FLUSH, ROWS = 1 << 16, 400_000, 50_000
 #: Characters of texts after which a task hands on what it has counted, however few entries that is.
 CHARS = 1 << 25
 _ODD = re.compile(r"[^\S \n]|\s\s(?:\s|\Z)")
