@@ -61,7 +61,7 @@ def ngrams(text: str | None) -> tuple[np.ndarray, np.ndarray] | None:
     """The buckets of the text's n-grams, rising, and their counts; None where it has no letter."""
     parts = list(_hashes(text)) if not text or len(text) <= CHUNK else None
     if parts is not None and sum(map(len, parts)) <= SORTED:
-        return np.unique(parts[0], return_counts=True) if parts else None
+        return np.unique(np.concatenate(parts), return_counts=True) if parts else None
     counts = np.zeros(BUCKETS, np.int64)
     for part in parts if parts is not None else _hashes(text):
         counts += np.bincount(part, minlength=BUCKETS)

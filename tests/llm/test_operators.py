@@ -5,7 +5,7 @@ import re
 
 import numpy as np
 import pytest
-from hypothesis import given, settings
+from hypothesis import example, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
@@ -418,6 +418,8 @@ def test_models_and_mixtures_by_their_definition(spark):
 
 @settings(deadline=None, max_examples=60)
 @given(st.text(alphabet="aBé ßΣ1.\n한", max_size=60), st.sampled_from([0, 1 << 13]), st.sampled_from([5, 1 << 20]))
+@example("1111B", 1 << 13, 5)  # the padded text is longer than one chunk, the text isn't
+@example("İİİİİ", 1 << 13, 5)  # grows in lower case
 def test_ngrams_by_their_definition(text, by_sorting, chunk):
     old = language.SORTED, language.CHUNK
     language.SORTED, language.CHUNK = by_sorting, chunk
@@ -429,6 +431,12 @@ def test_ngrams_by_their_definition(text, by_sorting, chunk):
     assert (None if got is None else dict(zip(*map(np.ndarray.tolist, got), strict=True))) == wanted
 
 
+@pytest.mark.parametrize("text", ["1" * ((1 << 20) - 1) + "B", "1" * ((1 << 20) - 5) + "hello", "1" * ((1 << 20) - 8) + " hello b"])
+def test_ngrams_at_the_edge_of_a_chunk(text):
+    found = language.ngrams(text)
+    assert dict(zip(*map(np.ndarray.tolist, found), strict=True)) == brute.ngrams(text, language.BUCKETS)
+
+
 def test_texts_stay_where_no_language_is_known(spark):
     docs = spark.createDataFrame([(1, "some words", None), (2, "12 34", None), (3, None, None)], "doc_id long, text string, lang string")
     assert [(r.doc_id, r.lang) for r in stages.identify_language(spark, docs, "").collect()] == [(1, None)]
