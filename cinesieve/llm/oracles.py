@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cinesieve.llm import chat, quality, secrets
+from cinesieve.llm import chat, clusters, infill, quality, secrets
 
 _WORD = r"[^\x20\x09-\x0D]+"
 
@@ -80,4 +80,32 @@ k AS (SELECT *, {_REPEATS} AS repeated, CASE WHEN role = 'assistant' THEN text E
 SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY idx)) AS turns_sha256, CAST(sum(length(loss)) AS BIGINT) AS loss_chars, sha256(string_agg(loss, '' ORDER BY idx)) AS loss_sha256,
 CAST(sum(chars + CASE WHEN opens AND span > 1 THEN sys_ctx + repeated ELSE 0 END) AS BIGINT) AS formatted_chars, CAST(max(span) AS BIGINT) AS n_windows FROM k GROUP BY conv_id"""
 
-ORACLE_SQL = {"op1_chat_windows": CHAT, "op2_secret_scan": SECRETS, "op7_benchmark_containment": CONTAINMENT, "op9_quality_ledger": QUALITY}
+_LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+EQUAL = f"""SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
+row_number() OVER (PARTITION BY t ORDER BY doc_id DESC NULLS LAST) = 1 AS kept, sha256(t) AS text_sha256 FROM (SELECT doc_id, {_LOWERED} AS t FROM documents)"""
+
+
+def _lloyd(k: int, rounds: int, dimensions: int, seed: int) -> str:
+    """Every round compares every vector with every centroid and sums all vectors up."""
+    scaled = f"list_transform(embedding, lambda x: {clusters.SCALE} * CAST(x AS DOUBLE))"
+    nearest = "arg_min({c}.i, (list_sum(list_transform(range(1, {n}), lambda j: (v.x[j] - {c}.x[j]) * (v.x[j] - {c}.x[j]))), {c}.i)) AS i, min(list_sum(list_transform(range(1, {n}), lambda j: (v.x[j] - {c}.x[j]) * (v.x[j] - {c}.x[j])))) AS d"
+    parts = [f"""v AS MATERIALIZED (SELECT row_number() OVER () AS rid, vec_id, list_transform(s, lambda x: CAST(floor(x) AS BIGINT)) AS x FROM (SELECT vec_id, {scaled} AS s FROM embeddings)
+WHERE len(s) = {dimensions} AND len(list_filter(s, lambda x: x IS NOT NULL AND isfinite(x) AND abs(x) < {clusters.LARGEST})) = {dimensions})""",
+             f"c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h NULLS LAST, x) - 1 AS i, x FROM (SELECT sha256('{seed}:' || CAST(vec_id AS VARCHAR)) AS h, x FROM v ORDER BY h NULLS LAST, x LIMIT {k}))"]
+    for r in range(rounds + 1):
+        parts.append(f"a{r} AS MATERIALIZED (SELECT rid, {nearest.format(c=f'c{r}', n=dimensions + 1)} FROM v, c{r} GROUP BY rid)")
+        if r < rounds:
+            # the floor of the mean in whole numbers, as // rounds towards zero
+            parts.append(f"""c{r + 1} AS MATERIALIZED (SELECT c{r}.i, coalesce(m.x, c{r}.x) AS x FROM c{r} LEFT JOIN (SELECT i, list((s - ((s % n) + n) % n) // n ORDER BY j) AS x
+FROM (SELECT i, j, CAST(sum(v.x[j]) AS BIGINT) AS s, count(*) AS n FROM a{r} JOIN v USING (rid), range(1, {dimensions + 1}) p(j) GROUP BY i, j) GROUP BY i) m USING (i))""")
+    return f"""WITH {", ".join(parts)}
+SELECT vec_id, CAST(a.i AS INTEGER) AS cluster, CAST(a.d AS BIGINT) AS distance, CAST(sum(a.d) OVER (PARTITION BY a.i) AS BIGINT) AS cluster_inertia, CAST(sum(a.d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c.x, ',')) AS centroid_sha256
+FROM a{rounds} a JOIN v USING (rid) JOIN c{rounds} c ON c.i = a.i"""
+
+
+#: The same statement over the whole table, and the texts read back by the places of the marks.
+INFILL = f"""SELECT id AS doc_id, n, form, prefix_chars, middle_chars, sha256(output) AS output_sha256, sha256(CASE form WHEN 'plain' THEN output WHEN 'psm' THEN substr(output, 4, s - 4) || substr(output, m + 3) || substr(output, s + 3, m - s - 3)
+ELSE substr(output, p + 3, m - p - 3) || substr(output, m + 3) || substr(output, 4, p - 4) END) AS restored_sha256
+FROM (SELECT *, strpos(output, '{infill.PREFIX}') AS p, strpos(output, '{infill.SUFFIX}') AS s, strpos(output, '{infill.MIDDLE}') AS m FROM ({infill.sql("(SELECT doc_id AS id, text FROM documents)")}))"""
+
+ORACLE_SQL = {"op1_chat_windows": CHAT, "op2_secret_scan": SECRETS, "op7_benchmark_containment": CONTAINMENT, "op9_quality_ledger": QUALITY, "op11_radix_dedup": EQUAL, "op12_delta_lloyd": _lloyd(8, 10, clusters.DIMENSIONS, clusters.SEED), "op13_infill": INFILL}

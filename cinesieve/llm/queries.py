@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cinesieve.llm import chat, decontamination, language, packing, quality, secrets, sharding, simhash, token_counts, token_files
+from cinesieve.llm import chat, clusters, decontamination, exact, infill, language, packing, quality, secrets, sharding, simhash, token_counts, token_files
 from cinesieve.llm.oracles import ORACLE_SQL
 from cinesieve.llm.shared import staged
 from cinesieve.sources.storage import scratch
@@ -97,6 +97,20 @@ def op10_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_chat_windows, op2_secret_scan, op3_token_counts, op4_feistel_shards, op5_token_files, op6_simhash_components, op7_benchmark_containment, op8_language_mixture, op9_quality_ledger, op10_harmonic_packing)}
+def op11_radix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.classes(table(spark, sf_dir, "documents"))
+
+
+def op12_delta_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters.cluster(table(spark, sf_dir, "embeddings"))
+
+
+def op13_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = infill.transform(table(spark, sf_dir, "documents"))
+    digest = lambda text: F.sha2(text, 256)
+    return rows.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest(F.col("output")).alias("output_sha256"), digest(infill.restored(F.col("output"), F.col("form"))).alias("restored_sha256"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_chat_windows, op2_secret_scan, op3_token_counts, op4_feistel_shards, op5_token_files, op6_simhash_components, op7_benchmark_containment, op8_language_mixture, op9_quality_ledger, op10_harmonic_packing, op11_radix_dedup, op12_delta_lloyd, op13_infill)}
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

@@ -145,3 +145,37 @@ def mixture(counts, models, penalty):
 
 def crc(array):
     return zlib.crc32(array.astype("<u4").tobytes())
+
+
+def infilled(doc_id, text):
+    """(n, form, prefix_chars, middle_chars), and the output."""
+    text = text or ""
+    tokens = re.findall("[A-Za-z]+|[^A-Za-z]", text)
+    h = hashlib.sha256(f"1:{doc_id}".encode()).hexdigest()
+    h1, h2, h3, h4 = (int(h[8 * i : 8 * i + 8], 16) for i in range(4))
+    a, b = sorted((h1 % (len(tokens) + 1), h2 % (len(tokens) + 1)))
+    prefix, middle, suffix = ("".join(t) for t in (tokens[:a], tokens[a:b], tokens[b:]))
+    if not text or any(m in text for m in ("<P>", "<S>", "<M>")) or h3 % 100 >= 90:
+        return (len(tokens), "plain", None, None), text
+    if h4 % 100 < 20:
+        return (len(tokens), "spm", len(prefix), len(middle)), f"<S>{suffix}<P>{prefix}<M>{middle}"
+    return (len(tokens), "psm", len(prefix), len(middle)), f"<P>{prefix}<S>{suffix}<M>{middle}"
+
+
+def lloyd(rows, k=8, rounds=10, seed=3):
+    """rows: (vec_id, components). vec_id, cluster, distance, cluster_inertia, inertia, digest of each kept row, in whole numbers of Python."""
+    whole = [(i, [math.floor(1024 * x) for x in v]) for i, v in rows if v is not None and len(v) == 64 and all(x is not None and math.isfinite(x) and abs(1024 * x) < 1 << 27 for x in v)]
+    drawn = sorted(whole, key=lambda r: (r[0] is None, hashlib.sha256(f"{seed}:{r[0]}".encode()).hexdigest() if r[0] is not None else "", r[1]))
+    centroids = [v for _, v in drawn[:k]]
+    for r in range(rounds + 1):
+        c = np.array(centroids, np.int64)
+        own = [min((int(((np.array(v) - x) ** 2).sum()), j) for j, x in enumerate(c)) for _, v in whole]
+        if r < rounds:
+            for j in range(len(centroids)):
+                members = [v for (_, v), (_, o) in zip(whole, own, strict=True) if o == j]
+                if members:
+                    centroids[j] = [sum(x) // len(members) for x in zip(*members, strict=True)]
+    inertia = collections.Counter()
+    for d, j in own:
+        inertia[j] += d
+    return [(i, j, d, inertia[j], inertia.total(), hashlib.sha256(",".join(map(str, centroids[j])).encode()).hexdigest()) for (i, _), (d, j) in zip(whole, own, strict=True)]

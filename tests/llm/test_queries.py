@@ -125,6 +125,30 @@ def test_op10_packing(spark, tables, documents):
     assert max(used) <= 2048 and sum(used) > 0.97 * sum(padded)
 
 
+def test_op11_equal_texts(spark, tables, documents):
+    groups = collections.defaultdict(list)
+    for k, d in documents.items():
+        groups[brute.lower(d.text or "")].append(k)
+    expected = {k: (max(own), len(own), k == max(own), brute.hashlib.sha256(t.encode()).hexdigest()) for t, own in groups.items() for k in own}
+    assert {r.doc_id: tuple(r)[1:] for r in query(spark, "op11", tables).collect()} == expected and any(len(g) > 2 for g in groups.values())
+
+
+def test_op12_clusters(spark, tables):
+    rows = [(r.vec_id, r.embedding) for r in spark.read.parquet(f"{tables}/embeddings.parquet").collect()]
+    got = sorted(map(tuple, query(spark, "op12", tables).collect()), key=str)
+    assert got == sorted(brute.lloyd(rows), key=str) and len(got) == len(rows) - 8
+
+
+def test_op13_infill(spark, tables, documents):
+    sha = lambda t: brute.hashlib.sha256(t.encode()).hexdigest()
+    expected = {}
+    for k, d in documents.items():
+        head, output = brute.infilled(k, d.text)
+        expected[k] = (*head, sha(output), sha(d.text or ""))
+    assert {r.doc_id: tuple(r)[1:] for r in query(spark, "op13", tables).collect()} == expected
+    assert {v[1] for v in expected.values()} == {"plain", "psm", "spm"}
+
+
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_empty_tables(spark, no_tables, name):
     rows = QUERIES[name](spark, no_tables).collect()
