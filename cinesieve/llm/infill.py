@@ -58,7 +58,7 @@ def _transform(statement: str, most: int):
             for batch in batches:
                 for part in _slices(batch, most):
                     own.register("batch", pa.Table.from_batches([part]))
-                    yield from own.execute(statement).to_arrow_table().cast(_ARROW).to_batches()
+                    yield from own.sql(statement).to_arrow_table().cast(_ARROW).to_batches()
 
     return run
 
