@@ -42,6 +42,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     if args.url:
         p.error("--url is not supported: fetch the video and extract its frames first")
     spark = spark or SparkSession.builder.appName("cinesieve").getOrCreate()
+    if (args.gen_batch_html or args.clean_empty) and not files.is_folder(spark, args.output):
+        p.error(f"{args.output} is not a folder")
     if args.gen_batch_html:
         print(reports.write_gallery(spark, source.outputs(spark, args.output), args.output) or "no frames")
         return 0
@@ -70,7 +72,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         best = result.curated.where(source.F.col("rank") <= min(10, config.scorer.top_n))
         best.select("video", "rank", "file", "scores.total", "scores.sharpness", "scores.colorfulness", "scores.brightness", "scores.composition").orderBy("video", "rank").show(truncate=False)
     result.reports.select("video", "total_raw_frames", "removed_blurry", "removed_duplicate", "final_unique_frames", "reduction_rate").show(truncate=False)
-    return 0
+    # in a batch a video's error is its row of the summary
+    return int(work is run.process and not result.results.where("status = 'error'").isEmpty())
 
 
 if __name__ == "__main__":

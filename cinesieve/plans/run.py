@@ -25,7 +25,7 @@ FEATURES = "blur_score double, item binary"
 SCORES = "sharpness double, colorfulness double, brightness double, contrast double, composition double, total double, error string"
 #: Names of unique frames go to all executors up to this many; beyond it images are shuffled to them by name.
 BROADCAST_NAMES = 500_000
-NO_FRAMES = "No frames extracted (video may be too short or unreadable)"
+NO_FRAMES = "No frames came out of it: empty, shorter than a frame's period, or damaged"
 
 
 def _pixels(image) -> object:
@@ -117,21 +117,18 @@ def _inputs(spark: SparkSession, source_path: str, folder: str, config: Config)
 
     A video file, or a folder with any, is extracted; else each folder with images, or the folder itself, is a video.
     """
-    found = files.entries(spark, source_path)
-    is_video = lambda name: name[name.rfind(".") :].lower() in source.VIDEO_ENDINGS and name.rfind(".") > 0
-    own = [(name, path) for name, path, is_folder in found if not is_folder and is_video(name)]
-    schema = "index int, video string, video_name string, path string"
-    if own:
-        rows = spark.createDataFrame([(i, name.rsplit(".", 1)[0], name, path) for i, (name, path) in enumerate(own, 1)], schema)
+    rows = source.videos(spark, source_path)
+    if not rows.isEmpty():
         raw = f"{folder.rstrip('/')}/_raw"
         files.remove(spark, raw)
         done = scratch(spark, "extracted")
         video_source.extract(spark, rows.select("video", "path"), raw, config.extraction).write.parquet(done)
         errors = spark.read.parquet(done).select("video", "error")
         return rows.join(errors, "video", "left").select("index", "video", "video_name", "error"), raw, [], raw
+    found = files.entries(spark, source_path)
     images_here = any(not is_folder and name.lower().endswith(source.IMAGE_ENDINGS) for name, _, is_folder in found)
     names = [source_path.rstrip("/").rsplit("/", 1)[-1]] if images_here else [name for name, _, is_folder in found if is_folder]
-    rows = spark.createDataFrame([(i, name, name, None) for i, name in enumerate(names, 1)], schema)
+    rows = spark.createDataFrame([(i, name, name) for i, name in enumerate(names, 1)], "index int, video string, video_name string")
     note = "frames are extracted already: mode, fps, scene_threshold and jpeg_quality have no effect on them"
     return rows.select("index", "video", "video_name", F.lit(None).cast("string").alias("error")), source_path, [note] if config.extraction_given else [], None
 
@@ -185,10 +182,12 @@ def process(spark: SparkSession, source_path: str, folder: str, config: Config,
 
 
 def process_batch(spark: SparkSession, source_path: str, folder: str, config: Config, copy: bool = True) -> Result:
-    """process, and a summary of the batch and a page over its galleries."""
+    """process, and a summary of the batch and, where a video has frames, a page over its galleries. Nothing to do is a note."""
     result = process(spark, source_path, folder, config, copy)
+    if result.results.isEmpty():
+        return replace(result, notes=[*result.notes, f"no videos and no folders of frames in {source_path}"])
     reports.write_summary(spark, reports.summary_row(result.results, source_path, folder), folder)
     bad = [r.video_name for r in result.results.where("status <> 'success'").orderBy("index").select("video_name").limit(100).collect()]
-    if copy and config.output.generate_html_preview:
+    if copy and config.output.generate_html_preview and not result.results.where("status = 'success'").isEmpty():
         reports.write_gallery(spark, source.outputs(spark, folder), folder)
     return replace(result, notes=[*result.notes, *([f"without success: {', '.join(bad)}"] if bad else [])])

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cinesieve.functions.columns import basename, stem, suffix
+from cinesieve.functions.columns import basename, suffix
+from cinesieve.sinks.files import entries
 
 #: Endings of video files.
 VIDEO_ENDINGS = (".mp4", ".mov", ".avi", ".mkv", ".webm", ".m4v")
@@ -24,14 +27,32 @@ def decoded(uri: Column) -> Column:
 
 
 def _listing(spark: SparkSession, path: str) -> DataFrame:
-    """Paths and sizes; the contents are not read, as no one asks for that column."""
-    return spark.read.format("binaryFile").load(path).select(local_path(F.col("path")).alias("path"), "length")
+    """Paths and sizes, none for a pattern without matches; the contents are not read, as no one asks for that column."""
+    try:
+        found = spark.read.format("binaryFile").load(path)
+    except AnalysisException as error:
+        if "PATH_NOT_FOUND" not in str(error):
+            raise
+        return spark.createDataFrame([], "path string, length long")
+    return found.select(local_path(F.col("path")).alias("path"), "length")
+
+
+def is_video(name: str) -> bool:
+    return name.rfind(".") > 0 and name[name.rfind(".") :].lower() in VIDEO_ENDINGS
+
+
+def video_keys(names: list[str]) -> list[str]:
+    """What each video file of a folder is called in outputs: its stem, or its whole name where another file has that stem."""
+    stems = [name.rsplit(".", 1)[0] for name in names]
+    n, taken = Counter(stems), set(names)
+    return [name if n[own] > 1 or own in taken else own for name, own in zip(names, stems, strict=True)]
 
 
-def videos(spark: SparkSession, folder: str) -> DataFrame:
-    """Video files directly in a folder: path, file, video (the stem), length, in the order of their paths' numbers `index`."""
-    files = _listing(spark, f"{folder.rstrip('/')}/*").where(F.lower(suffix(F.col("path"))).isin(*VIDEO_ENDINGS))
-    return files.select("path", basename(F.col("path")).alias("file"), stem(F.col("path")).alias("video"), "length").withColumn("index", F.row_number().over(W.orderBy("path")))
+def videos(spark: SparkSession, path: str) -> DataFrame:
+    """Video files directly in a folder, or the file itself: index (from 1, by name), video (see video_keys), video_name, path."""
+    own = [(name, at) for name, at, is_folder in entries(spark, path) if not is_folder and is_video(name)]
+    rows = [(i, key, name, at) for i, (key, (name, at)) in enumerate(zip(video_keys([name for name, _ in own]), own, strict=True), 1)]
+    return spark.createDataFrame(rows, "index int, video string, video_name string, path string")
 
 
 def read_frames(spark: SparkSession, path: str) -> DataFrame:

@@ -54,7 +54,7 @@ def _probe(path: str) -> tuple[int, int, float]:
 
 
 class VideoFrames(DataSource):
-    """Options: path (comma-separated), fps (absent or 0: every frame), size (WxH), errors ("row": a row with an error for a
+    """Options: path (one video) or paths (a JSON list), fps (absent or 0: every frame), size (WxH), errors ("row": a row with an error for a
     video that can't be read, instead of a failed job)."""
 
     @classmethod
@@ -70,7 +70,7 @@ class VideoFrames(DataSource):
 
 class _Reader(DataSourceReader):
     def __init__(self, options: dict):
-        self.paths, self.fps = [p for p in options.get("path", "").split(",") if p], float(options.get("fps", 0))
+        self.paths, self.fps = json.loads(options["paths"]) if "paths" in options else [options["path"]], float(options.get("fps", 0))
         self.size, self.as_rows = options.get("size"), options.get("errors") == "row"
 
     def partitions(self) -> list[InputPartition]:
@@ -104,29 +104,30 @@ class _Reader(DataSourceReader):
 
 
 def timeline(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """key (the video), path, t, order, value (mean brightness of a small frame): what sampling takes; unreadable videos have no rows."""
+    """key (the path), t, order, value (mean brightness of a small frame): what sampling takes; unreadable videos have no rows."""
     spark.dataSource.register(VideoFrames)
-    frames = spark.read.format("video_frames").option("path", ",".join(paths)).option("size", SMALL).option("errors", "row").load()
+    frames = spark.read.format("video_frames").option("paths", json.dumps(paths)).option("size", SMALL).option("errors", "row").load()
 
     @F.pandas_udf("double")
     def brightness(data: pd.Series) -> pd.Series:
         return pd.Series([np.frombuffer(d, np.uint8).mean() for d in data], dtype="float64")
 
-    return frames.where("error IS NULL").select(F.col("video").alias("key"), "path", F.col("t_us").alias("t"), F.col("frame_order").alias("order"), brightness("data").alias("value"))
+    return frames.where("error IS NULL").select(F.col("path").alias("key"), F.col("t_us").alias("t"), F.col("frame_order").alias("order"), brightness("data").alias("value"))
 
 
 def extract(spark: SparkSession, videos: DataFrame, raw: str, settings: Extraction) -> DataFrame:
     """Writes frames of videos (video, path) as <raw>/<video>/frame_00001.jpg; one row a video: video, path, frames, error.
 
     Mode "scene" takes the frame in the middle of each scene, or one a second where there are no cuts; every other mode
-    takes `fps` frames a second. A video that can't be read is a row with an error and fails no other.
+    takes `fps` frames a second, and so does a video without a timeline. A video that can't be read is a row with an error
+    and fails no other.
     """
-    folder, fps, quality = local(raw), settings.fps, settings.jpeg_quality
+    folder, fps, quality = local(raw), 1.0 if settings.mode == "scene" else settings.fps, settings.jpeg_quality
     if settings.mode == "scene":
         paths = [r.path for r in videos.select("path").toLocalIterator()]
         chosen = sampling.sample(timeline(spark, paths), "scene", threshold=settings.scene_threshold)
-        times = chosen.groupBy(F.col("key").alias("video")).agg(F.array_sort(F.collect_list("t")).alias("times"))
-        videos = videos.join(times, "video", "left").withColumn("times", F.coalesce("times", F.array().cast("array<long>")))
+        times = chosen.groupBy(F.col("key").alias("path")).agg(F.array_sort(F.collect_list("t")).alias("times"))
+        videos = videos.join(times, "path", "left")
     else:
         videos = videos.withColumn("times", F.lit(None).cast("array<long>"))
 
@@ -139,9 +140,10 @@ def extract(spark: SparkSession, videos: DataFrame, raw: str, settings: Extracti
         out.mkdir(parents=True, exist_ok=True)
         start = ["ffmpeg", "-v", "error", "-y"]
         if times is None:
-            runs = [[*start, "-i", file, "-vf", f"fps={fps}", "-q:v", str(quality), str(out / "frame_%05d.jpg")]]
+            numbered = str(out).replace("%", "%%") + "/frame_%05d.jpg"
+            runs = [[*start, "-i", file, "-vf", f"fps={fps}", "-q:v", str(quality), numbered]]
         else:
-            runs = [[*start, "-ss", f"{t / 1e6:.6f}", "-i", file, "-frames:v", "1", "-q:v", str(quality), str(out / f"frame_{i:05d}.jpg")] for i, t in enumerate(times, 1)]
+            runs = [[*start, "-ss", f"{t / 1e6:.6f}", "-i", file, "-frames:v", "1", "-update", "1", "-q:v", str(quality), str(out / f"frame_{i:05d}.jpg")] for i, t in enumerate(times, 1)]
         failed = [r for r in runs if subprocess.run(r, capture_output=True, check=False).returncode]
         if failed and len(failed) == len(runs):
             raise RuntimeError(f"ffmpeg could not read {path}")

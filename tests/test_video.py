@@ -80,5 +80,47 @@ def test_one_video_by_scenes(spark, tmp_path, videos):
     assert json.loads((tmp_path / "out/b cut/report.json").read_text())["total_raw_frames"] == 2  # the middles of two scenes
     assert not (tmp_path / "out/_raw").exists() and not (tmp_path / "out/_batch_summary.json").exists()
     line = video.timeline(spark, [str(videos / n) for n in ("a still.MOV", "b cut.mp4", "bad.mkv")])
-    got = sorted((r.key, r.mode, r.t) for r in sampling.sample(line, "scene").collect())
+    got = sorted((Path(r.key).stem, r.mode, r.t) for r in sampling.sample(line, "scene").collect())
     assert got == [("a still", "fps", 0), ("a still", "fps", 1_000_000), ("b cut", "scene", 500_000), ("b cut", "scene", 1_250_000)]
+
+
+def results(folder):
+    return [(v["video_name"], v["status"], v["total_raw_frames"], Path(v["output_folder"]).parent.name) for v in json.loads((folder / "_batch_summary.json").read_text())["video_results"]]
+
+
+@pytest.mark.parametrize("mode", [["--fps", "2"], ["--mode", "scene"]])
+def test_videos_of_one_stem_and_odd_names_stay_apart(spark, tmp_path, tools, mode):
+    folder, out = tmp_path / "in", tmp_path / "out"
+    folder.mkdir()
+    names = ["a.mov", "a.mp4", "a.mov.mp4", "cut, one.mp4", "b%20 c+d.mkv"]
+    for name in names:
+        (folder / name).write_bytes(b"x")
+    assert cli.main(["--batch", str(folder), "--output", str(out), *mode, "--blur", "0", "--sim", "0.9", "--no-html", "--keep-raw"], spark) == 0
+    keys = {"a.mov": "a.mov", "a.mp4": "a.mp4", "a.mov.mp4": "a.mov.mp4", "cut, one.mp4": "cut, one", "b%20 c+d.mkv": "b%20 c+d"}
+    n = 4 if mode[0] == "--fps" else 2
+    assert results(out) == [(name, "success", n, keys[name]) for name in sorted(names)]
+    summary = json.loads((out / "_batch_summary.json").read_text())
+    assert (summary["total_videos"], summary["success"]) == (5, 5)
+    for key in keys.values():
+        assert len(list((out / key / "unique_frames").glob("*.jpg"))) == n == len(list((out / "_raw" / key).glob("*.jpg")))
+
+
+def test_a_batch_in_which_every_video_fails(spark, tmp_path, tools, capsys):
+    folder, out = tmp_path / "in", tmp_path / "out"
+    folder.mkdir()
+    for name in ("bad 1.mp4", "bad 2.mp4", "empty.mov"):
+        (folder / name).write_bytes(b"x")
+    for mode in ("fps", "scene"):
+        assert cli.main(["--batch", str(folder), "--output", str(out), "--mode", mode], spark) == 0
+        assert [r[1] for r in results(out)] == ["error", "error", "skipped"] and not (out / "_batch_preview.html").exists()
+    assert cli.main(["--gen-batch-html", "--output", str(out)], spark) == 0 and "no frames" in capsys.readouterr().out
+    assert cli.main(["--input", str(folder / "bad 1.mp4"), "--output", str(tmp_path / "one")], spark) == 1
+    assert cli.main(["--input", str(folder / "empty.mov"), "--output", str(tmp_path / "two")], spark) == 0
+
+
+def test_an_empty_folder_is_a_note(spark, tmp_path, capsys):
+    (tmp_path / "in").mkdir()
+    assert cli.main(["--batch", str(tmp_path / "in"), "--output", str(tmp_path / "out")], spark) == 0
+    assert "note: no videos" in capsys.readouterr().out and not (tmp_path / "out/_batch_summary.json").exists()
+    with pytest.raises(SystemExit):
+        cli.main(["--gen-batch-html", "--output", str(tmp_path / "none")], spark)
