@@ -9,6 +9,8 @@ from cinesieve.functions.grids import COLOR_SCALE, CONTRAST_SCALE, MIDDLE, SHARP
 #: Edge thresholds, and the similarity index's window and constants for 8-bit pixels.
 EDGE_LOW, EDGE_HIGH = 80, 180
 WINDOW, C1, C2 = 7, (0.01 * 255) ** 2, (0.03 * 255) ** 2
+#: Cells a side of the coarse grid that bounds the index; parts of an image that are compared one after another.
+CELLS, BANDS = 16, 10
 
 
 def decode(height: int, width: int, channels: int, data: bytes) -> np.ndarray | None:
@@ -136,6 +138,65 @@ def _sums(x: np.ndarray, window: int) -> np.ndarray:
     return s[..., window:, window:] - s[..., :-window, window:] - s[..., window:, :-window] + s[..., :-window, :-window]
 
 
+class Windows:
+    """An image's sums over its windows, in whole numbers, with what bounds its similarity to others from above.
+
+    A window's similarity is its luminance term times its structure term, neither over 1; they are at most 1 - (a - b)**2 /
+    (a**2 + b**2 + C) of the two means, and of the two deviations. `cells` has means and maxima of both over a coarse grid, so
+    that the same bound holds for a cell's windows together.
+    """
+
+    def __init__(self, image: np.ndarray, window: int = WINDOW):
+        self.image, self.window = image, window
+        x = image.astype(np.int64)
+        self.sums, self.squares = _sums(x, window).astype(np.uint16 if window * window <= 256 else np.int64), _sums(x * x, window).astype(np.int64 if window > 250 else np.uint32)
+        mean, variance = self.moments()
+        self.cells = self._cells(mean, np.sqrt(np.maximum(variance, 0)))
+
+    def moments(self) -> tuple[np.ndarray, np.ndarray]:
+        """Means and sample variances of the windows."""
+        n = self.window * self.window
+        mean = self.sums.astype(np.int64) / n
+        return mean, n / (n - 1) * (self.squares.astype(np.int64) / n - mean * mean)
+
+    def _cells(self, *kinds: np.ndarray) -> np.ndarray:
+        """Means and maxima of each kind by cells: 2 * kinds x cells."""
+        places = [np.unique(np.linspace(0, n, min(n, CELLS) + 1).astype(int)[:-1]) for n in kinds[0].shape]
+        by_cell = lambda f, x: f.reduceat(f.reduceat(x, places[0], axis=0), places[1], axis=1).ravel()
+        self.weights = by_cell(np.add, np.ones_like(kinds[0]))
+        return np.stack([y for x in kinds for y in (by_cell(np.add, x) / self.weights, by_cell(np.maximum, x))])
+
+    def coarse_bound(self, cells: np.ndarray) -> np.ndarray:
+        """The most that the similarity to each of n images can be; cells: theirs, n x kinds x cells."""
+        own = self.cells
+        lost = [(cells[:, k] - own[k]) ** 2 / (cells[:, k + 1] ** 2 + own[k + 1] ** 2 + c) for k, c in ((0, C1), (2, C2))]
+        return (1 - np.maximum(*lost)) @ self.weights / self.weights.sum()
+
+    def similarity(self, other: Windows, least: float = -np.inf) -> float | None:
+        """ssim(other, self), or None where it is under `least`, mostly after a part of the windows.
+
+        What is known of the mean from above is the sum of the windows compared so far and of the others' bounds.
+        """
+        (ma, va), (mb, vb) = other.moments(), self.moments()
+        luminance = (2 * ma * mb + C1) / (ma * ma + mb * mb + C1)
+        bounds = luminance * (2 * np.sqrt(np.maximum(va * vb, 0)) + C2) / (va + vb + C2)
+        most, done = bounds.sum(), []
+        for rows in np.array_split(np.arange(len(ma)), min(len(ma), BANDS)):
+            if most < least * ma.size:
+                return None
+            a, b = rows[0], rows[-1] + 1
+            pixels = slice(a, b + self.window - 1)
+            done.append(_similarity(ma[a:b], va[a:b], mb[a:b], vb[a:b], _sums(other.image[pixels].astype(np.int64) * self.image[pixels], self.window), self.window))
+            most += done[-1].sum() - bounds[a:b].sum()
+        return float(np.concatenate(done).mean())
+
+
+def _similarity(ma, va, mb, vb, products: np.ndarray, window: int) -> np.ndarray:
+    n = window * window
+    both = n / (n - 1) * (products / n - ma * mb)
+    return ((2 * ma * mb + C1) * (2 * both + C2)) / ((ma * ma + mb * mb + C1) * (va + vb + C2))
+
+
 def ssim(kept: np.ndarray, frame: np.ndarray, window: int = WINDOW) -> np.ndarray:
     """Structural similarity of n images (n x height x width) to one frame or to n others, over uniform windows inside the image."""
     n = window * window
@@ -143,6 +204,4 @@ def ssim(kept: np.ndarray, frame: np.ndarray, window: int = WINDOW) -> np.ndarra
     ma, mb = _sums(a, window) / n, _sums(b, window) / n
     sample = n / (n - 1)
     va, vb = sample * (_sums(a * a, window) / n - ma * ma), sample * (_sums(b * b, window) / n - mb * mb)
-    both = sample * (_sums(a * b, window) / n - ma * mb)
-    s = ((2 * ma * mb + C1) * (2 * both + C2)) / ((ma * ma + mb * mb + C1) * (va + vb + C2))
-    return s.mean(axis=(1, 2))
+    return _similarity(ma, va, mb, vb, _sums(a * b, window), window).mean(axis=(1, 2))

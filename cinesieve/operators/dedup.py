@@ -19,10 +19,12 @@ from pyspark.sql import types as T
 from cinesieve.functions import images
 
 BLOCK = 4096
+#: How far rounding may put a similarity over its bound.
+MARGIN = 1e-6
 
 
 class HashState:
-    """Kept hashes of one video. `offer` gives the similarity of the first kept one at or over the threshold, or keeps."""
+    """Kept hashes of one video."""
 
     def __init__(self, threshold: float, bits: int):
         self.threshold, self.bits, self.count, self.kept = threshold, bits, 0, np.zeros((64, bits // 8), np.uint8)
@@ -30,28 +32,82 @@ class HashState:
     def similarities(self, item: np.ndarray, a: int, b: int) -> np.ndarray:
         return 1 - np.bitwise_count(self.kept[a:b] ^ item).sum(axis=1, dtype=np.int64) / self.bits
 
-    def offer(self, raw: bytes) -> float | None:
+    def find(self, raw: bytes) -> float | None:
+        """The similarity to the first kept one at or over the threshold."""
         item = np.frombuffer(raw, np.uint8).reshape(self.kept.shape[1:])
         for a in range(0, self.count, BLOCK):
             found = self.similarities(item, a, min(a + BLOCK, self.count))
             hits = found >= self.threshold
             if hits.any():
                 return max(0.0, float(found[hits.argmax()]))
+        return None
+
+    def add(self, raw: bytes) -> None:
         if self.count == len(self.kept):
             self.kept = np.concatenate([self.kept, np.zeros_like(self.kept)])
-        self.kept[self.count] = item
+        self.kept[self.count] = np.frombuffer(raw, np.uint8).reshape(self.kept.shape[1:])
         self.count += 1
-        return None
+
+    def offer(self, raw: bytes) -> float | None:
+        """find, and add where nothing is found."""
+        found = self.find(raw)
+        if found is None:
+            self.add(raw)
+        return found
 
 
 class StructureState(HashState):
-    """The same over images of side x side, by structural similarity."""
+    """The same over images of side x side, by structural similarity.
+
+    A kept image's window sums are worked out once. Most pairs never meet in full: the similarity of two images has an upper
+    bound from their windows' means and variances, over a coarse grid for all kept ones at once, then window by window, and
+    while windows are compared, from these and the others' bounds. A pair whose bound is under the threshold can't match.
+    `offered` counts the pairs up to each image's first match, `compared` those of which every window was compared. Some 450 KB
+    a kept image of 256 x 256.
+    """
 
     def __init__(self, threshold: float, side: int):
-        self.threshold, self.count, self.kept = threshold, 0, np.zeros((16, side, side), np.uint8)
+        self.threshold, self.side, self.images = threshold, side, []
+        self.cells, self.offered, self.compared = np.zeros((0, 0, 0)), 0, 0
 
-    def similarities(self, item: np.ndarray, a: int, b: int) -> np.ndarray:
-        return np.concatenate([images.ssim(self.kept[i : min(i + 32, b)], item) for i in range(a, b, 32)])
+    @property
+    def count(self) -> int:
+        return len(self.images)
+
+    def _windows(self, raw: bytes) -> images.Windows:
+        return images.Windows(np.frombuffer(raw, np.uint8).reshape(self.side, self.side))
+
+    def _find(self, item: images.Windows) -> float | None:
+        least = self.threshold - MARGIN
+        for a in range(0, self.count, BLOCK):
+            bounds = item.coarse_bound(self.cells[a : min(a + BLOCK, self.count)])
+            for k in np.flatnonzero(bounds >= least) + a:
+                found = item.similarity(self.images[k], least)
+                self.compared += found is not None
+                if found is not None and found >= self.threshold:
+                    self.offered += int(k) + 1
+                    return max(0.0, found)
+        self.offered += self.count
+        return None
+
+    def _add(self, item: images.Windows) -> None:
+        if self.count == len(self.cells):
+            self.cells = np.concatenate([self.cells, np.zeros((max(16, self.count), *item.cells.shape))]) if self.count else np.zeros((16, *item.cells.shape))
+        self.cells[self.count] = item.cells
+        self.images.append(item)
+
+    def find(self, raw: bytes) -> float | None:
+        return self._find(self._windows(raw))
+
+    def add(self, raw: bytes) -> None:
+        self._add(self._windows(raw))
+
+    def offer(self, raw: bytes) -> float | None:
+        item = self._windows(raw)
+        found = self._find(item)
+        if found is None:
+            self._add(item)
+        return found
 
 
 def state(method: str, threshold: float, size: int) -> HashState:
@@ -94,6 +150,30 @@ def greedy(items: DataFrame, threshold: float, method: str = "phash", size: int
     return dealt.mapInArrow(_scan(method, threshold, size), out)
 
 
+def structure_pairs(items: DataFrame, threshold: float, side: int = 256) -> DataFrame:
+    """What greedy deduplication by structure compares: video, frames, offered (pairs up to each frame's first match), compared
+    (those that no bound could rule out). Null items are no frames. An empty table gives no rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        video, held, n = None, None, 0
+        row = lambda: pa.RecordBatch.from_arrays([pa.array([video.as_py()], video.type), *[pa.array([x], pa.int64()) for x in (n, held.offered, held.compared)]], names=["video", "frames", "offered", "compared"])
+        for batch in batches:
+            for key, item in zip(batch.column(0), batch.column(2), strict=True):
+                if held is None or key != video:
+                    if held is not None:
+                        yield row()
+                    video, held, n = key, StructureState(threshold, side), 0
+                held.offer(item.as_py())
+                n += 1
+        if held is not None:
+            yield row()
+
+    rows = items.where("item IS NOT NULL").select("video", "frame_order", "item")
+    counts = [T.StructField(c, T.LongType()) for c in ("frames", "offered", "compared")]
+    dealt = rows.repartition("video").sortWithinPartitions("video", "frame_order", "item")
+    return dealt.mapInArrow(run, T.StructType([T.StructField("video", rows.schema["video"].dataType), *counts]))
+
+
 def grid_hash(px: Column) -> Column:
     """The 64-bit hash of an 8 x 8 grid (array<bigint>), as bytes."""
 

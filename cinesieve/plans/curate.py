@@ -8,16 +8,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cinesieve.operators import blur, dedup, ranking
+from cinesieve.operators import blur, dedup, ranking, rounds
 
 
-def disposed(frames: DataFrame, blur_threshold: float, similarity_threshold: float, method: str = "phash", size: int = 256) -> DataFrame:
+def disposed(frames: DataFrame, blur_threshold: float, similarity_threshold: float, method: str = "phash", size: int = 256, long_videos: bool = False) -> DataFrame:
     """frames (video, frame_order, blur_score, item, ...) with is_sharp, disposition and similarity.
 
-    Blurry frames never meet the deduplication; its result is joined back to the sharp ones by video and order.
+    Blurry frames never meet the deduplication; its result is joined back to the sharp ones by video and order. With
+    `long_videos`, frames are counted first and videos too long for one task are deduplicated in rounds, with equal results.
     """
     judged = blur.judged(frames, blur_threshold)
-    found = dedup.greedy(judged.where("is_sharp"), similarity_threshold, method, size)
+    greedy = rounds.deduplicated if long_videos else dedup.greedy
+    found = greedy(judged.where("is_sharp"), similarity_threshold, method, size)
     joined = judged.drop("item").join(found, ["video", "frame_order"], "left")
     return joined.withColumn("disposition", F.coalesce("disposition", F.lit("blurry")))
 

@@ -13,10 +13,12 @@ from pyspark.sql import functions as F
 
 from cinesieve.functions import grids, images
 from cinesieve.functions.columns import exactly_rounded
-from cinesieve.operators import blur, dedup, ranking
+from cinesieve.operators import blur, dedup, ranking, rounds
 from cinesieve.sources.bindings import grid_frames
 
 BLUR, SIMILARITY, STRUCTURE, TOP = 450.0, 0.60, 0.60, 5
+#: Frames of a block and of a share where a video is deduplicated in rounds; the threshold for counting compared pairs.
+BLOCK, SHARE, ALIKE = 64, 64, 0.998
 
 
 def hashed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -142,6 +144,16 @@ def q19_structure_unique(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("video", "frame_order", "disposition", exactly_rounded(F.col("similarity"), 6).alias("similarity"))
 
 
+def q40_greedy_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every video in rounds: blocks in order, all later frames against each block's kept ones."""
+    return rounds.greedy(hashed(spark, sf_dir), SIMILARITY, "phash", 64, BLOCK, SHARE)
+
+
+def q41_structure_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the pairs that deduplication by structure is offered, those that it has to compare in full."""
+    return dedup.structure_pairs(pixels(spark, sf_dir), ALIKE, 8)
+
+
 QUERIES = {
     "q01_frame_scan": q01_frame_scan,
     "q02_pixel_grid": q02_pixel_grid,
@@ -162,6 +174,8 @@ QUERIES = {
     "q17_duplicate_frames": q17_duplicate_frames,
     "q18_structure_similarity": q18_structure_similarity,
     "q19_structure_unique": q19_structure_unique,
+    "q40_greedy_rounds": q40_greedy_rounds,
+    "q41_structure_pairs": q41_structure_pairs,
 }
 
 # The oracle: the same definitions in SQL, from the embeddings on.
@@ -208,9 +222,21 @@ STRUCTURES = f"""{FRAMES}, windows AS (SELECT video, frame_order, w, list_transf
 moments AS (SELECT *, CAST(list_sum(v) AS BIGINT) / 49.0 AS m, CAST(list_sum(list_transform(v, lambda x: x * x)) AS BIGINT) / 49.0 AS m2 FROM windows)"""
 _S = """((2 * a.m * b.m + 6.5025) * (2 * (49.0 / 48 * (list_sum(list_transform(range(49), lambda k: a.v[1 + k] * b.v[1 + k])) / 49.0 - a.m * b.m)) + 58.5225))
 / ((a.m * a.m + b.m * b.m + 6.5025) * (49.0 / 48 * (a.m2 - a.m * a.m) + 49.0 / 48 * (b.m2 - b.m * b.m) + 58.5225))"""
-_STRUCTURE_SIMS = f"""{STRUCTURES}, sims AS (SELECT video, a, b, sim, sim >= {STRUCTURE} AS hit FROM (SELECT a.video, a.frame_order AS a, b.frame_order AS b, sum({_S}) / 4 AS sim
+_LUMINANCE = "(2 * a.m * b.m + 6.5025) / (a.m * a.m + b.m * b.m + 6.5025)"
+_DEVIATIONS = "(2 * 49.0 / 48 * sqrt(greatest(0, (a.m2 - a.m * a.m) * (b.m2 - b.m * b.m))) + 58.5225) / (49.0 / 48 * (a.m2 - a.m * a.m + b.m2 - b.m * b.m) + 58.5225)"
+
+
+def structure_sims(threshold: float) -> str:
+    """Pairs with their similarity, the bound on it that means and variances give, and that after half of the windows."""
+    return f"""{STRUCTURES}, sims AS (SELECT video, a, b, sim, bound, halfway, sim >= {threshold} AS hit FROM (SELECT a.video, a.frame_order AS a, b.frame_order AS b, sum({_S}) / 4 AS sim, sum({_LUMINANCE} * {_DEVIATIONS}) / 4 AS bound, sum(CASE WHEN a.w < 2 THEN {_S} ELSE {_LUMINANCE} * {_DEVIATIONS} END) / 4 AS halfway
 FROM moments a JOIN moments b ON a.video = b.video AND a.frame_order < b.frame_order AND a.w = b.w GROUP BY ALL))"""
 
+
+#: Pairs with a kept frame, up to the later frame's first match.
+_OFFERED = f"""WITH RECURSIVE {folded(structure_sims(ALIKE), "frames")},
+firsts AS (SELECT s.video, s.b, min(s.a) AS a FROM sims s JOIN kept k ON k.video = s.video AND k.frame_order = s.a WHERE s.hit GROUP BY s.video, s.b),
+offered AS (SELECT s.video, s.bound, s.halfway FROM sims s JOIN kept k ON k.video = s.video AND k.frame_order = s.a LEFT JOIN firsts f ON f.video = s.video AND f.b = s.b WHERE f.a IS NULL OR s.a <= f.a)"""
+
 ORACLE_SQL = {
     "q01_frame_scan": f"WITH {FRAMES} SELECT video, frame_order, len(px) AS n_px FROM frames",
     "q02_pixel_grid": f"WITH {FRAMES} SELECT video, frame_order, array_to_string(px, ',') AS pixels FROM frames",
@@ -230,6 +256,9 @@ ORACLE_SQL = {
     "q17_duplicate_frames": f"{DEDUPED} SELECT video, frame_order, similarity FROM first_hit",
     "q18_structure_similarity": f"""WITH {STRUCTURES}, n AS (SELECT *, dense_rank() OVER (PARTITION BY video ORDER BY frame_order) AS rn FROM moments)
 SELECT b.video, b.frame_order, a.frame_order AS before, CAST(printf('%.6f', sum({_S}) / 4) AS DOUBLE) AS similarity FROM n a JOIN n b ON a.video = b.video AND b.rn = a.rn + 1 AND a.w = b.w GROUP BY ALL""",
-    "q19_structure_unique": f"""WITH RECURSIVE {folded(_STRUCTURE_SIMS, "frames")} SELECT video, frame_order, 'unique' AS disposition, CAST(NULL AS DOUBLE) AS similarity FROM kept
+    "q19_structure_unique": f"""WITH RECURSIVE {folded(structure_sims(STRUCTURE), "frames")} SELECT video, frame_order, 'unique' AS disposition, CAST(NULL AS DOUBLE) AS similarity FROM kept
 UNION ALL SELECT video, frame_order, 'duplicate', CAST(printf('%.6f', greatest(0, similarity)) AS DOUBLE) FROM first_hit""",
+    "q40_greedy_rounds": f"{DEDUPED} SELECT video, frame_order, 'unique' AS disposition, CAST(NULL AS DOUBLE) AS similarity FROM kept UNION ALL SELECT video, frame_order, 'duplicate', similarity FROM first_hit",
+    "q41_structure_pairs": f"""{_OFFERED}, counts AS (SELECT video, count(*) AS offered, count(*) FILTER (bound >= {ALIKE} - 1e-6 AND halfway >= {ALIKE} - 1e-6) AS compared FROM offered GROUP BY video)
+SELECT f.video, f.frames, coalesce(offered, 0) AS offered, coalesce(compared, 0) AS compared FROM (SELECT video, count(*) AS frames FROM frames GROUP BY video) f LEFT JOIN counts USING (video)""",
 }

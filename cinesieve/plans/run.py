@@ -90,7 +90,7 @@ def curate(frames: DataFrame, config: Config) -> DataFrame:
     rows = spark.read.parquet(path).withColumn("frame_order", F.row_number().over(order).cast("long"))
     size = SIDE if config.filter.dedup_method == "ssim" else config.filter.phash_size**2
     done_path = scratch(spark, "disposed")
-    disposed(rows, config.filter.blur_threshold, config.filter.similarity_threshold, config.filter.dedup_method, size).write.parquet(done_path)
+    disposed(rows, config.filter.blur_threshold, config.filter.similarity_threshold, config.filter.dedup_method, size, long_videos=True).write.parquet(done_path)
     done = spark.read.parquet(done_path)
     unique = done.where("disposition = 'unique'")
     numbers = ranking.numbered(unique.select("video", "frame_order", "origin"))
