@@ -13,6 +13,7 @@ from cinesieve.plans.curate import disposed
 from cinesieve.sources.bindings import grid_frames, read
 from cinesieve.sources.storage import scratch
 from cinesieve.streaming import dedup as streaming
+from cinesieve.streaming import ordered
 
 GALLERY, EMPTY = 150, 700.0
 
@@ -129,6 +130,30 @@ def q39_streaming_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema(streaming.OUTPUT).parquet(out).where("disposition = 'unique'").select("video", "frame_order")
 
 
+#: Frames are a millisecond apart and arrive at most DISORDER of them late, in ARRIVALS parts, one a trigger.
+DISORDER, ARRIVALS = 200, 3
+
+
+def q42_streaming_out_of_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All frames from a stream whose parts overlap and are shuffled; the last one holds a row that moves the clock on. The
+    query is started again from its checkpoint for each part."""
+    arriving, out, state = (scratch(spark, label) for label in ("arriving", "stream", "stream-state"))
+    rows = fq.hashed(spark, sf_dir)
+    first, last = (n or 0 for n in rows.agg(F.min("frame_order"), F.max("frame_order")).first())
+    place = F.col("frame_order") - first + 1  # the watermark begins at 0
+    frames_ = rows.select("video", "frame_order", "item", F.timestamp_millis(place).alias("t"))
+    number = F.floor((place + F.pmod(F.xxhash64("frame_order"), F.lit(DISORDER))) * ARRIVALS / (last - first + DISORDER + 1))
+    clock = spark.range(1).select(F.lit(None).cast("long").alias("video"), F.lit(None).cast("long").alias("frame_order"), F.lit(None).cast("binary").alias("item"), F.timestamp_millis(F.lit(last - first + 3 * DISORDER + 1)).alias("t"))
+    parts = [frames_.where(number == i) for i in range(ARRIVALS)]
+    for part in [*parts[:-1], parts[-1].unionByName(clock)]:
+        part.repartition(F.xxhash64("item")).write.mode("append").parquet(arriving)
+        stream = spark.readStream.schema(clock.schema).parquet(arriving)
+        with ordered.rocksdb(spark):
+            query = ordered.greedy(stream, fq.SIMILARITY, 64, f"{2 * DISORDER} milliseconds").writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start()
+            query.awaitTermination()
+    return spark.read.schema(ordered.OUTPUT).parquet(out)
+
+
 QUERIES = {
     "q20_funnel": q20_funnel,
     "q21_removed_lists": q21_removed_lists,
@@ -145,6 +170,7 @@ QUERIES = {
     "q37_html_escape": q37_html_escape,
     "q38_json_field": q38_json_field,
     "q39_streaming_dedup": q39_streaming_dedup,
+    "q42_streaming_out_of_order": q42_streaming_out_of_order,
 }
 
 _SHARP = f"{fq.HASHED}, {fq.BLURRED.removeprefix(fq.FRAMES + ', ')}, sharp AS (SELECT h.* FROM hashed h JOIN blurred b ON h.video = b.video AND h.frame_order = b.frame_order WHERE b.blur_score >= {fq.BLUR})"
@@ -179,4 +205,5 @@ SELECT page_id, name, regexp_replace(name, '^(.+)\.[^.]+$', '\1') AS stem, regex
     "q37_html_escape": f"SELECT page_id, length({_ESCAPED}) AS chars, md5({_ESCAPED}) AS digest FROM pages",
     "q38_json_field": "SELECT event_type, count(*) AS events, count(k) AS with_k, CAST(sum(k) AS BIGINT) AS sum_k FROM (SELECT event_type, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events) GROUP BY event_type",
     "q39_streaming_dedup": f"{fq.DEDUPED} SELECT video, frame_order FROM kept",
+    "q42_streaming_out_of_order": fq.ORACLE_SQL["q40_greedy_rounds"],
 }
