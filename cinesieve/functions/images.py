@@ -27,6 +27,17 @@ def to_gray(bgr: np.ndarray) -> np.ndarray:
     return np.floor(0.114 * b + 0.587 * g + 0.299 * r + 0.5).astype(np.uint8)
 
 
+def hsv(bgr: np.ndarray) -> np.ndarray:
+    """Hue in 0..179 (halves of degrees), saturation and brightness in 0..255, rounded."""
+    b, g, r = (bgr[..., c].astype(np.float64) for c in range(3))
+    top = bgr.max(axis=-1).astype(np.float64)
+    spread = top - bgr.min(axis=-1)
+    apart = np.where(spread == 0, 1, spread)
+    hue = np.where(top == r, (g - b) / apart, np.where(top == g, 2 + (b - r) / apart, 4 + (r - g) / apart)) * 30
+    hue = np.where(spread == 0, 0, np.floor(hue + 0.5) % 180)
+    return np.stack([hue, np.floor(255 * spread / np.where(top == 0, 1, top) + 0.5), top], axis=-1).astype(np.uint8)
+
+
 def laplacian_variance(gray: np.ndarray) -> float:
     p = np.pad(gray.astype(np.float64), 1, mode="reflect") if min(gray.shape) > 1 else np.pad(gray.astype(np.float64), 1, mode="edge")
     return float((p[:-2, 1:-1] + p[2:, 1:-1] + p[1:-1, :-2] + p[1:-1, 2:] - 4 * p[1:-1, 1:-1]).var())

@@ -5,6 +5,8 @@ A timeline is a DataFrame of key (the video), t (microseconds), order (breaks ti
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -35,10 +37,13 @@ def cuts(timeline: DataFrame, threshold: float = 27.0) -> DataFrame:
     return around.withColumn("ratio", ratio).withColumn("cut", cut).drop("near_sum", "near_n")
 
 
-def _spanned(timeline: DataFrame, threshold: float) -> DataFrame:
+Find = Callable[[DataFrame, float], DataFrame]
+
+
+def _spanned(timeline: DataFrame, threshold: float, find: Find) -> DataFrame:
     """The frames of videos with a cut, with scene (from 0), start_us and end_us: windows over one shuffle by key."""
     w = W.partitionBy("key").orderBy("t", "order")
-    numbered = cuts(timeline, threshold).withColumn("scene", F.sum(F.col("cut").cast("long")).over(w.rowsBetween(W.unboundedPreceding, 0)))
+    numbered = find(timeline, threshold).withColumn("scene", F.sum(F.col("cut").cast("long")).over(w.rowsBetween(W.unboundedPreceding, 0)))
     own, by_scene = W.partitionBy("key", "scene"), W.partitionBy("key").orderBy("scene")
     spans = numbered.withColumns({
         "start_us": F.min("t").over(own),
@@ -49,35 +54,36 @@ def _spanned(timeline: DataFrame, threshold: float) -> DataFrame:
     return spans.where("last_scene > 0").withColumn("end_us", F.coalesce("next_us", "last_us")).drop("next_us", "last_us", "last_scene")
 
 
-def scenes(timeline: DataFrame, threshold: float = 27.0) -> DataFrame:
+def scenes(timeline: DataFrame, threshold: float = 27.0, find: Find = cuts) -> DataFrame:
     """key, scene (from 0), start_us, end_us of videos with a cut; videos without one have no scenes.
 
-    A scene ends where the next begins, the last one at the last frame.
+    A scene ends where the next begins, the last one at the last frame. `find` marks the cuts: `cuts` by the timeline's value, or
+    operators.detector.cuts by its change.
     """
-    return _spanned(timeline, threshold).select("key", "scene", "start_us", "end_us").distinct()
+    return _spanned(timeline, threshold, find).select("key", "scene", "start_us", "end_us").distinct()
 
 
-def scene_frames(timeline: DataFrame, threshold: float = 27.0) -> DataFrame:
+def scene_frames(timeline: DataFrame, threshold: float = 27.0, find: Find = cuts) -> DataFrame:
     """The frame nearest to each scene's midpoint (ties: the earlier): key, scene, start_us, end_us, t, order, value.
 
     Frames know their scene and its span from the windows, so the nearest one is an aggregate and no join is needed.
     """
     away = F.abs(F.col("t") - F.expr("(start_us + end_us) div 2"))
     best = F.min_by(F.struct("t", "order", "value"), F.struct("away", "t", "order"))
-    rows = _spanned(timeline, threshold).withColumn("away", away)
+    rows = _spanned(timeline, threshold, find).withColumn("away", away)
     return rows.groupBy("key", "scene", "start_us", "end_us").agg(best.alias("f")).select("key", "scene", "start_us", "end_us", "f.*")
 
 
-def by_scene_or_rate(timeline: DataFrame, threshold: float = 27.0, period_us: int = 1_000_000) -> DataFrame:
+def by_scene_or_rate(timeline: DataFrame, threshold: float = 27.0, period_us: int = 1_000_000, find: Find = cuts) -> DataFrame:
     """Scene frames, and for videos without scenes one frame a period: key, mode, number, t, order, value."""
-    of_scenes = scene_frames(timeline, threshold).select("key", F.lit("scene").alias("mode"), F.col("scene").alias("number"), "t", "order", "value")
+    of_scenes = scene_frames(timeline, threshold, find).select("key", F.lit("scene").alias("mode"), F.col("scene").alias("number"), "t", "order", "value")
     without = timeline.join(of_scenes.select("key").distinct(), "key", "left_anti")
     of_rate = by_rate(without, period_us).select("key", F.lit("fps").alias("mode"), F.col("bucket").alias("number"), "t", "order", "value")
     return of_scenes.unionByName(of_rate)
 
 
-def sample(timeline: DataFrame, mode: str = "fps", fps: float = 5.0, threshold: float = 27.0) -> DataFrame:
+def sample(timeline: DataFrame, mode: str = "fps", fps: float = 5.0, threshold: float = 27.0, find: Find = cuts) -> DataFrame:
     """By scenes for mode "scene" (at one frame a second where there are none), at the rate for any other."""
     if mode == "scene":
-        return by_scene_or_rate(timeline, threshold)
+        return by_scene_or_rate(timeline, threshold, find=find)
     return by_rate(timeline, round(1_000_000 / fps)).select("key", F.lit("fps").alias("mode"), F.col("bucket").alias("number"), "t", "order", "value")

@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cinesieve.functions import columns, grids
-from cinesieve.operators import blur, ranking, sampling, stats
+from cinesieve.operators import blur, detector, ranking, sampling, stats
 
 LINE = "key string, t long, order long, value double"
 
@@ -28,6 +28,20 @@ def test_scenes_and_the_fallback(spark):
     assert sampling.scenes(line.limit(0)).count() == 0
 
 
+def test_cuts_keep_a_least_length(spark):
+    """Frames that stand out every 10 of them; of these, the first at least 15 after the last cut is the next."""
+    line = [("a", i, 0, 0.0 if i % 10 or not i else 90.0) for i in range(100)] + [(None, i, 0, 0.0 if i != 20 else 46.0) for i in range(30)] + [("c", 0, 0, 0.0)]
+    line += [("d", i, 0, {12: 300.0, 13: 60.0}.get(i, 10.0)) for i in range(30)]
+    frames = spark.createDataFrame(line, "key string, t long, order long, change double").repartition(5)
+    assert rows(detector.cuts(frames, 27.0, 1).where("cut AND key = 'a'"), "number") == [(i,) for i in range(10, 100, 10)]
+    assert rows(detector.cuts(frames).where("cut AND key = 'a'"), "number") == [(20,), (40,), (60,), (80,)]
+    assert rows(detector.cuts(frames).where("cut AND key IS NULL"), "number") == [(20,)]
+    assert rows(detector.cuts(frames, 27.0, 12).where("cut AND key = 'd'"), "number") == [(12,)] and detector.cuts(frames, 27.0).where("cut AND key = 'd'").isEmpty()
+    assert detector.cuts(frames).count() == len(line) and detector.cuts(frames.limit(0)).count() == 0
+    colours = spark.createDataFrame([("v", i, 0, *c) for i, c in enumerate([(10, 0, 0), (170, 0, 5), (170, 255, 5)])], "key string, t long, order long, hue long, saturation long, brightness long")
+    assert rows(detector.changes(colours), "t", "change") == [(0, 0.0), (1, 165.0), (2, 255.0)]
+
+
 def test_a_threshold_is_inclusive_and_unreadable_frames_score_zero(spark):
     frames = spark.createDataFrame([(1, 80.0), (2, 79.999), (3, None)], "frame_order long, blur_score double")
     assert rows(blur.judged(frames, 80), "frame_order", "is_sharp", "blur_score") == [(1, True, 80.0), (2, False, 79.999), (3, False, 0.0)]
