@@ -237,7 +237,23 @@ _OFFERED = f"""WITH RECURSIVE {folded(structure_sims(ALIKE), "frames")},
 firsts AS (SELECT s.video, s.b, min(s.a) AS a FROM sims s JOIN kept k ON k.video = s.video AND k.frame_order = s.a WHERE s.hit GROUP BY s.video, s.b),
 offered AS (SELECT s.video, s.bound, s.halfway FROM sims s JOIN kept k ON k.video = s.video AND k.frame_order = s.a LEFT JOIN firsts f ON f.video = s.video AND f.b = s.b WHERE f.a IS NULL OR s.a <= f.a)"""
 
+_AT = "px[1 + 8 * least(7, greatest(0, y + ({0}))) + least(7, greatest(0, x + ({1})))]"
+_SIDES = [" + ".join(f"{abs(w)} * {_AT.format(*at)}" for at, w in side) for side in (
+    [((-1, 1), 1), ((0, 1), 2), ((1, 1), 1)], [((-1, -1), 1), ((0, -1), 2), ((1, -1), 1)], [((1, -1), 1), ((1, 0), 2), ((1, 1), 1)], [((-1, -1), 1), ((-1, 0), 2), ((-1, 1), 1)],
+)]
+#: Edges by gradients, suppression along them, and reachability of weak ones from strong ones as a recursion over pixels.
+EDGES = f"""{FRAMES}, gradients AS (SELECT video, frame_order, y, x, ({_SIDES[0]}) - ({_SIDES[1]}) AS dx, ({_SIDES[2]}) - ({_SIDES[3]}) AS dy FROM frames, range(8) a(y), range(8) b(x)),
+sized AS (SELECT *, abs(dx) + abs(dy) AS size, abs(dy) > tan(pi() * 3 / 8) * abs(dx) AS steep, abs(dy) < tan(pi() / 8) * abs(dx) AS flat FROM gradients),
+aimed AS (SELECT *, CASE WHEN flat THEN 0 ELSE 1 END AS oy, CASE WHEN flat THEN 1 WHEN steep THEN 0 WHEN (dx >= 0) = (dy >= 0) THEN 1 ELSE -1 END AS ox FROM sized),
+peaks AS (SELECT s.* FROM aimed s LEFT JOIN sized b ON b.video = s.video AND b.frame_order = s.frame_order AND b.y = s.y - s.oy AND b.x = s.x - s.ox
+  LEFT JOIN sized a ON a.video = s.video AND a.frame_order = s.frame_order AND a.y = s.y + s.oy AND a.x = s.x + s.ox
+  WHERE s.size > {images.EDGE_LOW} AND s.size > coalesce(b.size, 0) AND (s.size > coalesce(a.size, 0) OR (s.flat OR s.steep) AND s.size = coalesce(a.size, 0))),
+edges AS (SELECT video, frame_order, y, x FROM peaks WHERE size > {images.EDGE_HIGH}
+  UNION SELECT p.video, p.frame_order, p.y, p.x FROM edges e JOIN peaks p ON p.video = e.video AND p.frame_order = e.frame_order AND abs(p.y - e.y) <= 1 AND abs(p.x - e.x) <= 1),
+edge_counts AS (SELECT video, frame_order, CAST(255 * count(*) AS DOUBLE) AS whole, CAST(255 * count(*) FILTER (y BETWEEN 2 AND 5 AND x BETWEEN 2 AND 5) AS DOUBLE) AS middle FROM edges GROUP BY video, frame_order)"""
+
 ORACLE_SQL = {
+    "q10_composition": f"WITH RECURSIVE {EDGES} SELECT f.video, f.frame_order, least(coalesce(middle, 0) / (coalesce(whole, 0) + CAST(1e-6 AS DOUBLE)) * CAST(1.5 AS DOUBLE), CAST(1 AS DOUBLE)) AS composition FROM frames f LEFT JOIN edge_counts c ON c.video = f.video AND c.frame_order = f.frame_order",
     "q01_frame_scan": f"WITH {FRAMES} SELECT video, frame_order, len(px) AS n_px FROM frames",
     "q02_pixel_grid": f"WITH {FRAMES} SELECT video, frame_order, array_to_string(px, ',') AS pixels FROM frames",
     "q03_laplacian_variance": f"WITH {BLURRED} SELECT video, frame_order, blur_score FROM blurred",

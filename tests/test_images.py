@@ -190,6 +190,38 @@ def test_edges_of_a_square():
     assert images.composition(img) == 0.0
 
 
+def reached(gray, low=images.EDGE_LOW, high=images.EDGE_HIGH):
+    """Edges with everything weak, and those of them that a walk from the strong ones reaches."""
+    weak, found = images.edges(gray, low, low) > 0, images.edges(gray, high, high) > 0
+    todo = list(zip(*np.nonzero(found), strict=True))
+    while todo:
+        y, x = todo.pop()
+        for at in ((y + i, x + j) for i in (-1, 0, 1) for j in (-1, 0, 1)):
+            if 0 <= at[0] < weak.shape[0] and 0 <= at[1] < weak.shape[1] and weak[at] and not found[at]:
+                found[at] = True
+                todo.append(at)
+    return found
+
+
+def spiral(side=80, faint=140):
+    """A line wound up from the border to the middle, faint but for its last steps."""
+    img = np.full((side, side), 100, np.uint8)
+    for turn in np.linspace(8 * np.pi, 0.5, 6000):
+        y, x = (int(side / 2 + turn * 1.4 * f(turn)) for f in (np.sin, np.cos))
+        img[y : y + 3, x : x + 3] = faint if turn > 6 else 255
+    return img
+
+
+def test_weak_edges_are_kept_where_strong_ones_reach_them():
+    rng = np.random.default_rng(3)
+    for gray in [*rng.integers(60, 140, (20, 24, 24), np.uint8), *rng.integers(0, 256, (5, 8, 8), np.uint8)]:
+        assert ((images.edges(gray) > 0) == reached(gray)).all()
+    line, high = spiral(), 500
+    whole, faint = images.edges(line, high=high) > 0, np.minimum(line, 140)
+    assert (whole == reached(line, high=high)).all() and not images.edges(faint, high=high).any()
+    assert whole.sum() > 700 and whole[:14].any() and whole[-14:].any()  # the outer turns are reached from the middle alone
+
+
 def test_configuration(spark, tmp_path):
     (tmp_path / "c.json").write_text('{"_comment": "x", "filter": {"blur_threshold": 10, "_n": 1}, "scorer": null, "output": 3}')
     loaded = config.load(spark, str(tmp_path / "c.json"))
