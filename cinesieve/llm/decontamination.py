@@ -4,7 +4,8 @@ An item is contained in a text where at least `threshold` of its distinct 5-word
 by their number of shingles, in powers of two; an item's sketch is its shingles with the smallest hashes, those first that
 fewest items hold, as many as one more than its partition's largest item may lack, or all of them. So a text that contains
 the item shares a shingle with the sketch for certain, however long the text is. Texts that share one are candidates; their
-shingles are then compared with those of their candidate items as strings.
+shingles are then compared with those of their candidate items as strings. An item of fewer words is a partition of its own:
+one shingle of its length, and texts are cut into shingles of that length too, where items of it occur.
 
 Only hashes of shingles that fall into a sketch leave the scan. Documents aren't shuffled whole: candidates are joined
 back by document, a side that Spark broadcasts or shuffles by its measured size.
@@ -38,12 +39,18 @@ def _each(w: Column, width: int, make) -> Column:
     return F.when(F.size(w) >= width, many).when(F.size(w) > 0, F.array(make([F.array_join(w, " ")])))
 
 
-def hashes(text: Column, width: int = WORDS) -> Column:
-    return let(tokens(text), lambda w: _each(w, width, lambda parts: F.xxhash64(F.concat_ws(" ", *parts))))
+def _all(w: Column, width: int, shorter: tuple[int, ...], make, kind: str) -> Column:
+    """_each of the width and of each shorter length, of sequences that have it."""
+    none = F.array().cast(f"array<{kind}>")
+    return F.concat(*[F.coalesce(F.when(F.size(w) >= k, _each(w, k, make)), none) for k in shorter], F.coalesce(_each(w, width, make), none)) if shorter else _each(w, width, make)
 
 
-def strings(text: Column, width: int = WORDS) -> Column:
-    return let(tokens(text), lambda w: _each(w, width, lambda parts: F.concat_ws(" ", *parts)))
+def hashes(text: Column, width: int = WORDS, shorter: tuple[int, ...] = ()) -> Column:
+    return let(tokens(text), lambda w: _all(w, width, shorter, lambda parts: F.xxhash64(F.concat_ws(" ", *parts)), "bigint"))
+
+
+def strings(text: Column, width: int = WORDS, shorter: tuple[int, ...] = ()) -> Column:
+    return let(tokens(text), lambda w: _all(w, width, shorter, lambda parts: F.concat_ws(" ", *parts), "string"))
 
 
 def item_shingles(items: DataFrame, id_col: str = "item_id", text_col: str = "text", width: int = WORDS, threshold: float = THRESHOLD) -> DataFrame:
@@ -67,20 +74,22 @@ def contained(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_co
 
     key and item_key are the texts' hashes: documents with one id, and items with one id or with none, are judged each by
     its own text, repeated rows once. Null and empty texts and items without words have no shingles and never match; an item
-    of fewer than 5 words is one shingle of its own length and so only matches a text that is as short. Null ids are kept.
+    of fewer than 5 words is found where a text has these words one after another. Null ids are kept.
     A very long text is searched whole: its shingles leave the scan as hashes, and only those in a sketch go further.
     Empty tables give no rows. Other columns are not read.
     """
     of_items = staged(item_shingles(items, item_id, item_text, width, threshold), "item-shingles")
+    n_words = F.length("shingle") - F.length(F.translate("shingle", " ", "")) + 1
+    shorter = tuple(sorted(r.k for r in of_items.select(n_words.alias("k")).where(F.col("k") < width).distinct().collect()))  # width - 1 lengths at most
     sketch = of_items.where("in_sketch").select("h", "item", "item_key").distinct()
     if of_items.where("in_sketch").count() <= BROADCAST_ROWS:  # else both sides are shuffled by hash
         sketch = F.broadcast(sketch)
     texts = docs.select(col(id_col).alias("doc"), F.xxhash64(col(text_col)).alias("key"), col(text_col).alias("text"))
-    shingles = texts.select("doc", "key", F.explode(hashes(F.col("text"), width)).alias("h"))
+    shingles = texts.select("doc", "key", F.explode(hashes(F.col("text"), width, shorter)).alias("h"))
     candidates = staged(shingles.join(sketch, "h").select("doc", "key", "item", "item_key").distinct(), "candidates")
     chosen = candidates.select("doc", "key").distinct().withColumnsRenamed({"doc": "_d", "key": "_k"})
     same = F.col("doc").eqNullSafe(F.col("_d")) & (F.col("key") == F.col("_k"))
-    held = texts.join(chosen, same, "left_semi").select("doc", "key", F.explode(F.array_distinct(strings(F.col("text"), width))).alias("shingle"))
+    held = texts.join(chosen, same, "left_semi").select("doc", "key", F.explode(F.array_distinct(strings(F.col("text"), width, shorter))).alias("shingle"))
     # a candidate text's shingles are looked up among those of its own candidate items, and no others
     lists = of_items.select(F.col("item").alias("_i"), F.col("item_key").alias("_ik"), F.col("shingle").alias("_s"), "n")
     lists = F.broadcast(lists) if of_items.count() <= BROADCAST_SHINGLES else lists

@@ -31,32 +31,56 @@ def _quoted(pattern: str) -> str:
     return pattern.replace("}+", "}").replace("'", "''")
 
 
-def _spans(number: int, rule: secrets.Rule) -> str:
-    p = _quoted(rule.pattern)
+#: The pem rule where no possessive marks are known: what comes after a run can't begin as the run does, so that there is one
+#: way to match. A body's first run follows the fields after a mark or with a slash, as a field takes all letters and digits.
+_RUN, _SHORT = "[A-Za-z0-9/][A-Za-z0-9+/]{15,}={0,2}", "[A-Za-z0-9/][A-Za-z0-9+/]{0,14}={0,2}"
+_B = secrets._BETWEEN
+_FIELDS = rf"(?:{_B}+(?:Proc-Type|DEK-Info):\x20?[A-Za-z0-9-]+,[A-Za-z0-9]+)+"
+_BODY = rf"(?:{_FIELDS}(?:{_B}+[A-Za-z0-9/]|/)|{_B}*[A-Za-z0-9/])[A-Za-z0-9+/]{{15,}}={{0,2}}(?:{_B}*{_RUN})*(?:{_B}+{_SHORT})?"
+_PEM = rf"{secrets._HEADER}(?:(?:[^-]|-[^-])*-----END [A-Z ]{{0,40}}PRIVATE KEY-----|{_BODY})?"
+
+
+def _spans(number: int, rule: secrets.Rule, source: str) -> str:
+    p = _PEM.replace("'", "''") if rule.kind == "pem" else _quoted(rule.pattern)
     found = f"regexp_extract_all(t, '{p}')"
     return f"""SELECT rid, {number} AS kind, a + before AS start, a + before + length(m) AS stop FROM (
 SELECT rid, m, part, sum(length(gap)) OVER (PARTITION BY rid ORDER BY i) AS a, coalesce(sum(length(m)) OVER (PARTITION BY rid ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
 FROM (SELECT rid, unnest(range(len(ms))) AS i, unnest(ms) AS m, unnest(parts) AS part, unnest(gaps[1:len(ms)]) AS gap
-FROM (SELECT rid, {found} AS ms, regexp_extract_all(t, '{p}', {rule.group}) AS parts, string_split_regex(t, '{p}') AS gaps FROM d) WHERE len(ms) > 0)) WHERE length(part) >= {rule.least}"""
+FROM (SELECT rid, {found} AS ms, regexp_extract_all(t, '{p}', {rule.group}) AS parts, string_split_regex(t, '{p}') AS gaps FROM {source}) WHERE len(ms) > 0)) WHERE length(part) >= {rule.least}"""
+
 
+def _all_spans(source: str) -> str:
+    return " UNION ALL ".join(_spans(i, r, source) for i, r in enumerate(_RULES))
 
-#: The registered SQL stays at rule version 2; version 3 finds the same in texts without a private key's body.
-_RULES = secrets.RULE_SETS[2]
+
+_RULES = secrets.RULE_SETS[secrets.VERSION]
 _KINDS = "CASE kind " + " ".join(f"WHEN {i} THEN '{r.kind}'" for i, r in enumerate(_RULES)) + " END"
 _LIST = f"string_agg({_KINDS} || ':' || CAST(start AS BIGINT) || ':' || CAST(stop AS BIGINT), ',' ORDER BY start, kind)"
 _BASE = f"kind < {len(secrets.BASE_RULES)}"
+#: The second version: runs of overlapping spans as one mask each, the rest as it is; its spans are what is left.
 SECRETS = f"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
-s AS ({" UNION ALL ".join(_spans(i, r) for i, r in enumerate(_RULES))}),
-j AS (SELECT rid, {", ".join(f"count(*) FILTER (kind = {i}) AS n_{r.kind}" for i, r in enumerate(secrets.BASE_RULES))}, {_LIST} FILTER ({_BASE}) AS base, {_LIST} AS spans FROM s GROUP BY rid)
-SELECT doc_id, {", ".join(f"coalesce(n_{r.kind}, 0) AS n_{r.kind}" for r in secrets.BASE_RULES)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, CAST(0 AS BIGINT) AS n_left FROM d LEFT JOIN j USING (rid)"""
+s AS MATERIALIZED ({_all_spans("d")}),
+j AS (SELECT rid, {", ".join(f"count(*) FILTER (kind = {i}) AS n_{r.kind}" for i, r in enumerate(secrets.BASE_RULES))}, {_LIST} FILTER ({_BASE}) AS base, {_LIST} AS spans FROM s GROUP BY rid),
+runs AS (SELECT rid, min(start) AS start, max(stop) AS stop FROM (SELECT *, sum(CAST(apart AS INT)) OVER (PARTITION BY rid ORDER BY start, kind) AS run
+FROM (SELECT *, start >= coalesce(max(stop) OVER (PARTITION BY rid ORDER BY start, kind ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS apart FROM s)) GROUP BY rid, run),
+cut AS (SELECT rid, start, stop, coalesce(lag(stop) OVER (PARTITION BY rid ORDER BY start), 0) AS since FROM runs),
+masked AS MATERIALIZED (SELECT rid, any_value(doc_id) AS doc_id, string_agg(substr(t, CAST(since + 1 AS BIGINT), CAST(start - since AS BIGINT)) || '{secrets.MASK}', '' ORDER BY start) || substr(any_value(t), CAST(max(stop) + 1 AS BIGINT)) AS t FROM cut JOIN d USING (rid) GROUP BY rid),
+remaining AS (SELECT m.doc_id, count(*) AS n_left FROM ({_all_spans("masked")}) JOIN masked m USING (rid) GROUP BY m.doc_id)
+SELECT d.doc_id, {", ".join(f"coalesce(n_{r.kind}, 0) AS n_{r.kind}" for r in secrets.BASE_RULES)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_left, 0) AS n_left
+FROM d LEFT JOIN j USING (rid) LEFT JOIN remaining r ON r.doc_id IS NOT DISTINCT FROM d.doc_id"""
+
+
+def _words(table: str, key: str) -> str:
+    return f"SELECT {key}, text, regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}\\p{{N}}]+') AS w FROM {table}"
 
 
 def _shingles(table: str, key: str) -> str:
     return f"""SELECT DISTINCT {key}, md5(text) AS {table}_text, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s
-FROM (SELECT {key}, text, regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}\\p{{N}}]+') AS w FROM {table})"""
+FROM ({_words(table, key)})"""
 
 
-CONTAINMENT = f"""WITH items AS (SELECT *, count(*) OVER (PARTITION BY item_id, benchmark_text) AS n FROM ({_shingles("benchmark", "item_id")})), texts AS ({_shingles("documents", "doc_id")}),
+CONTAINMENT = f"""WITH items AS (SELECT *, count(*) OVER (PARTITION BY item_id, benchmark_text) AS n FROM ({_shingles("benchmark", "item_id")})), lengths AS (SELECT DISTINCT len(string_split(s, ' ')) AS k FROM items WHERE len(string_split(s, ' ')) < 5),
+texts AS ({_shingles("documents", "doc_id")} UNION SELECT doc_id, md5(text), array_to_string(w[i:i + k - 1], ' ') FROM (SELECT *, unnest(range(1, len(w) - k + 2)) AS i FROM ({_words("documents", "doc_id")}), lengths)),
 pairs AS (SELECT doc_id, item_id, count(*) AS n_shared, any_value(n) AS n_item, count(*) / any_value(n) AS containment FROM texts JOIN items USING (s) GROUP BY doc_id, documents_text, item_id, benchmark_text HAVING count(*) >= 0.8 * any_value(n) - 1e-9)
 SELECT * FROM pairs QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY containment DESC, n_shared DESC) = 1"""
 

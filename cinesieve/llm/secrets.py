@@ -6,7 +6,8 @@ the ledger lacks at this rule version, runs the rules over these texts alone, an
 back to all paths and versions.
 
 One text stands for a blob, by an aggregate whose partial results leave one text a task and blob, so that texts are shuffled
-once and a text of many rows is no hot key. Findings are joined back by blob, from the blobs that have any: broadcast where
+once and a text of many rows is no hot key. Against a ledger, hashes alone are compared first; where few blobs are new, their
+hashes go to all tasks and no seen text moves. Findings are joined back by blob, from the blobs that have any: broadcast where
 a count shows that they are few, else repeated for each of a few salts, so that the copies of one blob fall to many keys.
 """
 
@@ -96,41 +97,50 @@ def scan(versions: DataFrame, ledger: DataFrame | None = None, path_col: str = "
     An empty table gives no rows. Columns other than the three named are not read.
     """
     blobs = with_blobs(versions, path_col, version_col, text_col)
-    unseen = blobs.groupBy("blob_id").agg(F.any_value("text").alias("text"))
     if ledger is not None:
         seen = ledger.where(F.col("rule_version") == rule_version).select("blob_id")
-        unseen = unseen.join(seen, "blob_id", "left_anti")
+        new = staged(blobs.select("blob_id").distinct().join(seen, "blob_id", "left_anti"), "unseen-blobs")
+        blobs = blobs.join(F.broadcast(new) if new.count() <= BROADCAST else new, "blob_id", "left_semi")
+    unseen = blobs.groupBy("blob_id").agg(F.any_value("text").alias("text"))
     return unseen.select("blob_id", F.lit(rule_version).alias("rule_version"), spans(F.col("text"), RULE_SETS[rule_version]).alias("spans"))
 
 
 class Ledger:
-    """The ledger as a table that grows: every call of `extend` appends what it found in blobs that no earlier one saw."""
+    """The ledger as a table that grows: every call of `extend` appends what it found in blobs that no earlier one saw.
+
+    Two writers at a time may both append a blob that both found new. Their rows are equal, and `rows` gives one of them.
+    """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
 
-    def rows(self) -> DataFrame:
+    def _files(self) -> DataFrame:
         return self.spark.read.schema(LEDGER).parquet(self.path)
 
+    def rows(self) -> DataFrame:
+        """One row a blob and rule version."""
+        return self._files().dropDuplicates(["blob_id", "rule_version"])
+
     def extend(self, versions: DataFrame, path_col: str = "doc_id", version_col: str | None = None, text_col: str = "text", rule_version: int = VERSION) -> DataFrame:
-        """Scans the unseen pairs of blob and rule version among `versions`, appends them, and returns the whole ledger.
+        """Scans the unseen pairs of blob and rule version among `versions`, appends them, and returns the whole ledger, in which
+        a blob of two writers may be twice: scan, locate and redact take it so.
 
         Nulls, repeats and empty tables are as in `scan`; the first call makes the table, also for no rows.
         """
         known = None
         try:
-            known = self.rows() if not self.rows().isEmpty() else None
+            known = self._files()
         except AnalysisException as error:
             if "PATH_NOT_FOUND" not in str(error):
                 raise
         found = scan(versions, known, path_col, version_col, text_col, rule_version)
         found.write.mode("append").option("compression", "zstd").parquet(self.path)
-        return self.rows()
+        return self._files()
 
 
 def _hits(ledger: DataFrame, rule_version: int) -> tuple[DataFrame, bool]:
-    """Blobs with findings (blob_id, spans), and whether they may go to all executors: a checked size."""
-    hits = ledger.where((F.col("rule_version") == rule_version) & (F.size("spans") > 0)).select("blob_id", "spans")
+    """Blobs with findings (blob_id, spans), each once, and whether they may go to all executors: a checked size."""
+    hits = ledger.where((F.col("rule_version") == rule_version) & (F.size("spans") > 0)).select("blob_id", "spans").dropDuplicates(["blob_id"])
     n, spans_of_all = hits.agg(F.count("*"), F.coalesce(F.sum(F.size("spans")), F.lit(0))).first()
     return hits, n + spans_of_all <= BROADCAST
 

@@ -33,6 +33,8 @@ _ODD = 0x5555555555555555
 _CHUNK = 1 << 14
 #: Shares of a hot cell, and how many mixed cells of 8 bytes each go to all executors.
 SHARES, BROADCAST_ROWS = 64, 1 << 20
+#: Fingerprints of over 1 / HOT of all rows are labelled by a broadcast.
+HOT = 1 << 12
 
 
 def _signed(x: int) -> int:
@@ -168,16 +170,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     has no other. Repeated rows stay. An empty table gives no rows. Other columns of docs are not read.
     """
     prints = staged(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
-    joined = prints.join(_named(prints, bits), "fp")
+    joined = _labelled(prints, _named(prints, bits))
     return joined.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def _named(prints: DataFrame, bits: int) -> DataFrame:
-    """(fp, component, component_id) of the fingerprints of rows (id, fp)."""
-    distinct = staged(prints.groupBy("fp").agg(F.min("id").alias("least")), "distinct-fingerprints")
+    """(fp, n, component, component_id) of the fingerprints of rows (id, fp); n: their rows."""
+    distinct = staged(prints.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("n")), "distinct-fingerprints")
     named = staged(distinct.join(link(distinct, bits), "fp"), "named-fingerprints")
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    return staged(salted(named.select("fp", "component"), least, "component", F.col("fp")), "components")
+    return staged(salted(named.select("fp", "n", "component"), least, "component", F.col("fp")), "components")
+
+
+def _labelled(rows: DataFrame, named: DataFrame) -> DataFrame:
+    """rows (fp, ...) with component and component_id. Fingerprints of many rows, HOT of them at most, go to all executors."""
+    total = named.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    labels, is_hot = named.select("fp", "component", "component_id"), F.col("n") > max(64, total // HOT)
+    hot = F.broadcast(named.where(is_hot).select(*labels.columns))
+    return rows.join(hot, "fp").unionByName(rows.join(F.broadcast(named.where(is_hot).select("fp")), "fp", "left_anti").join(labels, "fp"))
 
 
 def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, bits: int = BITS) -> DataFrame:
@@ -190,7 +200,7 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     key = F.xxhash64(col(text_col))
     rows = docs.select(col(id_col).cast("long").alias("id"), col(text_col).alias("text"), key.alias("row"))
     prints = staged(rows.mapInArrow(_fingerprints(shingle), "id long, fp long, row long"), "fingerprints")
-    named = prints.join(_named(prints.select("id", "fp"), bits), "fp").where("id <=> component_id")
+    named = _labelled(prints, _named(prints.select("id", "fp"), bits)).where("id <=> component_id")
     of_row = named.groupBy("component", "id", "row").agg(F.count("*").alias("n"))
     chosen = of_row.groupBy("component").agg(F.min(F.struct("row", "id", "n")).alias("c"))
     own, the_id, the_row, n = new_names(docs, "key", "id", "row", "n")

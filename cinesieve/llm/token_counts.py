@@ -24,10 +24,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cinesieve.llm.shared import col, staged
+from cinesieve.llm.shared import SALTS, col, staged
 
-#: Pre-tokens that are looked up in the tasks: some 5 MB, whatever the corpus.
-HEAD, FLUSH, ROWS = 1 << 16, 400_000, 50_000
+#: Pre-tokens that are looked up in the tasks, and the most characters that one of them has: some 5 MB, 20 MB at most, whatever
+#: the corpus. Longer ones are joined, with salts, as one of them may be in many texts.
+HEAD, HEAD_CHARS, FLUSH, ROWS = 1 << 16, 64, 400_000, 50_000
 #: Characters of texts after which a task hands on what it has counted, however few entries that is.
 CHARS = 1 << 25
 _ODD = re.compile(r"[^\S \n]|\s\s(?:\s|\Z)")
@@ -116,7 +117,7 @@ def _by_document(tokenizer: str, head):
                 for token, n in found.items():
                     pieces = known.get(token)
                     if pieces is None:
-                        rows.append((row, None, None, token, 0, n))
+                        rows.append((row, None, None, token, row % SALTS if len(token) > HEAD_CHARS else 0, n))
                     else:
                         total += n * pieces
                 rows.append((row, doc, len(text.encode("utf-8", "surrogatepass")), "", row + 1, total))
@@ -163,7 +164,8 @@ def count(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", token
     """
     spark = docs.sparkSession
     known = staged(vocabulary(docs, text_col, tokenizer), "pre-tokens")
-    top = {r.token: r.pieces for r in known.where(_grade() >= _lowest(known, head)).select("token", "pieces").toLocalIterator()}
+    short = known.where(F.length("token") <= HEAD_CHARS)
+    top = {r.token: r.pieces for r in short.where(_grade() >= _lowest(short, head)).select("token", "pieces").toLocalIterator()}
     rows = docs.select(F.monotonically_increasing_id().alias("row"), col(id_col).cast("long").alias("id"), col(text_col).alias("text"))
     counts = rows.mapInArrow(_by_document(tokenizer, spark.sparkContext.broadcast(top)), "row long, id long, n_bytes long, token string, salt long, n long")
     return priced(counts, known).select(F.col("id").alias(id_col), "n_bytes", "n_tokens")
@@ -174,7 +176,8 @@ def priced(counts: DataFrame, known: DataFrame) -> DataFrame:
 
     A row's own entry, with its id, bytes and what the task has summed up, has an empty pre-token and a salt of its own.
     """
-    joined = counts.join(known.select("token", F.lit(0).cast("long").alias("salt"), "pieces"), ["token", "salt"], "left")
+    salts = F.when(F.length("token") > HEAD_CHARS, F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))
+    joined = counts.join(known.select("token", F.explode(salts).alias("salt"), "pieces"), ["token", "salt"], "left")
     missing = F.raise_error(F.concat(F.lit("a pre-token is not in the vocabulary: "), F.col("token"))).cast("long")
     total = F.sum(F.col("n") * F.when(F.col("token") == "", F.lit(1)).when(F.col("pieces").isNull(), missing).otherwise(F.col("pieces")))
     return joined.groupBy("row").agg(F.max("id").alias("id"), F.max("n_bytes").alias("n_bytes"), total.alias("n_tokens"))

@@ -93,7 +93,7 @@ def components(fingerprints, bits=4):
     return [find(i) for i in range(len(fps))]
 
 
-def shingles(text):
+def words_of(text):
     w, word = [], ""
     for c in (text or "").lower() + " ":
         if unicodedata.category(c)[0] in "LN":
@@ -101,9 +101,23 @@ def shingles(text):
         elif word:
             w.append(word)
             word = ""
+    return w
+
+
+def shingles(text):
+    w = words_of(text)
     return {" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
 
 
+def shared_shingles(item, text):
+    """(shared, all) of an item's shingles; one of fewer than five words is looked for as it is."""
+    own, held = shingles(item), shingles(text)
+    for s in own:
+        if len(s.split(" ")) < 5 and f" {s} " in f" {' '.join(words_of(text))} ":
+            held.add(s)
+    return len(own & held), len(own)
+
+
 def ngrams(text, buckets):
     """Counts by bucket of n-grams of orders 1 to 3: the text in lower case, all but letters as spaces, a space on either side."""
     if not any(c.isalpha() for c in (text or "").lower()):
