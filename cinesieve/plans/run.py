@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, replace
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -23,8 +24,9 @@ from cinesieve.sources.storage import released, scratch
 SIDE = 256
 FEATURES = "blur_score double, item binary"
 SCORES = "sharpness double, colorfulness double, brightness double, contrast double, composition double, total double, error string"
-#: Names of unique frames go to all executors up to this many; beyond it images are shuffled to them by name.
-BROADCAST_NAMES = 500_000
+SCORE_STRUCT = "struct<" + SCORES.replace(" ", ":").replace(",:", ",") + ">"
+#: Images that one scan for scores lists by name.
+LISTED = 100_000
 NO_FRAMES = "No frames came out of it: empty, shorter than a frame's period, or damaged"
 
 
@@ -58,8 +60,12 @@ def features(frames: DataFrame, config: Config) -> DataFrame:
     return kept.select("video", "frame_order", "file", "origin", "f.*")
 
 
-def scored(frames: DataFrame, survivors: DataFrame) -> DataFrame:
-    """origin and scores of those frames (origin, image) that survive (origin); an error in the scores of one that can't be read."""
+def scored(survivors: DataFrame, path: str) -> DataFrame:
+    """origin and scores of the frames that survive (origin), written to path; an error in the scores of one that can't be read.
+
+    A scan decodes what it lists, so that survivors are listed by name, LISTED at a time, and no other image is read again.
+    """
+    spark = survivors.sparkSession
 
     def of(image: dict) -> dict:
         try:
@@ -71,9 +77,11 @@ def scored(frames: DataFrame, survivors: DataFrame) -> DataFrame:
     def score(image: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame([of(r) for r in image.to_dict("records")], columns=[c.split()[0] for c in SCORES.split(", ")])
 
-    names = survivors.select("origin")
-    names = F.broadcast(names) if names.count() <= BROADCAST_NAMES else names
-    return frames.select("origin", "image").join(names, "origin", "left_semi").select("origin", score("image").alias("scores"))
+    spark.createDataFrame([], f"origin string, scores {SCORE_STRUCT}").write.parquet(path)
+    names = (r.origin for r in survivors.select("origin").toLocalIterator())
+    while some := list(islice(names, LISTED)):
+        source.read_images(spark, some).select("origin", score("image").alias("scores")).write.mode("append").parquet(path)
+    return spark.read.parquet(path)
 
 
 def curate(frames: DataFrame, config: Config) -> DataFrame:
@@ -95,12 +103,10 @@ def curate(frames: DataFrame, config: Config) -> DataFrame:
     unique = done.where("disposition = 'unique'")
     numbers = ranking.numbered(unique.select("video", "frame_order", "origin"))
     if config.scorer.enabled:
-        scores_path = scratch(spark, "scores")
-        scored(frames, unique).write.parquet(scores_path)
-        numbers = numbers.join(spark.read.parquet(scores_path), "origin", "left").withColumn("total", F.col("scores.total"))
+        numbers = numbers.join(scored(unique, scratch(spark, "scores")), "origin", "left").withColumn("total", F.col("scores.total"))
         numbers = ranking.ranked(numbers).select("video", "frame_order", "unique_no", "scores", "rank")
     else:
-        numbers = numbers.select("video", "frame_order", "unique_no", F.lit(None).cast("struct<" + SCORES.replace(" ", ":").replace(",:", ",") + ">").alias("scores"), F.lit(None).cast("int").alias("rank"))
+        numbers = numbers.select("video", "frame_order", "unique_no", F.lit(None).cast(SCORE_STRUCT).alias("scores"), F.lit(None).cast("int").alias("rank"))
     return done.join(numbers, ["video", "frame_order"], "left")
 
 

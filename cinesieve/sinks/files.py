@@ -148,6 +148,20 @@ def write_text(spark: SparkSession, path: str, text: str) -> str:
     return path
 
 
+def make_folder(spark: SparkSession, path: str) -> None:
+    p, fs = _hadoop(spark, path)
+    fs.mkdirs(p)
+
+
+def move_text(spark: SparkSession, path: str, text: str) -> None:
+    """write_text for readers that look meanwhile: the file appears whole, under a name that was free."""
+    folder, name = path.rsplit("/", 1)
+    part = write_text(spark, f"{folder}/.{name}.part", text)
+    p, fs = _hadoop(spark, path)
+    if not fs.rename(_hadoop(spark, part)[0], p):
+        raise OSError(f"{path} is there already")
+
+
 def unique_manifest(curated: DataFrame, folder: str) -> DataFrame:
     """Where the unique frames go: src, dest (<folder>/<video>/unique_frames/unique_0000.ext), numbered from 0 in their order."""
     name = F.concat(F.format_string("unique_%04d", F.col("unique_no")), suffix(F.col("file")))

@@ -67,6 +67,12 @@ def read_frames(spark: SparkSession, path: str) -> DataFrame:
     return images.select(F.element_at(F.split(origin, "/"), -2).alias("video"), order.alias("frame_order"), basename(origin).alias("file"), origin.alias("origin"), "image")
 
 
+def read_images(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """The images of these paths and no others: origin, image. Names are taken as they are, whatever characters they have."""
+    images = spark.read.format("image").option("dropInvalid", False).option("__globPaths__", False).load(paths)
+    return images.select(local_path(decoded(F.col("image.origin"))).alias("origin"), "image")
+
+
 def no_frames(spark: SparkSession) -> DataFrame:
     """read_frames of nothing."""
     image = "struct<origin:string,height:int,width:int,nChannels:int,mode:int,data:binary>"

@@ -127,7 +127,32 @@ def test_jobs_are_rows(spark, folder, tmp_path):
         raise ValueError("no")
     rows = jobs.recent(spark, str(tmp_path)).collect()
     assert [(r.source, r.status, r.error) for r in rows] == [("b", "error", "ValueError: no"), ("a", "done", None)]
-    assert [r.line for r in jobs.log(spark, str(tmp_path), rows[1].job_id).collect()] == ["one", "two"] and jobs.recent(spark, str(tmp_path), 1).count() == 1
+    assert jobs.recent(spark, str(tmp_path), 1).first().source == "b"
+    jobs.evict(spark, str(tmp_path), 1)
+    assert [r.source for r in jobs.jobs(spark, str(tmp_path)).collect()] == ["b"] and len(list((tmp_path / "_jobs").glob("[!.]*"))) == 2
+    with jobs.Job(spark, str(tmp_path), "c") as job:
+        job.step("one")
+        job.step("two")
+    rows = jobs.recent(spark, str(tmp_path)).where("source = 'c'").collect()
+    assert [r.line for r in jobs.log(spark, str(tmp_path), rows[0].job_id).collect()] == ["one", "two"] and jobs.recent(spark, str(tmp_path), 1).count() == 1
+
+
+def test_survivors_alone_are_read_again(spark, folder, tmp_path, monkeypatch):
+    import shutil
+
+    shutil.copytree(folder, tmp_path / "in")
+    odd = tmp_path / "in/c [1] {x,y}*"
+    odd.mkdir()
+    for i in (1, 2):
+        shutil.copy(folder / f"clip a/frame_0000{3 * i - 2}.png", odd / f"frame?%20{i}.png")
+    read = []
+    monkeypatch.setattr(source, "read_images", lambda *a, of=source.read_images: read.append(df := of(*a)) or df)
+    monkeypatch.setattr(run, "LISTED", 2)
+    done = run.curate(source.read_frames(spark, str(tmp_path / "in")), config.overridden(config.Config(), top=5))
+    unique = {r.origin for r in done.where("disposition = 'unique'").collect()}
+    assert len(unique) == 5 and sorted(len(df.inputFiles()) for df in read) == [1, 2, 2]
+    assert sorted(r.origin for df in read for r in df.collect()) == sorted(unique)
+    assert done.where("scores.total > 0").count() == 5 and done.where("scores IS NOT NULL").count() == 5
 
 
 def test_files_are_copied_by_the_tasks(spark, tmp_path):
