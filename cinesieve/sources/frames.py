@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 
 from pyspark.errors import AnalysisException
@@ -69,7 +70,7 @@ def read_frames(spark: SparkSession, path: str) -> DataFrame:
 
 def read_images(spark: SparkSession, paths: list[str]) -> DataFrame:
     """The images of these paths and no others: origin, image. Names are taken as they are, whatever characters they have."""
-    images = spark.read.format("image").option("dropInvalid", False).option("__globPaths__", False).load(paths)
+    images = spark.read.format("image").option("dropInvalid", False).load([re.sub(r"([\\\[\]{}*?^,])", r"\\\1", p) for p in paths])
     return images.select(local_path(decoded(F.col("image.origin"))).alias("origin"), "image")
 
 
