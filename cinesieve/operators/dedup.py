@@ -21,6 +21,8 @@ from cinesieve.functions import images
 BLOCK = 4096
 #: How far rounding may put a similarity over its bound.
 MARGIN = 1e-6
+#: Images of at most this side are compared MANY at a time.
+SMALL, MANY = 32, 128
 
 
 class HashState:
@@ -66,8 +68,8 @@ class StructureState(HashState):
     a kept image of 256 x 256.
     """
 
-    def __init__(self, threshold: float, side: int):
-        self.threshold, self.side, self.images = threshold, side, []
+    def __init__(self, threshold: float, side: int, counting: bool = False):
+        self.threshold, self.side, self.images, self.counting = threshold, side, [], counting
         self.cells, self.offered, self.compared = np.zeros((0, 0, 0)), 0, 0
 
     @property
@@ -77,7 +79,20 @@ class StructureState(HashState):
     def _windows(self, raw: bytes) -> images.Windows:
         return images.Windows(np.frombuffer(raw, np.uint8).reshape(self.side, self.side))
 
+    def _find_small(self, item: images.Windows) -> float | None:
+        """The same for images so small that many at a time are compared sooner than one is bounded; counts nothing."""
+        for a in range(0, self.count, BLOCK):
+            left = np.flatnonzero(item.coarse_bound(self.cells[a : min(a + BLOCK, self.count)]) >= self.threshold - MARGIN) + a
+            for i in range(0, len(left), MANY):
+                found = images.ssim(np.stack([self.images[k].image for k in left[i : i + MANY]]), item.image)
+                hits = found >= self.threshold
+                if hits.any():
+                    return max(0.0, float(found[hits.argmax()]))
+        return None
+
     def _find(self, item: images.Windows) -> float | None:
+        if self.side <= SMALL and not self.counting:
+            return self._find_small(item)
         least = self.threshold - MARGIN
         for a in range(0, self.count, BLOCK):
             bounds = item.coarse_bound(self.cells[a : min(a + BLOCK, self.count)])
@@ -162,7 +177,7 @@ def structure_pairs(items: DataFrame, threshold: float, side: int = 256) -> Data
                 if held is None or key != video:
                     if held is not None:
                         yield row()
-                    video, held, n = key, StructureState(threshold, side), 0
+                    video, held, n = key, StructureState(threshold, side, counting=True), 0
                 held.offer(item.as_py())
                 n += 1
         if held is not None:
