@@ -15,7 +15,7 @@ component against all others. A pair left out is linked already, so that the com
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -26,7 +26,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cinesieve.llm.graph import components
-from cinesieve.llm.shared import col, new_names, salted, staged
+from cinesieve.llm.shared import col, salted, staged
 
 SHINGLE, BITS, SEED = 4, 4, 42
 _ODD = 0x5555555555555555
@@ -59,7 +59,9 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     return _signed(int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big"))
 
 
-def _fingerprints(shingle: int):
+def hashing(shingle: int):
+    """For mapInArrow: (id, text, ...) to (id, fp, ...)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             prints = pa.array([fingerprint(t.as_py(), shingle) for t in batch.column(1)], pa.int64())
@@ -70,7 +72,7 @@ def _fingerprints(shingle: int):
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
     rows = docs.select(col(id_col).cast("long").alias("id"), col(text_col).alias("text"))
-    return rows.mapInArrow(_fingerprints(shingle), "id long, fp long")
+    return rows.mapInArrow(hashing(shingle), "id long, fp long")
 
 
 def embedding(fp: Column) -> Column:
@@ -108,7 +110,7 @@ def dealt(prints: DataFrame) -> DataFrame:
     return prints.repartition(int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
 
 
-def _hot_cells(prints: DataFrame, bits: int) -> DataFrame:
+def hot_cells(prints: DataFrame, bits: int) -> DataFrame:
     """Cells that may be too large for one task: at most 70 * 256, found in a 64th of the fingerprints.
 
     They only decide where comparisons run: every link between components is found by `_last_links` anyhow.
@@ -120,7 +122,7 @@ def _hot_cells(prints: DataFrame, bits: int) -> DataFrame:
 
 def _first_links(prints: DataFrame, bits: int) -> DataFrame:
     turned = F.expr("shiftleft(fp, cast(pmod(hash(cell), 64) as int)) | shiftrightunsigned(fp, cast(64 - pmod(hash(cell), 64) as int))")
-    hot = F.broadcast(_hot_cells(prints, bits).select(F.col("cell").alias("_hot")))
+    hot = F.broadcast(hot_cells(prints, bits).select(F.col("cell").alias("_hot")))
     share = F.when(F.col("_hot").isNotNull(), F.pmod(F.xxhash64("fp"), F.lit(SHARES))).otherwise(0)
     members = in_cells(dealt(prints.select("fp")), bits).join(hot, F.col("cell") == F.col("_hot"), "left").withColumns({"_o": turned, "share": share})
 
@@ -170,44 +172,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     has no other. Repeated rows stay. An empty table gives no rows. Other columns of docs are not read.
     """
     prints = staged(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
-    joined = _labelled(prints, _named(prints, bits))
+    joined = labelled(prints, named(prints, lambda distinct: link(distinct, bits)))
     return joined.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def _named(prints: DataFrame, bits: int) -> DataFrame:
-    """(fp, n, component, component_id) of the fingerprints of rows (id, fp); n: their rows."""
+def named(prints: DataFrame, linking: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(fp, n, component, component_id) of the fingerprints of rows (id, fp, ...), linked as (fp, component); n: their rows."""
     distinct = staged(prints.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("n")), "distinct-fingerprints")
-    named = staged(distinct.join(link(distinct, bits), "fp"), "named-fingerprints")
-    least = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    return staged(salted(named.select("fp", "n", "component"), least, "component", F.col("fp")), "components")
+    labels = staged(distinct.join(linking(distinct), "fp"), "named-fingerprints")
+    least = labels.groupBy("component").agg(F.min("least").alias("component_id"))
+    return staged(salted(labels.select("fp", "n", "component"), least, "component", F.col("fp")), "components")
 
 
-def _labelled(rows: DataFrame, named: DataFrame) -> DataFrame:
+def labelled(rows: DataFrame, components_of: DataFrame) -> DataFrame:
     """rows (fp, ...) with component and component_id. Fingerprints of many rows, HOT of them at most, go to all executors."""
-    total = named.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    labels, is_hot = named.select("fp", "component", "component_id"), F.col("n") > max(64, total // HOT)
-    hot = F.broadcast(named.where(is_hot).select(*labels.columns))
-    return rows.join(hot, "fp").unionByName(rows.join(F.broadcast(named.where(is_hot).select("fp")), "fp", "left_anti").join(labels, "fp"))
-
-
-def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, bits: int = BITS) -> DataFrame:
-    """One row of docs for each component of near_duplicates, all columns whatever their names: that of the smallest id.
-
-    Where several rows have that id, or no row has an id, one of them stays: of the smallest text hash, and of rows that
-    agree in it any one. Null and empty texts are linked like any other. Texts, of any length, are joined to the chosen rows
-    once and are neither sorted nor compared. An empty table gives no rows.
-    """
-    key = F.xxhash64(col(text_col))
-    rows = docs.select(col(id_col).cast("long").alias("id"), col(text_col).alias("text"), key.alias("row"))
-    prints = staged(rows.mapInArrow(_fingerprints(shingle), "id long, fp long, row long"), "fingerprints")
-    named = _labelled(prints, _named(prints.select("id", "fp"), bits)).where("id <=> component_id")
-    of_row = named.groupBy("component", "id", "row").agg(F.count("*").alias("n"))
-    chosen = of_row.groupBy("component").agg(F.min(F.struct("row", "id", "n")).alias("c"))
-    own, the_id, the_row, n = new_names(docs, "key", "id", "row", "n")
-    chosen = staged(chosen.select(F.col("c.id").alias(the_id), F.col("c.row").alias(the_row), F.col("c.n").alias(n)), "representatives")
-    same = col(id_col).cast("long").eqNullSafe(F.col(the_id)) & (F.col(own) == F.col(the_row))
-    kept = docs.withColumn(own, key).join(chosen.hint("shuffle_hash"), same)
-    if not chosen.where(F.col(n) > 1).isEmpty():  # rows that agree in id and text: one of each stays
-        repeated = kept.where(F.col(n) > 1).dropDuplicates([the_id, the_row])
-        kept = kept.where(F.col(n) == 1).unionByName(repeated)
-    return kept.select(*[col(c) for c in docs.columns])
+    total = components_of.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    labels, is_hot = components_of.select("fp", "component", "component_id"), F.col("n") > max(64, total // HOT)
+    hot = F.broadcast(components_of.where(is_hot).select(*labels.columns))
+    return rows.join(hot, "fp").unionByName(rows.join(F.broadcast(components_of.where(is_hot).select("fp")), "fp", "left_anti").join(labels, "fp"))

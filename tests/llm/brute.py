@@ -67,18 +67,22 @@ def conversation(turns):
     return len(turns), hashlib.sha256(said.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest()
 
 
-def fingerprint(text):
+def fingerprint(text, width=4):
     w = WORD.findall(lower(text or ""))
     if not w:
         return 0
-    hashes = np.array([xxhash.xxh64_intdigest(" ".join(w[i : i + 4]).encode(), seed=42) for i in range(max(1, len(w) - 3))], np.uint64)
+    hashes = np.array([xxhash.xxh64_intdigest(" ".join(w[i : i + width]).encode(), seed=42) for i in range(max(1, len(w) - width + 1))], np.uint64)
     return sum(1 << b for b in range(64) if 2 * int((hashes >> np.uint64(b) & np.uint64(1)).sum()) > len(hashes))
 
 
 def components(fingerprints, bits=4):
     """The smallest index reachable from each index."""
     fps = np.array(fingerprints, np.uint64)
-    root = list(range(len(fps)))
+    return joined(len(fps), ((i, int(j)) for i in range(len(fps)) for j in np.flatnonzero(np.bitwise_count(fps ^ fps[i]) <= bits)))
+
+
+def joined(n, pairs):
+    root = list(range(n))
 
     def find(x):
         while root[x] != x:
@@ -86,11 +90,33 @@ def components(fingerprints, bits=4):
             x = root[x]
         return x
 
-    for i in range(len(fps)):
-        for j in np.flatnonzero(np.bitwise_count(fps ^ fps[i]) <= bits):
-            a, b = find(i), find(int(j))
-            root[max(a, b)] = min(a, b)
-    return [find(i) for i in range(len(fps))]
+    for i, j in pairs:
+        a, b = find(i), find(j)
+        root[max(a, b)] = min(a, b)
+    return [find(i) for i in range(n)]
+
+
+def proposed(a, b):
+    """Whether the bit counts of 32 segments agree in three of eight groups, and at most ten bits differ."""
+    counts = lambda x: [(x >> 2 * i & 3).bit_count() for i in range(32)]
+    u, v = counts(a), counts(b)
+    return (a ^ b).bit_count() <= 10 and sum(u[4 * g : 4 * g + 4] == v[4 * g : 4 * g + 4] for g in range(8)) >= 3
+
+
+def word_shingles(text):
+    w = WORD.findall(lower(text or ""))
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+
+def similar(a, b):
+    return len(a & b) >= 0.8 * len(a | b) - 1e-9
+
+
+def near_components(texts, all_pairs=False):
+    """The components of similar texts that fingerprints propose, or of all similar ones."""
+    fps, sets = [fingerprint(t, 2) for t in texts], [word_shingles(t) for t in texts]
+    pairs = ((i, j) for i in range(len(texts)) for j in range(i) if (all_pairs or proposed(fps[i], fps[j])) and similar(sets[i], sets[j]))
+    return joined(len(texts), pairs)
 
 
 def words_of(text):

@@ -9,7 +9,7 @@ from hypothesis import example, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from cinesieve.llm import chat, decontamination, language, packing, quality, secrets, sharding, simhash, stages, token_counts, token_files
+from cinesieve.llm import chat, decontamination, language, near, packing, quality, secrets, sharding, simhash, stages, token_counts, token_files
 from cinesieve.llm.encoding import Encoder, encoder
 from cinesieve.llm.graph import components
 from cinesieve.llm.queries import QUERIES
@@ -119,7 +119,7 @@ def test_whole_rows_survive_with_any_names(spark, tables):
     docs = spark.createDataFrame([(i, t, None, 7, *[f"{n}{i}" for n in ODD_NAMES]) for i, t in enumerate(texts)], schema)
     known = language.fit(docs.select("text", F.lit("en").alias("lang")))
     kept = {
-        "redact": (secrets.redact(docs), range(6)), "mask": (stages.mask_secrets(spark, docs, ""), range(6)), "representatives": (simhash.representatives(docs), (0, 2, 3, 4)),
+        "redact": (secrets.redact(docs), range(6)), "mask": (stages.mask_secrets(spark, docs, ""), range(6)), "representatives": (near.representatives(docs), (0, 2, 3, 4)),
         "clean": (decontamination.clean(docs, spark.read.parquet(f"{tables}/benchmark.parquet")), (0, 1, 3, 4, 5)), "accepted": (language.accepted(docs, known), (0, 1, 2, 3)),
     }
     for name, (df, ids) in kept.items():
@@ -129,7 +129,7 @@ def test_whole_rows_survive_with_any_names(spark, tables):
         assert all(r[n] == f"{n}{i}" for i, r in rows.items() for n in ODD_NAMES), name
     assert {r.doc_id: (r.text, r.n_chars) for r in stages.mask_secrets(spark, docs, "").collect()}[3] == ("here is [SECRET] and more", 25)
     nothing = docs.limit(0)
-    for df in (secrets.redact(nothing), simhash.representatives(nothing), decontamination.clean(nothing, spark.read.parquet(f"{tables}/benchmark.parquet")), language.accepted(nothing, known)):
+    for df in (secrets.redact(nothing), near.representatives(nothing), decontamination.clean(nothing, spark.read.parquet(f"{tables}/benchmark.parquet")), language.accepted(nothing, known)):
         assert df.columns == docs.columns and df.collect() == []
 
 
@@ -405,7 +405,7 @@ def test_representatives(spark):
         [(1, "a b c d e", {"k": 1}), (1, "a b c d e", {"k": 2}), (2, "a b c d e", {}), (None, "a b c d e", {}), (None, "x y", None), (None, "x y", None), (5, None, None), (6, "", None)],
         "doc_id long, text string, fp map<string,int>",
     )
-    kept = simhash.representatives(rows)
+    kept = near.representatives(rows)
     assert kept.columns == rows.columns and sorted((r.doc_id or 0, r.text or "") for r in kept.collect()) == [(0, "x y"), (1, "a b c d e"), (5, "")]
 
 

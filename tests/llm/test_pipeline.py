@@ -30,7 +30,7 @@ def expected(documents, items):
     langs = sorted(counts)
     model = language.Model(langs, np.stack([counts[lang] for lang in langs], axis=1))
     kept = [k for k in sorted(documents) if (found := model.infer(documents[k].text))[0] != "und" and found[2] >= 0.5]
-    roots = brute.components([brute.fingerprint(documents[k].text) for k in kept])
+    roots = brute.near_components([documents[k].text for k in kept])
     kept = [k for i, k in enumerate(kept) if roots[i] == i]
     leaks = {k for k in kept if any(n and shared >= 0.8 * n - 1e-9 for shared, n in (brute.shared_shingles(i, documents[k].text) for i in items))}
     return {k: np.append(brute.ids("word_bpe_49k.json", masked(documents[k].text)), 1).tolist() for k in kept if k not in leaks}, leaks
