@@ -37,16 +37,25 @@ SHARES, BROADCAST_ROWS = 64, 1 << 20
 HOT = 1 << 12
 
 
-def _signed(x: int) -> int:
+def signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
+def words_of(text: str | None) -> list[bytes]:
+    """The words in lower case; of bytes, so that A-Z and ASCII white space alone count."""
+    return (text or "").encode("utf-8", "surrogatepass").lower().split()
+
+
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     """The fingerprint of a text as a signed long: bit set where over half the shingles' XXH64 (seed 42) have it."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: A-Z and ASCII white space alone
+    words = words_of(text)
+    return fingerprint_of(words, b" ".join(words), shingle)
+
+
+def fingerprint_of(words: list[bytes], joined: bytes, shingle: int = SHINGLE) -> int:
+    """The same of a text's words, which joined has with a space between them."""
     if not words:
         return 0
-    joined = b" ".join(words)
     n = max(1, len(words) - shingle + 1)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])[:n]
@@ -56,16 +65,16 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     for at in range(0, n, _CHUNK):
         part = b"".join([digest(joined[a:b], SEED) for a, b in zip(starts[at : at + _CHUNK].tolist(), stops[at : at + _CHUNK].tolist(), strict=True)])
         ones += np.unpackbits(np.frombuffer(part, np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return _signed(int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big"))
+    return signed(int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big"))
 
 
 def hashing(shingle: int):
-    """For mapInArrow: (id, text, ...) to (id, fp, ...)."""
+    """For mapInArrow: (id, text) to (id, fp)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             prints = pa.array([fingerprint(t.as_py(), shingle) for t in batch.column(1)], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), prints, *batch.columns[2:]], names=["id", "fp", *batch.schema.names[2:]])
+            yield pa.RecordBatch.from_arrays([batch.column(0), prints], names=["id", "fp"])
 
     return run
 
@@ -96,7 +105,7 @@ def near(a: Column, b: Column, bits: int) -> Column:
 
 def _masks(bits: int, groups: int = 8) -> list[int]:
     """For each choice of groups - bits of the groups of eight bits, the bits of the others."""
-    return [_signed(sum(0xFF << 8 * g for g in range(groups) if g not in chosen)) for chosen in combinations(range(groups), groups - bits)]
+    return [signed(sum(0xFF << 8 * g for g in range(groups) if g not in chosen)) for chosen in combinations(range(groups), groups - bits)]
 
 
 def in_cells(prints: DataFrame, bits: int) -> DataFrame:

@@ -351,7 +351,7 @@ def test_every_bin_holds_its_class_s_number_of_pieces(spark, fan_in):
 @settings(deadline=None, max_examples=30)
 @given(st.lists(st.tuples(st.integers(0, (1 << 64) - 1), st.integers(0, 63)), min_size=2, max_size=10))
 def test_manhattan_never_exceeds_hamming(spark, pairs):
-    rows = [(simhash._signed(a), simhash._signed(a ^ (1 << b) ^ (1 << (b * 7 + 3) % 64))) for a, b in pairs]
+    rows = [(simhash.signed(a), simhash.signed(a ^ (1 << b) ^ (1 << (b * 7 + 3) % 64))) for a, b in pairs]
     df = spark.createDataFrame(rows, "a long, b long")
     near = df.select("a", "b", simhash.manhattan(simhash.embedding(F.col("a")), simhash.embedding(F.col("b"))).alias("m"), F.bit_count(F.col("a").bitwiseXOR(F.col("b"))).alias("h"))
     for r in near.collect():
@@ -372,7 +372,7 @@ def test_links_of_dense_and_chained_groups(spark, monkeypatch, shares, broadcast
         for _ in range(60):
             chain ^= sum(1 << int(b) for b in rng.choice(64, 4, replace=False))
             fps.append(chain)
-    fps = sorted({simhash._signed(f) for f in fps})
+    fps = sorted({simhash.signed(f) for f in fps})
     roots = brute.components([f & (1 << 64) - 1 for f in fps])
     got = {r.fp: r.component for r in simhash.link(spark.createDataFrame([(f,) for f in fps], "fp long")).collect()}
     groups = {}
