@@ -171,10 +171,10 @@ def process(spark: SparkSession, source_path: str, folder: str, config: Config,
             job.step("copy")
             earlier = F.explode(F.array(*[F.concat_ws("/", F.lit(folder.rstrip("/")), "video", F.lit(n)) for n in ("unique_frames", "top_frames")]))
             files.clear(report.select(earlier.alias("path")))
-            files.copy(files.unique_manifest(done, folder))
+            files.copy(files.unique_manifest(done, folder), folder)
         if config.scorer.enabled:
             if copy:
-                files.copy(files.top_manifest(done, folder, config.scorer.top_n))
+                files.copy(files.top_manifest(done, folder, config.scorer.top_n), folder)
             if config.scorer.save_score_report:
                 reports.write_score_reports(done, folder)
         job.step("report")

@@ -1,7 +1,8 @@
 """Manifests of output files, and files written or copied in the tasks.
 
-Tasks reach local (shared) folders and the stores that pyarrow opens. A file is written beside its place and then moved
-there, so that a repeated task leaves whole files alone.
+Tasks reach local (shared) folders and the stores that pyarrow opens. Files of a job are written into a folder of parts
+under the output first, and moved to their places once all are there: a job that fails, and a task that is tried again,
+leave no file behind, parts included.
 """
 
 from __future__ import annotations
@@ -15,9 +16,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cinesieve.functions.columns import fixed, suffix
+from cinesieve.sources.storage import released, scratch
 
-STATUS = "path string, bytes long, error string"
-_ARROW = pa.schema([("path", pa.string()), ("bytes", pa.int64()), ("error", pa.string())])
+STATUS = "path string, part string, bytes long, error string"
+_ARROW = pa.schema([("path", pa.string()), ("part", pa.string()), ("bytes", pa.int64()), ("error", pa.string())])
+#: Folders of parts, so that none of them holds more entries than a store takes; made before the tasks, which make none.
+FOLDERS, CHUNK = 64, 1 << 20
 
 
 def opened(path: str):
@@ -31,82 +35,131 @@ def opened(path: str):
     return fs.FileSystem.from_uri(f"{scheme}://{authority}/")[0], rest.removeprefix("//") if scheme != "hdfs" else rest.removeprefix("//")[len(authority) :]
 
 
-def put(path: str, chunks: Iterator[bytes]) -> int:
-    """Writes a file in place of what was there; its bytes."""
+def _put(path: str, chunks: Iterator[bytes]) -> int:
+    """Writes a file into a folder that is there; its bytes."""
     fs, place = opened(path)
-    fs.create_dir(place.rsplit("/", 1)[0], recursive=True)
-    part, size = f"{place}.{uuid.uuid4().hex}.part", 0
-    with fs.open_output_stream(part) as out:
+    size = 0
+    with fs.open_output_stream(place) as out:
         for chunk in chunks:
             out.write(chunk)
             size += len(chunk)
-    fs.move(part, place)
     return size
 
 
+def _move(part: str, path: str) -> None:
+    """A part to its place. A task that is tried again finds some parts moved already."""
+    from pyarrow import fs as stores
+
+    (fs, source), (_, place) = opened(part), opened(path)
+    if fs.get_file_info(source).type == stores.FileType.NotFound and fs.get_file_info(place).type == stores.FileType.File:
+        return
+    fs.create_dir(place.rsplit("/", 1)[0], recursive=True)
+    fs.move(source, place)
+
+
 def read_bytes(path: str) -> bytes:
     fs, place = opened(path)
     with fs.open_input_stream(place) as file:
         return file.read()
 
 
-def _copied(row: dict) -> int:
-    fs, place = opened(row["src"])
-    with fs.open_input_stream(place) as file:
-        return put(row["path"], iter(lambda: file.read(1 << 20), b""))
+def chunks_of(*paths: str) -> Iterator[bytes]:
+    """The bytes of files one after another, CHUNK at a time."""
+    for path in paths:
+        fs, place = opened(path)
+        with fs.open_input_stream(place) as file:
+            while chunk := file.read(CHUNK):
+                yield chunk
 
 
-def _each(work: Callable[[dict], int]):
-    """A status row for each row: what the work returns, or its error."""
+def _each(work: Callable[[dict], tuple[str | None, int]]):
+    """A status row for each row: the part and the bytes that the work returns, or its error."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for row in batch.to_pylist():
                 try:
-                    out.append({"path": row["path"], "bytes": work(row), "error": None})
+                    part, size = work(row)
+                    out.append({"path": row["path"], "part": part, "bytes": size, "error": None})
                 except Exception as error:  # noqa: BLE001  one file's error is its row's
-                    out.append({"path": row["path"], "bytes": None, "error": f"{type(error).__name__}: {error}"[:500]})
+                    out.append({"path": row["path"], "part": None, "bytes": None, "error": f"{type(error).__name__}: {error}"[:500]})
             yield pa.RecordBatch.from_pylist(out, _ARROW)
 
     return run
 
 
-def each(rows: DataFrame, work: Callable[[dict], int], large: int | None = None) -> tuple[int, list[str]]:
-    """Runs the work on every row (path, ...) in the tasks; how many files, and notes on those of `large` bytes and more.
+def _done(status: DataFrame, large: int | None = None) -> tuple[int, list[str]]:
+    """How many files, and notes on some of those of `large` bytes and more; any error is raised."""
+    n, failed, error = status.agg(F.count_if(F.col("error").isNull()), F.count("error"), F.min("error")).first()
+    if failed:
+        raise OSError(f"{failed} files could not be written; one of them: {error}")
+    found = status.where(F.col("bytes") >= large).orderBy("path").select("path", "bytes").limit(100).collect() if large else []
+    return n, [f"{x.path} has {x.bytes >> 20} MB" for x in found]
+
 
-    Any error is raised once all other files are done; a count, the first error and a few notes reach the driver.
+def commit(rows: DataFrame, content: Callable[[dict], Iterator[bytes]], folder: str, large: int | None = None) -> tuple[int, list[str]]:
+    """Writes a file for each row (path, ...) under folder: all of them, or none where one can't be written.
+
+    Tasks write parts into a folder of their own under `folder`, and the table of statuses, which Spark commits, names one part
+    a row, whatever was tried meanwhile. Then tasks move these to their places, in place of what was there, and the folder
+    of parts goes. A failure during the moves leaves whole files alone, some of them new. No rows write nothing. A count,
+    the first error and a few notes reach the driver.
     """
-    status = rows.mapInArrow(_each(work), STATUS)
-    is_large = F.when(F.col("bytes") >= large, F.struct("path", "bytes")) if large else F.lit(None).cast("struct<path:string,bytes:long>")
-    done = status.agg(F.count_if(F.col("error").isNull()).alias("n"), F.count("error").alias("failed"), F.min("error").alias("error"), F.slice(F.array_sort(F.collect_set(is_large)), 1, 100).alias("large")).first()
-    if done.failed:
-        raise OSError(f"{done.failed} files could not be written; one of them: {done.error}")
-    return done.n, [f"{x.path} has {x.bytes >> 20} MB" for x in done.large]
+    spark, parts = rows.sparkSession, f"{folder.rstrip('/')}/_parts-{uuid.uuid4().hex}"
+
+    def written(row: dict) -> tuple[str, int]:
+        name = uuid.uuid4()
+        part = f"{parts}/{name.int % FOLDERS}/{name.hex}"
+        return part, _put(part, content(row))
+
+    for i in range(FOLDERS):
+        make_folder(spark, f"{parts}/{i}")
+    try:
+        with released(spark):
+            at = scratch(spark, "parts")
+            rows.mapInArrow(_each(written), STATUS).write.parquet(at)
+            status = spark.read.parquet(at)
+            result = _done(status, large)
+            _done(status.select("path", "part").mapInArrow(_each(lambda row: (None, _move(row["part"], row["path"]))), STATUS))
+            return result
+    finally:
+        remove(spark, parts)
 
 
-def write(rows: DataFrame) -> int:
+def write(rows: DataFrame, folder: str) -> int:
     """Writes rows (path, text), a file each."""
-    return each(rows.select("path", "text"), lambda row: put(row["path"], iter([row["text"].encode("utf-8")])))[0]
+    return commit(rows.select("path", "text"), lambda row: iter([row["text"].encode("utf-8")]), folder)[0]
 
 
-def copy(manifest: DataFrame) -> int:
+def copy(manifest: DataFrame, folder: str) -> int:
     """Copies a manifest's files (src, dest)."""
-    return each(manifest.select("src", F.col("dest").alias("path")), _copied)[0]
+    return commit(manifest.select("src", F.col("dest").alias("path")), lambda row: chunks_of(row["src"]), folder)[0]
+
+
+def concatenate(spark: SparkSession, lines: DataFrame, path: str) -> str:
+    """Ordered rows (value), a line each, as one file: tasks write their ranges of it, and one streams these together."""
+    folder = path.rsplit("/", 1)[0]
+    with released(spark):
+        at = scratch(spark, "lines")
+        lines.write.text(at)
+        ranges = sorted(place for name, place, _ in entries(spark, at) if name.startswith("part-"))
+        commit(spark.createDataFrame([(path, ranges)], "path string, ranges array<string>"), lambda row: chunks_of(*row["ranges"]), folder)
+    return path
 
 
-def _cleared(row: dict) -> int:
+def _cleared(row: dict) -> tuple[None, int]:
     from pyarrow import fs as stores
 
     fs, place = opened(row["path"])
     if fs.get_file_info(place).type == stores.FileType.Directory:
         fs.delete_dir(place)
-    return 0
+    return None, 0
 
 
 def clear(folders: DataFrame) -> int:
     """Deletes folders (path) of an earlier run."""
-    return each(folders.select("path"), _cleared)[0]
+    return _done(folders.select("path").mapInArrow(_each(_cleared), STATUS))[0]
 
 
 def _hadoop(spark: SparkSession, path: str):

@@ -5,11 +5,12 @@ from __future__ import annotations
 from base64 import b64encode
 from html import escape
 
-from pyspark.sql import Column, DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cinesieve.config import Config
-from cinesieve.functions.columns import exactly_rounded, percent, reduction_of_video
+from cinesieve.functions.columns import exactly_rounded, html_escape, percent, reduction_of_video
 from cinesieve.operators import stats
 from cinesieve.sinks import files
 
@@ -54,7 +55,7 @@ def _at(folder: str, name: str) -> Column:
 
 def write_reports(rows: DataFrame, folder: str) -> int:
     """<folder>/<video>/report.json for each row, written by the tasks."""
-    return files.write(rows.select(_at(folder, "report.json"), as_json(rows).alias("text")))
+    return files.write(rows.select(_at(folder, "report.json"), as_json(rows).alias("text")), folder)
 
 
 def score_rows(curated: DataFrame) -> DataFrame:
@@ -69,7 +70,7 @@ def write_score_reports(curated: DataFrame, folder: str) -> int:
     rows = score_rows(curated).select("video", "rank", F.to_json(F.struct(*keys)).alias("json"))
     lists = rows.groupBy("video").agg(F.array_sort(F.collect_list(F.struct("rank", "json"))).alias("all"))
     text = F.concat(F.lit("[\n"), F.array_join(F.transform("all", lambda x: x["json"]), ",\n"), F.lit("\n]\n"))
-    return files.write(lists.select(_at(folder, "score_report.json"), text.alias("text")))
+    return files.write(lists.select(_at(folder, "score_report.json"), text.alias("text")), folder)
 
 
 def summary_row(results: DataFrame, source: str, folder: str) -> DataFrame:
@@ -120,24 +121,41 @@ def write_previews(reports: DataFrame, curated: DataFrame, folder: str, columns:
     """preview.html of each video with a unique frame; returns notes on large pages. A task holds one page at a time."""
     counters = reports.select("video", "total_raw_frames", "removed_blurry", "removed_duplicate", "final_unique_frames", "reduction_rate")
     pages = counters.join(preview_rows(curated), "video").withColumn("path", _at(folder, "preview.html"))
-    return files.each(pages, lambda row: files.put(row["path"], iter([preview_html(row, columns).encode("utf-8")])), LARGE)[1]
-
-
-def gallery_html(shown: list[Row]) -> str:
-    """One section a video, files in their order with links relative to the page, percent-encoded."""
-    from urllib.parse import quote
-
-    sections: dict[str, list[Row]] = {}
-    for f in shown:
-        sections.setdefault(f.video, []).append(f)
-    body = ""
-    for video, own in sections.items():
-        figures = "".join(f'<figure><img loading="lazy" src="{quote(f"{video}/unique_frames/{f.file}")}" alt=""><figcaption>{i:03d} {escape(f.file)}</figcaption></figure>' for i, f in enumerate(own, 1))
-        body += f'<h2>{escape(video)} ({len(own)})</h2><div class="g">{figures}</div>'
-    return f'<!doctype html><meta charset="utf-8"><title>Batch</title><style>{_STYLE}.g{{grid-template-columns:repeat(5,1fr)}}</style><h1>{len(sections)} videos, {len(shown)} frames</h1>{body}\n'
+    return files.commit(pages, lambda row: iter([preview_html(row, columns).encode("utf-8")]), folder, LARGE)[1]
+
+
+def _quoted(text: Column) -> Column:
+    """Percent-encoded, for a link."""
+    for java, own in (("+", "%20"), ("*", "%2A"), ("%7E", "~")):
+        text = F.replace(F.url_encode(text) if java == "+" else text, F.lit(java), F.lit(own))
+    return text
+
+
+def gallery_lines(shown: DataFrame) -> DataFrame:
+    """The page over a batch's frames (video, kind, file), a figure a line: value, in the order of the page; no rows give none.
+
+    A section a video, files in their order with links relative to the page. Each line is made of its own row and its
+    video's count, so that Spark sorts and cuts the page by ranges and no task or driver holds a section.
+    """
+    order = ("video", "kind", "file")
+    counts = shown.groupBy("video").agg(F.count("*").alias("n"))
+    total = counts.agg(F.count("*").alias("videos"), F.sum("n").alias("frames")).first()
+    if not total.videos:
+        return shown.select(F.col("file").alias("value")).limit(0)
+    rows = shown.select(*order).join(counts, "video").withColumn("i", F.row_number().over(W.partitionBy("video").orderBy("kind", "file")))
+    link = F.concat(_quoted(F.col("video")), F.lit("/unique_frames/"), _quoted(F.col("file")))
+    number = F.format_string("%03d ", F.col("i"))
+    figure = F.concat(F.lit('<figure><img loading="lazy" src="'), link, F.lit('" alt=""><figcaption>'), number, html_escape(F.col("file")), F.lit("</figcaption></figure>"))
+    head = F.concat(F.lit("<h2>"), html_escape(F.col("video")), F.lit(" ("), F.col("n").cast("string"), F.lit(')</h2><div class="g">'))
+    first, last = F.when(F.col("i") == 1, head).otherwise(""), F.when(F.col("i") == F.col("n"), "</div>").otherwise("")
+    top = f'<!doctype html><meta charset="utf-8"><title>Batch</title><style>{_STYLE}.g{{grid-template-columns:repeat(5,1fr)}}</style><h1>{total.videos} videos, {total.frames} frames</h1>'
+    title = shown.sparkSession.createDataFrame([(0, "", 0, "", top)], "part int, video string, kind int, file string, value string")
+    body = rows.select(F.lit(1).alias("part"), *order, F.concat(first, figure, last).alias("value"))
+    return title.unionByName(body).orderBy("part", *order).select("value")
 
 
 def write_gallery(spark: SparkSession, shown: DataFrame, folder: str) -> str | None:
     """_batch_preview.html over existing outputs (sources.frames.outputs); None where there are no frames."""
-    rows = shown.orderBy("video", "kind", "file").collect()  # names alone; a page of them is what was asked for
-    return files.write_text(spark, f"{folder.rstrip('/')}/_batch_preview.html", gallery_html(rows)) if rows else None
+    if shown.isEmpty():
+        return None
+    return files.concatenate(spark, gallery_lines(shown), f"{folder.rstrip('/')}/_batch_preview.html")

@@ -159,12 +159,62 @@ def test_files_are_copied_by_the_tasks(spark, tmp_path):
     from cinesieve.sinks import files
 
     (tmp_path / "a b").write_bytes(b"x" * 3_000_000)
-    rows = spark.createDataFrame([(f"file:{tmp_path}/a b", f"{tmp_path}/to/{i}/c d") for i in range(5)], "src string, dest string")
-    assert files.copy(rows) == 5 and all((tmp_path / f"to/{i}/c d").stat().st_size == 3_000_000 for i in range(5))
-    assert not list(tmp_path.rglob("*.part"))
+    out = tmp_path / "to"
+    rows = spark.createDataFrame([(f"file:{tmp_path}/a b", f"{out}/{i}/c d") for i in range(5)], "src string, dest string")
+    bad = rows.union(spark.createDataFrame([(f"{tmp_path}/none", f"{out}/e")], rows.schema))
     with pytest.raises(OSError, match="1 files could not"):
-        files.copy(rows.union(spark.createDataFrame([(f"{tmp_path}/none", f"{tmp_path}/to/e")], rows.schema)))
-    assert files.each(rows.select(F.col("dest").alias("path"), "src"), files._copied, 2 << 20)[1][0].endswith("has 2 MB")
+        files.copy(bad, str(out))
+    assert not list(out.iterdir())  # not one of the others, no part
+    assert files.copy(rows, str(out)) == 5 and all((out / f"{i}/c d").stat().st_size == 3_000_000 for i in range(5))
+    assert sorted(p.name for p in out.iterdir()) == list("01234")
+    large = files.commit(rows.select(F.col("dest").alias("path"), "src"), lambda row: files.chunks_of(row["src"]), str(out), 2 << 20)
+    assert large[0] == 5 and large[1][0].endswith("has 2 MB")
+    assert files.copy(rows.limit(0), str(out)) == 0 and sorted(p.name for p in out.iterdir()) == list("01234")
+    files._move(f"{out}/moved before", f"{out}/0/c d")  # a task that is tried again
+    with pytest.raises(OSError):
+        files._move(f"{out}/moved before", f"{out}/0/none")
+
+
+def test_lost_tries_of_tasks_leave_nothing(spark, tmp_path):
+    from cinesieve.sinks import files
+
+    rows = spark.createDataFrame([(f"{tmp_path}/out/{i}", str(i)) for i in range(4)], "path string, text string").repartition(2)
+    noted = str(tmp_path / "tries")
+
+    def content(row):
+        """A part is begun twice: the first try ends in the middle of it."""
+        with open(noted, "a") as f:
+            f.write(row["text"])
+        yield row["text"].encode()
+        if open(noted).read().count(row["text"]) == 1:
+            raise OSError("lost")
+
+    with pytest.raises(OSError, match="4 files"):
+        files.commit(rows, content, str(tmp_path / "out"))
+    assert not list((tmp_path / "out").iterdir())
+    assert files.commit(rows, content, str(tmp_path / "out"))[0] == 4
+    assert {p.name: p.read_text() for p in (tmp_path / "out").iterdir()} == {str(i): str(i) for i in range(4)}
+
+
+def test_page_over_a_batch_is_cut_by_ranges(spark, tmp_path):
+    from html import escape
+    from urllib.parse import quote
+
+    from cinesieve.sinks import reports as pages
+
+    names = {"a & b": ["unique_0001.png", "unique_0000.png", "u~*+ (1)'é.jpg"], "c<d>": [f"unique_{i:04d}.jpg" for i in range(1200)], "z": ["50%.png"]}
+    rows = [(v, f, int(f.endswith("png"))) for v, own in names.items() for f in own]
+    shown = spark.createDataFrame(rows, "video string, file string, kind int").repartition(7)
+    page = pages.write_gallery(spark, shown, str(tmp_path))
+    body = ""
+    for video, own in names.items():
+        files = sorted(own, key=lambda f: (f.endswith("png"), f))
+        figures = [f'<figure><img loading="lazy" src="{quote(f"{video}/unique_frames/{f}")}" alt=""><figcaption>{i:03d} {escape(f)}</figcaption></figure>' for i, f in enumerate(files, 1)]
+        body += f'<h2>{escape(video)} ({len(own)})</h2><div class="g">' + "\n".join(figures) + "</div>\n"
+    text = open(page, encoding="utf-8").read()
+    assert text.split("\n", 1)[0].endswith("<h1>3 videos, 1204 frames</h1>") and text.split("\n", 1)[1] == body
+    assert [p.name for p in tmp_path.iterdir()] == ["_batch_preview.html"]
+    assert pages.write_gallery(spark, shown.limit(0), str(tmp_path / "none")) is None and not (tmp_path / "none").exists()
 
 
 def test_names_without_numbers_stay_apart(spark, tmp_path):
