@@ -147,3 +147,20 @@ def test_few_pairs_are_compared_in_full_and_nothing_changes(spark):
     df = spark.createDataFrame([(v, i, image.tobytes()) for v in "ab" for i, image in enumerate(shown)] + [("c", 0, None)], "video string, frame_order long, item binary")
     assert sorted(map(tuple, dedup.structure_pairs(df, 0.7, 64).collect())) == [(v, 120, held.offered, held.compared) for v in "ab"]
     assert rows_of(rounds.greedy(df, 0.7, "ssim", 64, 32, 50)) == rows_of(dedup.greedy(df, 0.7, "ssim", 64))
+
+
+def test_small_images_are_counted_many_at_a_time(monkeypatch):
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 256, (40, 8, 8))
+    shown = [np.clip(base[i % 40] + rng.integers(-i // 40 * 3 - 1, i // 40 * 3 + 2, (8, 8)), 0, 255).astype(np.uint8).tobytes() for i in range(400)]
+    for threshold in (0.5, 0.9, 0.998):
+        many, calls = dedup.StructureState(threshold, 8, counting=True), []
+        one_by_one = images.Windows.similarity
+        monkeypatch.setattr(images.Windows, "similarity", lambda *a: calls.append(a) or one_by_one(*a))
+        got = [many.offer(i) for i in shown]
+        assert not calls  # thousands of pairs, none of them alone
+        monkeypatch.setattr(dedup, "SMALL", 0)
+        single = dedup.StructureState(threshold, 8, counting=True)
+        assert [g is None for g in got] == [f is None for f in map(single.offer, shown)]
+        assert (many.offered, many.compared) == (single.offered, single.compared) and many.compared
+        monkeypatch.undo()
