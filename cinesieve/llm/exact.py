@@ -14,6 +14,7 @@ bounded size, which the task splits to the end.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from hashlib import sha256
 
 import pyarrow as pa
@@ -110,11 +111,12 @@ def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from classes()
 
 
-def _labelled(rows: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
-    """rows with what nodes know of their leaf, null where they know nothing; size: the nodes' bytes."""
+def _split(rows: DataFrame, nodes: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
+    """Rows of the nodes' leaves with what nodes know of them, and the other rows; size: the nodes' bytes."""
     if size <= BROADCAST:
-        return rows.join(F.broadcast(nodes), "leaf", "left")
-    return salted(rows, nodes, "leaf", F.col("row"), "left")
+        return rows.join(F.broadcast(nodes), "leaf"), rows.join(F.broadcast(nodes.select("leaf")), "leaf", "left_anti")
+    both = staged(salted(rows, nodes, "leaf", F.col("row"), "left"), "met-nodes")
+    return both.where("child IS NOT NULL"), both.where("child IS NULL").select(*rows.columns)
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -131,37 +133,31 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     rows = staged(collapsed.select(F.monotonically_increasing_id().alias("row"), "ids", "text", weight), "texts")
     total = rows.agg(F.coalesce(F.sum("weight"), F.lit(0))).first()[0]
     most = min(max(total // LEAVES, LEAST), MOST)
-    walked = rows.withColumns({"node": F.lit(-1).cast("long"), "at": F.lit(0), "open": F.lit(True), "owner": F.lit(None).cast("struct<keep_id:long,back:long>"), "group_size": F.lit(None).cast("long")})
-    at = 0
+    walked = rows.withColumns({"node": F.lit(-1).cast("long"), "at": F.lit(0)})
+    at, leaves, ended = 0, [], []
     while True:
         size = width(at)
-        digit = F.when(F.col("open"), F.substring("text", at + 1, size))
-        walked = walked.withColumn("leaf", F.struct("node", digit.alias("digit")))
+        walked = walked.withColumn("leaf", F.struct("node", F.substring("text", at + 1, size).alias("digit")))
         owner = F.max(F.struct(F.get("ids", F.lit(0)).alias("keep_id"), (-F.col("row")).alias("back"))).alias("own")
-        counted = walked.where("open").groupBy("leaf").agg(F.count("*").alias("n"), F.sum("weight").alias("w"), F.min("row").alias("child"), owner, F.sum(F.size("ids")).alias("documents"))
+        counted = walked.groupBy("leaf").agg(F.count("*").alias("n"), F.sum("weight").alias("w"), F.min("row").alias("child"), owner, F.sum(F.size("ids")).alias("documents"))
         heavy = counted.where((F.col("w") > most) & (F.col("n") >= FEW)).select("leaf", "child", (F.octet_length("leaf.digit") < size).alias("ended"), "own", "documents")
         nodes = staged(heavy, "trie")
         n, n_open, n_bytes = nodes.agg(F.count("*"), F.count_if(~F.col("ended")), F.coalesce(F.sum(F.octet_length("leaf.digit") + 64), F.lit(0))).first()
-        if not n:
-            break
-        deeper = F.col("child").isNotNull() & ~F.col("ended")
-        walked = _labelled(walked, nodes, n_bytes).select(
-            "row", "ids", "text", "weight",
-            F.when(deeper, F.col("child")).otherwise(F.col("node")).alias("node"),
-            F.when(deeper, F.lit(at + size)).otherwise(F.col("at")).alias("at"),
-            F.coalesce(deeper, F.lit(False)).alias("open"),
-            F.when(F.col("ended"), F.col("own")).otherwise(F.col("owner")).alias("owner"),
-            F.when(F.col("ended"), F.col("documents")).otherwise(F.col("group_size")).alias("group_size"),
-        )
+        # a row leaves the walk where its leaf is light or has ended, so that no later round reads or joins it again
+        met, light = _split(walked, nodes, n_bytes) if n else (None, walked)
+        leaves.append(light.select("row", "ids", "text", "node", "at", F.col("leaf.digit").alias("digit")))
+        if n:
+            own = F.col("row") == -F.col("own.back")
+            ended.append(met.where("ended").select("ids", own.alias("owns"), "own.keep_id", F.col("documents").alias("group_size"), F.sha2("text", 256).alias("text_sha256")))
         if not n_open:
             break
         at += size
-    at_end = F.expr("CASE at " + " ".join(f"WHEN {x} THEN {width(x)}" for x in _depths(at)) + " END")
-    leaves = walked.where("owner IS NULL").select("row", "ids", "text", "node", "at", F.substr("text", F.col("at") + 1, at_end).alias("digit"))
+        deeper = met.where("NOT ended").select("row", "ids", "text", "weight", F.col("child").alias("node"), F.lit(at).alias("at"))
+        walked = staged(deeper, "deeper")
+    leaves = reduce(DataFrame.unionByName, leaves)
     dealt = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // PARTITION)
     finished = leaves.repartition(dealt, "node", "at", "digit").sortWithinPartitions("node", "at", "digit").mapInArrow(_finish, FINISHED)
-    counted = walked.where("owner IS NOT NULL").select("ids", (F.col("row") == -F.col("owner.back")).alias("owns"), "owner.keep_id", "group_size", F.sha2("text", 256).alias("text_sha256"))
-    each = finished.unionByName(counted).select(F.posexplode("ids").alias("place", id_col), "keep_id", "group_size", "owns", "text_sha256")
+    each = reduce(DataFrame.unionByName, ended, finished).select(F.posexplode("ids").alias("place", id_col), "keep_id", "group_size", "owns", "text_sha256")
     return each.select(col(id_col), "keep_id", "group_size", (F.col("owns") & (F.col("place") == 0)).alias("kept"), "text_sha256")
 
 

@@ -1,5 +1,7 @@
 """Radix deduplication, delta rounds and infilling by their own interfaces."""
 
+import collections
+
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -100,3 +102,24 @@ def test_slices_hold_whole_rows():
     batch = pa.RecordBatch.from_arrays([pa.array(range(6)), pa.array(["aaaa", None, "b" * 30, "", "c", "dd"])], names=["id", "text"])
     parts = list(infill._slices(batch, 10))
     assert sum((p.column(0).to_pylist() for p in parts), []) == list(range(6)) and len(parts) > 1 and list(infill._slices(batch.slice(0, 0), 10)) == []
+
+
+def test_radix_rounds_join_a_row_while_its_leaf_is_heavy(spark, monkeypatch):
+    """A light text is joined to no node, however many rounds a heavy group of long heads takes."""
+    monkeypatch.setattr(exact, "LEAST", 1)
+    monkeypatch.setattr(exact, "MOST", 20_000)
+    texts = [f"light {i} " * 20 for i in range(400)] + ["h" * 5000 + str(i % 30) for i in range(60)] + ["same"] * 9
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    split, made = exact._split, []
+
+    def counting(*args):
+        met, light = split(*args)
+        made.append((met.count(), light.count()))
+        return met, light
+
+    monkeypatch.setattr(exact, "_split", counting)
+    monkeypatch.setattr(exact, "WINDOW", 1)
+    got = {r.doc_id: (r.keep_id, r.group_size) for r in exact.classes(rows).collect()}
+    last, size = {t: i for i, t in enumerate(texts)}, collections.Counter(texts)
+    assert got == {i: (last[t], size[t]) for i, t in enumerate(texts)}
+    assert len(made) > 2 and all(m + k <= 60 for m, k in made[1:])
